@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..session import shared_folder
 
@@ -25,6 +25,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``settle`` and the number of rows, observed while they are written."""
+    seen = Observation()
+    kept = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return kept, seen.get["rows"]
+
+
 def attach(
     df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -34,8 +41,8 @@ def attach(
     and the large side does not move; beyond that the join is an ordinary
     shuffle join, whose skewed partitions adaptive execution splits.
     """
-    lookup = settle(lookup)
-    if lookup.count() <= max_rows:
+    lookup, rows = settle_counted(lookup)
+    if rows <= max_rows:
         lookup = F.broadcast(lookup)
     return df.join(lookup, list(on), how)
 

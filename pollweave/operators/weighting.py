@@ -5,25 +5,44 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions import safe_ratio
-from .sizing import BROADCAST_ROWS, attach, settle
+from .sizing import BROADCAST_ROWS, attach, settle, settle_counted
 from .strata import share_of_total, strata_counts
 
 
+def _sides(sample_counts: DataFrame, population_counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sample and population counts side by side: (keys, _s, _p), NULL where a side has no row."""
+    sample = sample_counts.selectExpr(*keys, "n AS _s", "CAST(NULL AS BIGINT) AS _p")
+    population = population_counts.selectExpr(*keys, "CAST(NULL AS BIGINT) AS _s", "n AS _p")
+    return sample.unionByName(population)
+
+
 def stratum_weights(
     sample_counts: DataFrame, population_counts: DataFrame, keys: Sequence[str], name: str = "weight"
 ) -> DataFrame:
     """Population share over sample share for every population stratum.
 
     Both inputs hold one row per stratum with the count ``n``. A stratum without
-    sample rows (or with 0) has a NULL weight.
+    sample rows (or with 0) has a NULL weight. The sides are stacked and grouped
+    once instead of joined.
     """
-    population = share_of_total(population_counts, name="population_share").drop("n")
-    sample = share_of_total(sample_counts, name="sample_share").drop("n")
-    return population.join(sample, list(keys), "left").withColumn(
-        name, safe_ratio(F.col("population_share"), F.col("sample_share"))
+    strata = (
+        _sides(sample_counts, population_counts, keys)
+        .groupBy(*keys)
+        .agg(F.sum("_s").alias("_s"), F.sum("_p").alias("_p"))
+    )
+    totals = strata.agg(F.struct(F.sum("_s").alias("s"), F.sum("_p").alias("p"))).scalar()
+    return (
+        strata.filter("_p IS NOT NULL")
+        .withColumn("_total", totals)
+        .selectExpr(
+            *keys,
+            "try_divide(100.0D * _p, _total.p) AS population_share",
+            "try_divide(100.0D * _s, _total.s) AS sample_share",
+            f"try_divide(try_divide(100.0D * _p, _total.p), try_divide(100.0D * _s, _total.s)) AS {name}",
+        )
     )
 
 
@@ -64,25 +83,55 @@ def weighted_outcome_shares(
     """
     flag = F.lit(True) if counted is None else counted
     dims = list(dict.fromkeys([*keys, *(attach_keys or ()), outcome]))
-    cells = settle(
-        sample.groupBy(*dims).agg(
-            F.count(F.lit(1)).alias("n"), F.count(F.when(flag, 1)).alias("_counted")
-        )
-    )
-    weights = stratum_weights(
-        cells.groupBy(*keys).agg(F.sum("n").alias("n")), population_counts, keys
-    ).select(*keys, "weight")
+    cells = sample.groupBy(*dims).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("_counted"))
     if attach_keys:
-        weights = weights.toDF(*attach_keys, "weight")
+        weighted = _weighted_cells_by_join(cells, population_counts, keys, attach_keys)
+    else:
+        weighted = _weighted_cells(cells, population_counts, keys, outcome)
     counts = (
-        cells.filter(F.col("_counted") > 0)
-        .join(weights, list(attach_keys or keys), "left")
+        weighted.filter("_counted > 0")
         .groupBy(outcome)
-        .agg(F.coalesce(F.sum(F.col("weight") * F.col("_counted")), F.lit(0.0)).alias("n"))
+        .agg(F.expr("coalesce(sum(weight * _counted), 0.0D)").alias("n"))
     )
     return share_of_total(counts)
 
 
+def _weighted_cells(
+    cells: DataFrame, population_counts: DataFrame, keys: Sequence[str], outcome: str
+) -> DataFrame:
+    """Weights next to the cells: population rows are stacked under the cells of their stratum.
+
+    A stratum holds one row per outcome here, so the window groups are small.
+    """
+    if outcome in keys:
+        cells = cells.withColumn("_outcome", F.col(outcome))
+    else:
+        cells = cells.withColumnRenamed(outcome, "_outcome")
+    rows = cells.selectExpr(*keys, "_outcome", "n AS _s", "_counted", "CAST(NULL AS BIGINT) AS _p").unionByName(
+        population_counts.selectExpr(*keys, "n AS _p"), allowMissingColumns=True
+    )
+    # The sum of _counted is not used; with it both scans of the cells are one exchange.
+    totals = rows.agg(F.expr("struct(sum(_s) AS s, sum(_p) AS p, sum(_counted) AS c)")).scalar()
+    stratum = Window.partitionBy(*keys)
+    return (
+        rows.withColumns({"_ps": F.sum("_p").over(stratum), "_ss": F.sum("_s").over(stratum), "_total": totals})
+        .selectExpr(
+            f"_outcome AS {outcome}",
+            "_counted",
+            "try_divide(try_divide(100.0D * _ps, _total.p), try_divide(100.0D * _ss, _total.s)) AS weight",
+        )
+    )
+
+
+def _weighted_cells_by_join(
+    cells: DataFrame, population_counts: DataFrame, keys: Sequence[str], attach_keys: Sequence[str]
+) -> DataFrame:
+    cells = settle(cells)
+    weights = stratum_weights(cells.groupBy(*keys).agg(F.sum("n").alias("n")), population_counts, keys)
+    weights = weights.select(*keys, "weight").toDF(*attach_keys, "weight")
+    return cells.join(weights, list(attach_keys), "left")
+
+
 def poststratify_design(
     sample: DataFrame, population_counts: DataFrame, keys: Sequence[str], weight: str, name: str = "weight_ps"
 ) -> DataFrame:
@@ -112,9 +161,13 @@ def empty_strata(sample_counts: DataFrame, population_counts: DataFrame, keys: S
     return population_counts.filter(F.col("n") > 0).join(present, list(keys), "left_anti")
 
 
+# Rounds between two checkpoints while raking.
+ROUNDS_PER_CHECKPOINT = 5
+
+
 @dataclass(frozen=True)
 class Raked:
-    """Cell table with raked weights, the rounds used and the last relative change."""
+    """Cell table with raked weights, the rounds used and the largest relative change of the last round."""
 
     cells: DataFrame
     rounds: int
@@ -127,52 +180,49 @@ def rake_cells(
     weight: str | None = None,
     max_rounds: int = 50,
     tolerance: float | None = 1e-9,
+    window_cells: int = BROADCAST_ROWS,
 ) -> Raked:
     """Iterative proportional fitting to several margins.
 
-    The respondents are read once and reduced to cells of the margin columns.
-    Each round scales the cell weights to one margin after another and is written
-    to the shared folder, which cuts the lineage. ``margins`` maps a column to a
-    frame (column, n). With ``tolerance=None`` exactly ``max_rounds`` rounds run.
+    The respondents are read once and reduced to cells of the margin columns;
+    the targets are joined to the cells once. Each round scales the cell weights
+    to one margin after another. Every few rounds the cells are written to the
+    shared folder, which cuts the lineage, and the change is tested against
+    ``tolerance``. With ``tolerance=None`` exactly ``max_rounds`` rounds run.
+    ``margins`` maps a column to a frame (column, n).
     """
     columns = list(margins)
-    start = F.count(F.lit(1)).cast("double") if weight is None else F.sum(weight).cast("double")
-    cells = settle(sample.groupBy(*columns).agg(start.alias("_base")).withColumn("_w", F.col("_base")))
-    targets = {}
+    start = "count(*)" if weight is None else f"sum({weight})"
+    cells = sample.groupBy(*columns).agg(F.expr(f"CAST({start} AS DOUBLE)").alias("_base"))
     for column, margin in margins.items():
-        target = settle(margin.select(F.col(column), F.col("n").cast("double").alias("_target")))
-        targets[column] = F.broadcast(target) if target.count() <= BROADCAST_ROWS else target
-    change = float("inf")
-    rounds = 0
+        target = margin.selectExpr(column, f"CAST(n AS DOUBLE) AS _target_{column}")
+        cells = cells.join(target, [column], "left")
+    cells, size = settle_counted(cells.selectExpr("*", "_base AS _w", "_base AS _old"))
+    rounds, change = 0, float("inf")
     while rounds < max_rounds and (tolerance is None or change > tolerance):
-        cells = cells.withColumn("_old", F.col("_w"))
-        for column in columns:
-            cells = _fit_margin(cells, column, targets[column])
-        cells = settle(cells)
-        rounds += 1
-        if tolerance is not None:
-            moved = F.abs(safe_ratio(F.col("_w") - F.col("_old"), F.col("_old")))
-            change = cells.agg(F.max(moved)).first()[0] or 0.0
+        for _ in range(min(ROUNDS_PER_CHECKPOINT, max_rounds - rounds)):
+            cells = cells.withColumn("_old", F.col("_w"))
+            for column in columns:
+                cells = _fit_margin(cells, column, size <= window_cells)
+            rounds += 1
+        moved = Observation()
+        cells = settle(
+            cells.observe(moved, F.expr("max(abs(try_divide(_w - _old, _old)))").alias("change"))
+        )
+        change = moved.get["change"] or 0.0
     return Raked(
-        cells.select(
-            *columns, F.col("_w").alias("total"), safe_ratio(F.col("_w"), F.col("_base")).alias("factor")
-        ),
-        rounds,
-        change,
+        cells.selectExpr(*columns, "_w AS total", "try_divide(_w, _base) AS factor"), rounds, change
     )
 
 
-def _fit_margin(cells: DataFrame, column: str, target: DataFrame) -> DataFrame:
-    current = cells.groupBy(column).agg(F.sum("_w").alias("_current"))
-    # One row per level of the margin: as small as the target, which was counted.
-    factors = target.join(current, [column]).select(
-        column, safe_ratio(F.col("_target"), F.col("_current")).alias("_scale")
-    )
-    return (
-        cells.join(factors, [column], "left")
-        .withColumn("_w", F.col("_w") * F.coalesce(F.col("_scale"), F.lit(1.0)))
-        .select(*cells.columns)
-    )
+def _fit_margin(cells: DataFrame, column: str, small: bool) -> DataFrame:
+    """Scale the cells so that they add up to the target of every level; a level without target stays."""
+    scaled = F.expr(f"_w * coalesce(try_divide(_target_{column}, _current), 1.0D)")
+    if small:
+        current = F.sum("_w").over(Window.partitionBy(column))
+        return cells.withColumn("_current", current).withColumn("_w", scaled).drop("_current")
+    sums = cells.groupBy(column).agg(F.sum("_w").alias("_current"))
+    return cells.join(sums, [column], "left").withColumn("_w", scaled).drop("_current").select(*cells.columns)
 
 
 def rake(

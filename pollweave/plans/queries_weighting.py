@@ -25,7 +25,7 @@ from ..operators.weighting import (
     weighted_outcome_shares,
 )
 from .registry import query
-from .views import INTENT_LEVELS, PAST_LEVELS, PEOPLE_SQL, RESP_SQL, STRATA, people, population, respondents
+from .views import INTENT_LEVELS, PAST_LEVELS, PEOPLE_SQL, RESP_SQL, STRATA, people, population, respondents, table
 
 NO_VOTE = "5-LOW"
 
@@ -260,7 +260,7 @@ def rake_margins(spark, folder):
     "SELECT round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice) / sqrt(count(*)), 6) AS se FROM orders",
 )
 def svymean_srs(spark, folder):
-    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_totalprice")
+    orders = table(spark, folder, "orders").select("o_totalprice")
     return rounded(design_mean(orders, "o_totalprice", Design()), 6, "mean", "se")
 
 
@@ -388,7 +388,7 @@ SELECT min(x) AS min, round(avg(x), 6) AS mean, max(x) AS max, count(x) AS n,
        round(quantile_cont(x, 0.75), 6) AS q3 FROM v""",
 )
 def summary_stats(spark, folder):
-    prices = spark.read.parquet(f"{folder}/orders.parquet").select(
+    prices = table(spark, folder, "orders").select(
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("x")
     )
     return rounded(summary_statistics(prices, "x"), 6, "mean", "q1", "median", "q3")

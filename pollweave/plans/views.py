@@ -8,7 +8,7 @@ is one poll of a source (user) on a party (event type).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import band
 
@@ -20,19 +20,30 @@ PARTIES = ("click", "error", "purchase", "signup", "view")
 STRATA = ("gender", "agegroup", "past")
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Column types are given, so that reading a table starts no job of its own.
+TABLES = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+}
 
 
-def gender(nation: Column) -> Column:
-    return F.when(nation < 13, "Female").otherwise("Male")
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def people(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select(
         F.col("c_custkey").alias("person"),
         F.col("c_nationkey").alias("nation"),
-        gender(F.col("c_nationkey")).alias("gender"),
+        F.expr("IF(c_nationkey < 13, 'Female', 'Male')").alias("gender"),
         band(F.col("c_acctbal"), AGE_BREAKS, AGE_LABELS).alias("agegroup"),
         F.col("c_acctbal").alias("balance"),
         F.col("c_mktsegment").alias("past"),
@@ -40,32 +51,32 @@ def people(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def respondents(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_custkey").alias("person"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("o_orderpriority").alias("intent"),
-        F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("turnout"),
-        F.col("o_totalprice").alias("w0"),
-        F.year("o_orderdate").alias("wave"),
-        F.col("o_orderdate").cast("date").alias("day"),
+    orders = table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS id",
+        "o_custkey AS person",
+        "o_orderstatus AS status",
+        "o_orderpriority AS intent",
+        "IF(o_orderstatus = 'P', 0, 1) AS turnout",
+        "o_totalprice AS w0",
+        "year(o_orderdate) AS wave",
+        "CAST(o_orderdate AS DATE) AS day",
     )
     return orders.join(people(spark, folder), "person")
 
 
 def population(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
     """People per stratum: (keys, n)."""
-    return people(spark, folder).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return people(spark, folder).groupBy(*keys).agg(F.expr("count(*) AS n"))
 
 
 def polls(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(
+    return table(spark, folder, "events").selectExpr(
         "event_id",
-        F.concat(F.lit("inst"), F.col("user_id").cast("string")).alias("institut"),
-        F.col("ts").cast("date").alias("datum"),
-        F.col("event_type").alias("partei"),
-        (F.col("value") / (F.col("value") + 100)).alias("anteil"),
-        (500 + 10 * F.col("user_id")).cast("double").alias("befragte"),
+        "concat('inst', user_id) AS institut",
+        "CAST(ts AS DATE) AS datum",
+        "event_type AS partei",
+        "value / (value + 100) AS anteil",
+        "CAST(500 + 10 * user_id AS DOUBLE) AS befragte",
     )
 
 
