@@ -120,7 +120,7 @@ def latest_per_source(
     return running.select(series, day, *results)
 
 
-def error_band(df: DataFrame, centre: str = "rolling_average", error: str = "sz_err") -> DataFrame:
+def error_band(df: DataFrame, centre: str = "rolling_average", error: str = "poll_err") -> DataFrame:
     """Add ``ci_lower`` and ``ci_higher`` around a series."""
     return df.withColumns(
         {"ci_higher": F.col(centre) + F.col(error), "ci_lower": F.col(centre) - F.col(error)}
@@ -227,3 +227,31 @@ def ranked_snapshot(series_table: DataFrame, value: str = "rolling_average", day
     latest = series_table.filter(F.col(day) == series_table.agg(F.max(day)).scalar()).distinct()
     place = F.row_number().over(Window.partitionBy(day).orderBy(F.col(value).desc_nulls_last(), "partei"))
     return latest.withColumn("y", place.cast("long"))
+
+
+def rolling_benchmark(
+    polls: DataFrame, width: int = 10, digits: int = 5, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Rolling mean with a band from the rolling error of independent polls, one row per (day, party).
+
+    Both windows run over their own distinct rows and give one value per poll.
+    They are averaged per day before they are joined: pairing the polls of a day
+    with each other and averaging afterwards gives the same numbers.
+    """
+    errors = with_errors(polls, digits=digits)
+    means = rolling_mean(errors, width=width, rows_per_task=rows_per_task)
+    spreads = rolling_error(errors, width=width, rows_per_task=rows_per_task)
+    daily = means.groupBy("datum", "partei").agg(F.avg("rolling_average").alias("rolling_average"))
+    daily_error = spreads.groupBy("datum", "partei").agg(F.avg("rolling_error").alias("rolling_error"))
+    return error_band(daily.join(daily_error, ["datum", "partei"], "left"), error="rolling_error")
+
+
+def latest_benchmark(polls: DataFrame, digits: int = 5) -> DataFrame:
+    """Benchmark series from the latest poll of each source, with its linear error band."""
+    base = with_errors(polls, digits=digits)
+    series = latest_per_source(
+        base,
+        {"rolling_average": ("anteil", "linear"), "poll_err": ("delta", "linear")},
+        distinct_on=("institut", "datum", "partei", "anteil", "befragte", "delta"),
+    )
+    return error_band(series)

@@ -1,4 +1,4 @@
 """All registered queries and their SQL."""
 
-from . import queries_strata, queries_weighting  # noqa: F401
+from . import queries_answers, queries_polls, queries_strata, queries_weighting  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
