@@ -101,12 +101,9 @@ def design_mean(df: DataFrame, value: str, design: Design, poststrata: Sequence[
     """
     units = with_design_weight(df.filter(F.col(value).isNotNull()), design)
     y, w = F.col(value).cast("double"), F.col("_w")
-    if not design.clusters and not poststrata:
-        return _mean_of_units(units, y, w, design)
+    if not design.clusters:
+        return _mean_of_units(units, y, w, design, poststrata)
     ids = list(design.clusters)
-    if not ids:
-        units = units.withColumn("_unit", F.monotonically_increasing_id())
-        ids = ["_unit"]
     sizes = [F.max(p).cast("double").alias(f"_size{i}") for i, p in enumerate(design.populations)]
     cells = settle(
         units.groupBy(*ids, *poststrata).agg(F.sum(w * y).alias("_wy"), F.sum(w).alias("_w"), *sizes)
@@ -132,22 +129,33 @@ def design_mean(df: DataFrame, value: str, design: Design, poststrata: Sequence[
     return variance.select(mean.alias("mean"), F.sqrt("_v").alias("se"))
 
 
-def _mean_of_units(units: DataFrame, y: Column, w: Column, design: Design) -> DataFrame:
-    """Element sampling: every unit is its own cluster, six sums are enough."""
-    sums = units.agg(
+def _mean_of_units(
+    units: DataFrame, y: Column, w: Column, design: Design, poststrata: Sequence[str]
+) -> DataFrame:
+    """Element sampling: every unit is its own cluster, so a few sums per stratum are enough."""
+    size = F.max(design.populations[0]).cast("double") if design.populations else F.lit(None).cast("double")
+    sums = units.groupBy(*poststrata).agg(
         F.sum(w * y).alias("wy"),
         F.sum(w).alias("w"),
         F.sum(w * w * y * y).alias("w2y2"),
         F.sum(w * w * y).alias("w2y"),
         F.sum(w * w).alias("w2"),
         F.count(F.lit(1)).alias("n"),
-        (F.max(design.populations[0]).cast("double") if design.populations else F.lit(None).cast("double")).alias("size"),
-    ).withColumn("mean", safe_ratio(F.col("wy"), F.col("w")))
-    squares = F.col("w2y2") - 2 * F.col("mean") * F.col("w2y") + F.col("mean") * F.col("mean") * F.col("w2")
-    spread = safe_ratio(squares, F.col("w") * F.col("w"))
-    correction = F.coalesce(1 - safe_ratio(F.col("n"), F.col("size")), F.lit(1.0))
-    variance = correction * safe_ratio(F.col("n"), F.col("n") - 1) * spread
-    return sums.select("mean", F.sqrt(F.greatest(variance, F.lit(0.0))).alias("se"))
+        size.alias("size"),
+    )
+    centred = sums.withColumn("c", F.expr("try_divide(wy, w)")).withColumn(
+        "squares", F.expr("w2y2 - 2 * c * w2y + c * c * w2")
+    )
+    return (
+        centred.agg(
+            *[F.sum(x).alias(x) for x in ("wy", "w", "n", "squares")], F.max("size").alias("size")
+        )
+        .withColumn(
+            "variance",
+            F.expr("coalesce(1 - try_divide(n, size), 1.0D) * try_divide(n, n - 1) * try_divide(squares, w * w)"),
+        )
+        .selectExpr("try_divide(wy, w) AS mean", "sqrt(greatest(variance, 0.0D)) AS se")
+    )
 
 
 def _between(scores: DataFrame, size: str | None) -> DataFrame:

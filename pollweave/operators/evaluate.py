@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DateType
 
 from ..functions import mean_date
+from .sizing import settle
 
 
 def mean_measures(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -31,9 +32,10 @@ def rmse_against(
 ) -> DataFrame:
     """Root mean squared error of each (method, day) over the parties of the reference.
 
-    A party that a method lacks makes its error NULL-free: only common parties
-    count, and their number is reported.
+    Only parties that both have count; their number is reported. The estimates
+    are a small table and are computed once for both sides of the join.
     """
+    estimates = settle(estimates)
     truth = estimates.filter(F.col(method) == reference_method).select(day, party, F.col(value).alias("_truth"))
     gap = F.col(value) - F.col("_truth")
     return (

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import in_order, number_rows
-from .sizing import ROWS_PER_TASK, attach
+from .sizing import ROWS_PER_TASK, attach, settle_counted
 
 
 def columns_first(df: DataFrame, *front: str) -> DataFrame:
@@ -48,8 +48,8 @@ def relabel_by_position(df: DataFrame, column: str, labels: Sequence[str], out:
     The distinct values are a category list; they are numbered apart from the
     rows and attached to them. More values than labels give NULL.
     """
-    levels = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    numbered = number_rows(in_order(levels, (), (column,)), "_level")
+    levels, count = settle_counted(df.select(column).filter(F.col(column).isNotNull()).distinct())
+    numbered = number_rows(in_order(levels, (), (column,), sizes=(count, count)), "_level")
     names = F.array(*[F.lit(x) for x in labels])
     lookup = numbered.select(column, F.get(names, (F.col("_level") - 1).cast("int")).alias(out))
     return attach(df, lookup, [column])

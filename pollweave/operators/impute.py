@@ -57,9 +57,14 @@ def line_fit(df: DataFrame, y: str, x: str) -> DataFrame:
 
 def impute_line(df: DataFrame, y: str, x: str, name: str) -> DataFrame:
     """Fill NULL ``y`` with the prediction from one numeric predictor, without leaving Catalyst."""
-    fit = line_fit(df, y, x)
-    predicted = fit.select("intercept").scalar() + fit.select("slope").scalar() * F.col(x)
-    return df.withColumn(name, F.coalesce(F.col(y), predicted))
+    return df.withColumn("_fit", _fit_scalar(df, y, x)).selectExpr(
+        *df.columns, f"coalesce({y}, _fit.intercept + _fit.slope * {x}) AS {name}"
+    )
+
+
+def _fit_scalar(df: DataFrame, y: str, x: str) -> Column:
+    """The fitted line as one scalar subquery, so that the data is read once for it."""
+    return line_fit(df, y, x).select(F.struct("slope", "intercept", "sigma").alias("fit")).scalar()
 
 
 def fit_linear(df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str] = ()) -> PipelineModel:
@@ -99,7 +104,10 @@ def impute_regression(
 
 def impute_stochastic(df: DataFrame, y: str, x: str, name: str, seed: int, divisor: float = 20.0) -> DataFrame:
     """Fill with the prediction plus normal noise of residual deviation / ``divisor``."""
-    fit = line_fit(df, y, x)
-    noise = F.randn(seed) * fit.select("sigma").scalar() / divisor
-    predicted = fit.select("intercept").scalar() + fit.select("slope").scalar() * F.col(x)
-    return df.withColumn(name, F.coalesce(F.col(y), predicted + noise))
+    return (
+        df.withColumns({"_fit": _fit_scalar(df, y, x), "_noise": F.randn(seed)})
+        .selectExpr(
+            *df.columns,
+            f"coalesce({y}, _fit.intercept + _fit.slope * {x} + _noise * _fit.sigma / {divisor}) AS {name}",
+        )
+    )

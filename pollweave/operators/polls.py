@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import half_width, safe_ratio, standard_error
 from .ordered import in_order, trailing
-from .sizing import BROADCAST_ROWS, ROWS_PER_TASK, attach, group_sizes, settle
+from .sizing import BROADCAST_ROWS, ROWS_PER_TASK, group_sizes, settle, settle_counted
 
 # Sums that are taken apart and put together again (running totals of changes)
 # are kept as decimals: double rounding would build up along the series.
@@ -33,12 +33,15 @@ def rolling_mean(
     width: int = 10,
     name: str = "rolling_average",
     rows_per_task: int = ROWS_PER_TASK,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Mean of the last ``width`` distinct polls of a series; NULL until there are that many.
 
-    ``order`` starts with the day and must go on with tie-breaks.
+    ``order`` starts with the day and must go on with tie-breaks. ``sizes`` are
+    the known row counts (all polls, longest series), else they are counted.
     """
-    return _rolling(polls, value, series, order, width, name, rows_per_task, lambda w: F.avg(value).over(w))
+    average = lambda w: F.avg(value).over(w)
+    return _rolling(polls, value, series, order, width, name, rows_per_task, sizes, average)
 
 
 def rolling_error(
@@ -49,17 +52,18 @@ def rolling_error(
     width: int = 10,
     name: str = "rolling_error",
     rows_per_task: int = ROWS_PER_TASK,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Error of a mean of independent polls: sqrt(sum of squares)/count over the last ``width``."""
     squares = F.col(value) * F.col(value)
-    return _rolling(
-        polls, value, series, order, width, name, rows_per_task, lambda w: F.sqrt(F.sum(squares).over(w)) / width
-    )
+    spread = lambda w: F.sqrt(F.sum(squares).over(w)) / width
+    return _rolling(polls, value, series, order, width, name, rows_per_task, sizes, spread)
 
 
-def _rolling(polls, value, series, order, width, name, rows_per_task, make) -> DataFrame:
+def _rolling(polls, value, series, order, width, name, rows_per_task, sizes, make) -> DataFrame:
     columns = list(dict.fromkeys([series, *order, value]))
-    sizes = group_sizes(polls, [series])  # before distinct: an upper bound, one cheap pass
+    # Counted before distinct rows are taken: an upper bound from one cheap pass.
+    sizes = sizes or group_sizes(polls, [series])
     rows = in_order(polls.select(*columns).distinct(), (series,), order, rows_per_task, sizes)
     return trailing(
         rows,
@@ -139,7 +143,7 @@ def spine_with_neighbours(
     """
     if days is None:
         days = polls.select(day).distinct()
-    days = settle(days.filter(F.col(day).isNotNull()))
+    days, day_count = settle_counted(days.filter(F.col(day).isNotNull()))
     observed = polls.filter(F.col(value).isNotNull()).groupBy(*keys, day).agg(F.avg(value).alias("_value"))
     along = Window.partitionBy(*keys).orderBy(day)
     neighbours = observed.select(
@@ -160,8 +164,8 @@ def spine_with_neighbours(
         F.col("_before").isNull() & (start < F.col("_at")), F.sequence(start, F.date_sub("_at", 1))
     ).otherwise(F.array().cast("array<date>"))
     covered = neighbours.withColumn(day, F.explode(F.concat(before_first, from_here)))
-    # One row per calendar day: the list is counted before it is broadcast.
-    if days.count() <= BROADCAST_ROWS:
+    # One row per calendar day, counted above.
+    if day_count <= BROADCAST_ROWS:
         days = F.broadcast(days)
     early = F.col(day) < F.col("_at")
     return covered.join(days, [day], "left_semi").select(
@@ -222,10 +226,17 @@ def envelope(
     )
 
 
-def ranked_snapshot(series_table: DataFrame, value: str = "rolling_average", day: str = "datum") -> DataFrame:
-    """Latest day of a series table (one row per series) with the rank of each series, largest first."""
+def ranked_snapshot(
+    series_table: DataFrame, value: str = "rolling_average", day: str = "datum", series: str = "partei"
+) -> DataFrame:
+    """Latest day of a series table with the rank of each series, largest first.
+
+    The table has one row per series and day, so one day is as small as the
+    number of series.
+    """
+    series_table = settle(series_table)
     latest = series_table.filter(F.col(day) == series_table.agg(F.max(day)).scalar()).distinct()
-    place = F.row_number().over(Window.partitionBy(day).orderBy(F.col(value).desc_nulls_last(), "partei"))
+    place = F.row_number().over(Window.partitionBy(day).orderBy(F.col(value).desc_nulls_last(), series))
     return latest.withColumn("y", place.cast("long"))
 
 
@@ -239,8 +250,9 @@ def rolling_benchmark(
     with each other and averaging afterwards gives the same numbers.
     """
     errors = with_errors(polls, digits=digits)
-    means = rolling_mean(errors, width=width, rows_per_task=rows_per_task)
-    spreads = rolling_error(errors, width=width, rows_per_task=rows_per_task)
+    sizes = group_sizes(polls, ["partei"])
+    means = rolling_mean(errors, width=width, rows_per_task=rows_per_task, sizes=sizes)
+    spreads = rolling_error(errors, width=width, rows_per_task=rows_per_task, sizes=sizes)
     daily = means.groupBy("datum", "partei").agg(F.avg("rolling_average").alias("rolling_average"))
     daily_error = spreads.groupBy("datum", "partei").agg(F.avg("rolling_error").alias("rolling_error"))
     return error_band(daily.join(daily_error, ["datum", "partei"], "left"), error="rolling_error")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import safe_ratio, sum_policy
-from .sizing import same_keys
+from .sizing import same_keys, settle
 
 
 def strata_counts(df: DataFrame, keys: Sequence[str], weight: str | None = None, name: str = "n") -> DataFrame:
@@ -54,9 +54,10 @@ def complete_strata(
 ) -> DataFrame:
     """Add the combinations of observed levels that have no row, filled with ``fill``.
 
-    The levels of the first dimension stay distributed; the other level lists
-    are categories and travel as arrays.
+    The counts are computed once. The levels of the first dimension stay
+    distributed; the other level lists are categories and travel as arrays.
     """
+    counts = settle(counts)
     grid = counts.select(dims[0]).distinct()
     for dim in dims[1:]:
         levels = counts.agg(F.sort_array(F.collect_set(dim))).scalar()
@@ -140,6 +141,9 @@ def joint_share(
 
 
 def ratio_to_row(df: DataFrame, value: str, of: str, where: Column, name: str) -> DataFrame:
-    """``value`` divided by the ``of`` of the one row (for example "Total") that ``where`` selects."""
+    """``value`` divided by the ``of`` of the one row (for example "Total") that ``where`` selects.
+
+    ``df`` is a summary table that is already computed or cheap to read twice.
+    """
     reference = df.filter(where).agg(F.max(of)).scalar()
     return df.withColumn(name, safe_ratio(F.col(value), reference))

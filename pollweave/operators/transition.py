@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import nth_choice, safe_ratio
+from .sizing import settle
 from .strata import share_of_total, strata_counts
 
 
@@ -52,6 +53,7 @@ def without_stayers(table: DataFrame, source: str = "from", target: str = "to")
 
 def margins(table: DataFrame, source: str = "from", target: str = "to") -> DataFrame:
     """Proportion of every box before and after, in long form (side, box, prop)."""
+    table = settle(table)
     sides = []
     for side, column in (("start", source), ("end", target)):
         boxes = table.groupBy(F.col(column).alias("box")).agg(F.sum("n").alias("n"))
@@ -63,6 +65,7 @@ def scaled_flows(
     table: DataFrame, within_origin: bool = False, smallest: float = 0.0, largest: float = 1.0, source: str = "from"
 ) -> DataFrame:
     """Flow width between ``smallest`` and ``largest``, relative to the largest flow overall or of its origin."""
+    table = settle(table)
     if within_origin:
         peaks = table.groupBy(source).agg(F.max("n").alias("_peak"))
         table = table.join(peaks, [source])

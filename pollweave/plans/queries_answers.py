@@ -24,6 +24,7 @@ from ..operators.transition import (
     scaled_flows,
     without_stayers,
 )
+from ..operators.sizing import settle
 from .queries_weighting import rounded
 from .registry import query
 from .views import RESP_SQL, respondents, table
@@ -85,9 +86,9 @@ SELECT 'origin', "from", "to", n, round(1.0 + 9.0 * n / max(n) OVER (PARTITION B
 )
 def flow_widths(spark, folder):
     """Flow widths relative to the largest flow, and to the largest of the same origin."""
-    table_ = _flow_table(spark, folder)
-    overall = scaled_flows(table_, False, 1.0, 10.0).withColumn("mode", F.lit("all"))
-    origin = scaled_flows(table_, True, 1.0, 10.0).withColumn("mode", F.lit("origin"))
+    counted = settle(_flow_table(spark, folder))
+    overall = scaled_flows(counted, False, 1.0, 10.0).withColumn("mode", F.lit("all"))
+    origin = scaled_flows(counted, True, 1.0, 10.0).withColumn("mode", F.lit("origin"))
     return rounded(overall.unionByName(origin), 9, "width")
 
 

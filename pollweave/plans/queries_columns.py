@@ -111,7 +111,7 @@ _RANKED = ("MACHINERY", "AUTOMOBILE", "HOUSEHOLD", "BUILDING")
 
 @query(
     "order_by_category",
-    f"""SELECT c_mktsegment AS past, CASE c_mktsegment {" ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(_RANKED, 1))} END AS level,
+    f"""SELECT c_mktsegment AS past, CAST(CASE c_mktsegment {" ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(_RANKED, 1))} END AS BIGINT) AS level,
        count(*) AS n FROM customer GROUP BY c_mktsegment""",
 )
 def order_by_category(spark, folder):

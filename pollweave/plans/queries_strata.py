@@ -21,6 +21,7 @@ from ..operators.strata import (
     strata_counts,
     sum_measures,
 )
+from ..operators.sizing import settle
 from .queries_weighting import rounded
 from .registry import query
 from .views import INTENT_LEVELS, PAST_LEVELS, PEOPLE_SQL, RESP_SQL, STRATA, people, respondents, table
@@ -59,7 +60,7 @@ def shares(spark, folder):
     "sum_all",
     f"""WITH {RESP_SQL}
 SELECT past, agegroup, round(sum(w0), 3) AS w0_skip,
-       round(CASE WHEN count(*) = count(nullif(nation, 7)) THEN sum(nullif(nation, 7)) END, 3) AS nation_propagate
+       round(CASE WHEN count(*) = count(nullif(nation, 7)) THEN CAST(sum(nullif(nation, 7)) AS DOUBLE) END, 3) AS nation_propagate
 FROM resp GROUP BY past, agegroup""",
 )
 def sums(spark, folder):
@@ -203,10 +204,11 @@ def turnout_by_gender(spark, folder):
     base = respondents(spark, folder).select("gender", "turnout")
     measures = [F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("turnout") == 1).alias("voters")]
     by_gender = base.groupBy("gender").agg(*measures)
+    by_gender = settle(by_gender)
     total = by_gender.agg(F.sum("eligible").alias("eligible"), F.sum("voters").alias("voters")).withColumn(
         "gender", F.lit("Total")
     )
-    rows = by_gender.unionByName(total)
+    rows = settle(by_gender.unionByName(total))
     is_total = F.col("gender") == "Total"
     rows = ratio_to_row(rows, "voters", "eligible", is_total, "turnout_overall")
     rows = ratio_to_row(rows, "voters", "voters", is_total, "turnout_gender")
@@ -274,7 +276,7 @@ SELECT CASE method WHEN 'F' THEN 'Rolling average' WHEN 'O' THEN 'Unweighted' EL
 FROM est JOIN s USING (method, date) GROUP BY method, date""",
 )
 def presented(spark, folder):
-    found = estimates(spark, folder)
+    found = settle(estimates(spark, folder))
     labels = {"^F": "Rolling average", "^O": "Unweighted", "^P": "Weighted"}
     return rounded(result_table(found, rmse_against(found, "F"), INTENT_LEVELS, labels), 8, "RMSE")
 

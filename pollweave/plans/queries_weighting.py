@@ -243,9 +243,9 @@ def rake_fixed_iter(spark, folder):
 @query(
     "rake_margins",
     f"""WITH {PEOPLE_SQL}
-SELECT 'gender' AS margin, gender AS level, round(count(*), 3) AS total FROM people GROUP BY gender
-UNION ALL SELECT 'agegroup', agegroup, round(count(*), 3) FROM people GROUP BY agegroup
-UNION ALL SELECT 'past', past, round(count(*), 3) FROM people GROUP BY past""",
+SELECT 'gender' AS margin, gender AS level, CAST(count(*) AS DOUBLE) AS total FROM people GROUP BY gender
+UNION ALL SELECT 'agegroup', agegroup, CAST(count(*) AS DOUBLE) FROM people GROUP BY agegroup
+UNION ALL SELECT 'past', past, CAST(count(*) AS DOUBLE) FROM people GROUP BY past""",
 )
 def rake_margins(spark, folder):
     """Raked to convergence, the weights of the respondents add up to every margin."""
