@@ -94,7 +94,7 @@ def latest_rows_per_group(df: DataFrame, groups: Sequence[str], day: str) -> Dat
     group that holds most of the rows is never gathered in one place.
     """
     newest = df.groupBy(*groups).agg(F.max(day).alias("_newest"))
-    return attach(df, newest, groups, "inner").filter(F.col(day) == F.col("_newest")).drop("_newest")
+    return attach(df, newest, groups, "inner", null_safe=True).filter(F.col(day) == F.col("_newest")).drop("_newest")
 
 
 def first_row(df: DataFrame, *order: Column) -> DataFrame:

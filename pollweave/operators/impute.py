@@ -25,7 +25,7 @@ def impute_rule(value: Column, rule: Column, fill: str) -> Column:
 def impute_mean(df: DataFrame, value: str, groups: Sequence[str], name: str) -> DataFrame:
     """Fill with the mean of the row's group."""
     means = df.groupBy(*groups).agg(F.avg(value).alias("_mean"))
-    return attach(df, means, groups).withColumn(name, F.coalesce(F.col(value), F.col("_mean"))).drop("_mean")
+    return attach(df, means, groups, null_safe=True).withColumn(name, F.coalesce(F.col(value), F.col("_mean"))).drop("_mean")
 
 
 def impute_hotdeck(

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
-from .sizing import ROWS_PER_TASK, attach, chunks_for, group_sizes, same_keys, settle
+from .sizing import ROWS_PER_TASK, attach, chunks_for, group_sizes, join_null_safe, settle
 
 CHUNK = "_chunk"
 
@@ -98,14 +98,11 @@ def _rows_before_chunk(rows: Ordered, lookback: int) -> DataFrame:
     # At most lookback rows per chunk are left, so this window stays small.
     series = Window.partitionBy(*rows.keys).orderBy(*rows.ascending)
     tails = tails.withColumn("_pos", F.row_number().over(series))
-    starts = tails.groupBy(*rows.keys, CHUNK).agg(F.min("_pos").alias("_start"))
+    starts = tails.groupBy(*rows.keys, CHUNK).agg(F.min("_pos").alias("_next"))
     wanted = tails.drop(CHUNK).withColumn(
         "_next", F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + lookback))
     )
-    matched = wanted.join(
-        starts, same_keys(wanted, starts, rows.keys) & (wanted["_next"] == starts["_start"])
-    )
-    return matched.select(*[wanted[c] for c in rows.frame.columns if c != CHUNK], starts[CHUNK])
+    return join_null_safe(wanted, starts, [*rows.keys, "_next"], "inner").drop("_pos", "_next")
 
 
 def number_rows(rows: Ordered, name: str) -> DataFrame:
@@ -122,7 +119,7 @@ def number_rows(rows: Ordered, name: str) -> DataFrame:
         .select(*rows.groups, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))
     )
     return (
-        attach(numbered, offsets, rows.groups)
+        attach(numbered, offsets, rows.groups, null_safe=True)
         .withColumn(name, F.col(name) + F.col("_offset"))
         .drop("_offset", CHUNK)
     )
@@ -144,7 +141,7 @@ def carry_forward(rows: Ordered, value: str, name: str) -> DataFrame:
         .select(*rows.groups, F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
     )
     return (
-        attach(filled, before, rows.groups)
+        attach(filled, before, rows.groups, null_safe=True)
         .withColumn(name, F.coalesce(F.col(name), F.col("_before")))
         .drop("_before", CHUNK)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import shared_folder
 
@@ -33,7 +33,12 @@ def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def attach(
-    df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS
+    df: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    max_rows: int = BROADCAST_ROWS,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join a (usually small) lookup to a large frame.
 
@@ -44,7 +49,7 @@ def attach(
     lookup, rows = settle_counted(lookup)
     if rows <= max_rows:
         lookup = F.broadcast(lookup)
-    return df.join(lookup, list(on), how)
+    return join_null_safe(df, lookup, on, how) if null_safe else df.join(lookup, list(on), how)
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -60,9 +65,10 @@ def chunks_for(total: int, rows_per_task: int) -> int:
     return max(1, math.ceil(total / rows_per_task))
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on the key columns of two frames."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on key columns where NULL matches NULL; the keys of ``left`` are kept."""
+    renamed = {key: f"_right_{key}" for key in keys}
     condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+    for key, other in renamed.items():
+        condition = condition & F.col(key).eqNullSafe(F.col(other))
+    return left.join(right.withColumnsRenamed(renamed), condition, how).drop(*renamed.values())

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import safe_ratio, sum_policy
-from .sizing import same_keys, settle
+from .sizing import join_null_safe, settle
 
 
 def strata_counts(df: DataFrame, keys: Sequence[str], weight: str | None = None, name: str = "n") -> DataFrame:
@@ -43,9 +43,9 @@ def share_of_total(
         return df.withColumn(name, scale * safe_ratio(F.col(value), whole))
     totals = df.groupBy(*within).agg(total.alias("_total"))
     return (
-        df.alias("t")
-        .join(totals.alias("g"), same_keys(df, totals, within), "left")
-        .select("t.*", (scale * safe_ratio(F.col(f"t.{value}"), F.col("g._total"))).alias(name))
+        join_null_safe(df, totals, within)
+        .withColumn(name, scale * safe_ratio(F.col(value), F.col("_total")))
+        .drop("_total")
     )
 
 

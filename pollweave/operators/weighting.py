@@ -237,4 +237,4 @@ def rake(
     raked = rake_cells(sample, margins, weight, max_rounds, tolerance)
     factors = raked.cells.select(*margins, F.col("factor").alias("_factor"))
     base = F.lit(1.0) if weight is None else F.col(weight)
-    return attach(sample, factors, list(margins)).withColumn(name, base * F.col("_factor")).drop("_factor")
+    return attach(sample, factors, list(margins), null_safe=True).withColumn(name, base * F.col("_factor")).drop("_factor")
