@@ -1,6 +1,7 @@
 """Column functions: every one returns built-in Spark expressions."""
 
 from .dates import day_gap, mean_date, parse_day
+from .names import named, quoted
 from .numbers import band, half_width, nonresponse_range, safe_ratio, standard_error, sum_policy
 from .recode import collapse_other, null_tokens, recode, recode_frame
 from .text import (
@@ -22,10 +23,12 @@ __all__ = [
     "extract",
     "half_width",
     "mean_date",
+    "named",
     "nonresponse_range",
     "nth_choice",
     "null_tokens",
     "parse_day",
+    "quoted",
     "range_label",
     "recode",
     "recode_frame",

@@ -8,6 +8,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from .names import named
+
 
 def _literal_map(mapping: Mapping) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
@@ -23,7 +25,7 @@ def recode_frame(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Apply one map to every text cell of a frame."""
     return df.select(
         *[
-            recode(F.col(f.name), mapping).alias(f.name) if isinstance(f.dataType, StringType) else f.name
+            recode(named(f.name), mapping).alias(f.name) if isinstance(f.dataType, StringType) else named(f.name)
             for f in df.schema.fields
         ]
     )
@@ -38,9 +40,9 @@ def null_tokens(df: DataFrame, tokens: Sequence[str]) -> DataFrame:
     """Turn marker texts such as ``"/"`` into NULL in every text column."""
     return df.select(
         *[
-            F.when(~F.col(f.name).isin(*tokens), F.col(f.name)).alias(f.name)
+            F.when(~named(f.name).isin(*tokens), named(f.name)).alias(f.name)
             if isinstance(f.dataType, StringType)
-            else f.name
+            else named(f.name)
             for f in df.schema.fields
         ]
     )

@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import quoted
+
 
 def to_long(
     df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = None, name: str = "variable", value: str = "value"
 ) -> DataFrame:
     """One row per id and measure column."""
     measures = list(values) if values is not None else [c for c in df.columns if c not in ids]
-    return df.unpivot(list(ids), measures, name, value)
+    return df.unpivot([quoted(c) for c in ids], [quoted(c) for c in measures], name, value)
 
 
 def to_wide(df: DataFrame, ids: Sequence[str], name: str, levels: Sequence[str], value: Column) -> DataFrame:

@@ -38,7 +38,8 @@ def table_rows(
     """Body rows of the table on each page, one text column per wanted header.
 
     A header is looked up by its text, so pages may order or lack columns
-    (NULL then). The leading column is taken by position. ``shifted`` names, per
+    (NULL then); the columns are named in lower case without dots. The leading
+    column is taken by position. ``shifted`` names, per
     page key, the headers whose cells stand one place further right.
     """
     heads = F.transform(F.regexp_extract_all(F.col(html), F.lit(HEAD_CELL), 1), cell_text)
@@ -62,7 +63,7 @@ def table_rows(
         key,
         "row",
         F.get("_cells", 0).alias(first_column),
-        *[cell(h).alias(h.lower()) for h in headers],
+        *[cell(h).alias(h.lower().replace(".", "")) for h in headers],
     )
 
 
@@ -83,7 +84,7 @@ POLL_HEADERS = (
 )
 POLL_PARTIES = {
     "cdu/csu": "CDU/CSU", "spd": "SPD", "grüne": "Grüne", "fdp": "FDP", "linke": "Linke",
-    "afd": "AfD", "sonstige": "sonstige", "nichtwähler/unentschl.": "nw_un", "fw": "fw",
+    "afd": "AfD", "sonstige": "sonstige", "nichtwähler/unentschl": "nw_un", "fw": "fw",
 }
 ELECTION_ROW = "Bundestagswahl"
 SHIFTED_CELLS = {"politbarometer": ("Befragte", "Zeitraum")}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions import decimal_comma, null_tokens
+from ..functions import decimal_comma, named, null_tokens
 
 
 def read_wave(
@@ -65,7 +65,7 @@ def read_statistics(
         .select("line", "_row.*")
     )
     cells = null_tokens(cells, na)
-    return cells.withColumns({c: decimal_comma(F.col(c)) for c in numeric})
+    return cells.withColumns({c: decimal_comma(named(c)) for c in numeric})
 
 
 def read_two_row_header(
