@@ -2,9 +2,10 @@
 
 A window over few, long series runs on as many tasks as there are series. When
 the largest series fits a task the plain window is used. Otherwise the rows are
-range-partitioned by (series, order), the partition number is fixed by writing
-the result to the shared folder, and each chunk is finished from a small summary
-of the chunks before it.
+range-partitioned and sorted by (series, order), and chunk number and position
+are fixed by writing them to the shared folder. A summary per chunk (first and
+last position, last known value) then completes each chunk from the chunks
+before it.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..functions import quoted
 from .sizing import ROWS_PER_TASK, attach, chunks_for, group_sizes, join_null_safe, settle
 
 CHUNK = "_chunk"
+POSITION = "_position"
+# monotonically_increasing_id holds the partition above this bit and the position below it.
+POSITION_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -33,10 +38,6 @@ class Ordered:
     def ascending(self) -> list[Column]:
         return [F.col(c).asc_nulls_last() for c in self.order]
 
-    @property
-    def descending(self) -> list[Column]:
-        return [F.col(c).desc_nulls_first() for c in self.order]
-
     @property
     def groups(self) -> list[str]:
         return [*self.keys, CHUNK] if self.chunked else list(self.keys)
@@ -61,67 +62,73 @@ def in_order(
     if largest <= rows_per_task:
         return Ordered(df, tuple(keys), tuple(order), chunked=False)
     sort = [F.col(c).asc_nulls_last() for c in (*keys, *order)]
-    placed = df.repartitionByRange(chunks_for(total, rows_per_task), *sort)
-    return Ordered(
-        settle(placed.withColumn(CHUNK, F.spark_partition_id())), tuple(keys), tuple(order), chunked=True
+    placed = settle(
+        df.repartitionByRange(chunks_for(total, rows_per_task), *sort)
+        .sortWithinPartitions(*sort)
+        .withColumn("_place", F.monotonically_increasing_id())
+    ).selectExpr(
+        *map(quoted, df.columns),
+        f"shiftright(_place, {POSITION_BITS}) AS {CHUNK}",
+        f"_place & {2**POSITION_BITS - 1} AS {POSITION}",
+    )
+    return Ordered(placed, tuple(keys), tuple(order), chunked=True)
+
+
+def _spans(rows: Ordered) -> DataFrame:
+    """First and last position of every (series, chunk)."""
+    return rows.frame.groupBy(*rows.groups).agg(
+        F.min(POSITION).alias("_first"), F.max(POSITION).alias("_last")
     )
 
 
+def _earlier_chunks(rows: Ordered) -> WindowSpec:
+    """Over one row per (series, chunk): the chunks before this one."""
+    return Window.partitionBy(*rows.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def trailing(
     rows: Ordered, lookback: int, columns: dict[str, Callable[[WindowSpec], Column]]
 ) -> DataFrame:
     """Add columns computed over the current row and the ``lookback`` rows before it."""
-    if not rows.chunked:
-        window = rows.window().rowsBetween(-lookback, 0)
-        return rows.frame.withColumns({name: make(window) for name, make in columns.items()})
-
-    carried = _rows_before_chunk(rows, lookback)
-    both = rows.frame.withColumn("_carried", F.lit(False)).unionByName(
-        carried.withColumn("_carried", F.lit(True))
-    )
     window = rows.window().rowsBetween(-lookback, 0)
-    return (
-        both.withColumns({name: make(window) for name, make in columns.items()})
-        .filter(~F.col("_carried"))
-        .drop("_carried", CHUNK)
+    added = {name: make(window) for name, make in columns.items()}
+    if not rows.chunked:
+        return rows.frame.withColumns(added)
+    stored = rows.frame.drop(POSITION)
+    both = stored.withColumn("_carried", F.lit(False)).unionByName(
+        _rows_before_chunks(rows, lookback).withColumn("_carried", F.lit(True))
     )
+    return both.withColumns(added).filter(~F.col("_carried")).drop("_carried", CHUNK)
 
 
-def _rows_before_chunk(rows: Ordered, lookback: int) -> DataFrame:
+def _rows_before_chunks(rows: Ordered, lookback: int) -> DataFrame:
     """For each chunk the ``lookback`` rows before its first row, labelled with that chunk."""
-    backwards = Window.partitionBy(*rows.groups).orderBy(*rows.descending)
     tails = (
-        rows.frame.withColumn("_back", F.row_number().over(backwards))
-        .filter(F.col("_back") <= lookback)
-        .drop("_back")
+        attach(rows.frame, _spans(rows), rows.groups, null_safe=True)
+        .filter(F.col(POSITION) > F.col("_last") - lookback)
+        .drop("_first", "_last", POSITION)
     )
     # At most lookback rows per chunk are left, so this window stays small.
     series = Window.partitionBy(*rows.keys).orderBy(*rows.ascending)
-    tails = tails.withColumn("_pos", F.row_number().over(series))
-    starts = tails.groupBy(*rows.keys, CHUNK).agg(F.min("_pos").alias("_next"))
+    tails = settle(tails.withColumn("_rank", F.row_number().over(series)))
+    starts = tails.groupBy(*rows.groups).agg(F.min("_rank").alias("_next"))
     wanted = tails.drop(CHUNK).withColumn(
-        "_next", F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + lookback))
+        "_next", F.explode(F.sequence(F.col("_rank") + 1, F.col("_rank") + lookback))
     )
-    return join_null_safe(wanted, starts, [*rows.keys, "_next"], "inner").drop("_pos", "_next")
+    return join_null_safe(wanted, starts, [*rows.keys, "_next"], "inner").drop("_rank", "_next")
 
 
 def number_rows(rows: Ordered, name: str) -> DataFrame:
     """Add a dense 1..n row number per key."""
-    numbered = rows.frame.withColumn(name, F.row_number().over(rows.window()).cast("long"))
     if not rows.chunked:
-        return numbered
-    earlier = (
-        Window.partitionBy(*rows.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        rows.frame.groupBy(*rows.groups)
-        .count()
-        .select(*rows.groups, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_offset"))
-    )
+        return rows.frame.withColumn(name, F.row_number().over(rows.window()).cast("long"))
+    size = F.col("_last") - F.col("_first") + 1
+    before = F.coalesce(F.sum(size).over(_earlier_chunks(rows)), F.lit(0))
+    offsets = _spans(rows).select(*rows.groups, (before - F.col("_first") + 1).alias("_offset"))
     return (
-        attach(numbered, offsets, rows.groups, null_safe=True)
-        .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_offset", CHUNK)
+        attach(rows.frame, offsets, rows.groups, null_safe=True)
+        .withColumn(name, F.col(POSITION) + F.col("_offset"))
+        .drop("_offset", CHUNK, POSITION)
     )
 
 
@@ -131,17 +138,14 @@ def carry_forward(rows: Ordered, value: str, name: str) -> DataFrame:
     filled = rows.frame.withColumn(name, F.last(value, ignorenulls=True).over(here))
     if not rows.chunked:
         return filled
-    position = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in rows.order])
-    earlier = (
-        Window.partitionBy(*rows.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    known = F.when(F.col(value).isNotNull(), F.col(POSITION))
     before = (
         rows.frame.groupBy(*rows.groups)
-        .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), position)).alias("_last"))
-        .select(*rows.groups, F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+        .agg(F.max_by(F.col(value), known).alias("_here"))
+        .select(*rows.groups, F.last("_here", ignorenulls=True).over(_earlier_chunks(rows)).alias("_before"))
     )
     return (
         attach(filled, before, rows.groups, null_safe=True)
         .withColumn(name, F.coalesce(F.col(name), F.col("_before")))
-        .drop("_before", CHUNK)
+        .drop("_before", CHUNK, POSITION)
     )
