@@ -2,7 +2,7 @@
 
 from .dates import day_gap, mean_date, parse_day
 from .names import named, quoted
-from .numbers import band, half_width, nonresponse_range, safe_ratio, standard_error, sum_policy
+from .numbers import band, half_width, nonresponse_range, round_to, safe_ratio, standard_error, sum_policy
 from .recode import collapse_other, null_tokens, recode, recode_frame
 from .text import (
     decimal_comma,
@@ -34,6 +34,7 @@ __all__ = [
     "recode_frame",
     "replace_all",
     "replace_first",
+    "round_to",
     "safe_ratio",
     "split_label",
     "standard_error",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def parse_day(text: Column, pattern: str = "dd.MM.yyyy") -> Column:
     """Text to date; text in another form becomes NULL."""
-    return F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+    return F.try_to_date(text, pattern)
 
 
 def mean_date(day: Column) -> Column:

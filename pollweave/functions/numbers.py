@@ -27,6 +27,13 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
+def round_to(value: Column, digits: int, ties: str = "up") -> Column:
+    """Round with ties away from zero (``"up"``) or to the even digit (``"even"``)."""
+    if ties not in ("up", "even"):
+        raise ValueError(f"unknown ties {ties!r}")
+    return F.round(value, digits) if ties == "up" else F.bround(value, digits)
+
+
 def sum_policy(value: Column, na_policy: str = "skip") -> Column:
     """Sum that skips NULL, or is NULL as soon as one input is (``"propagate"``)."""
     if na_policy == "skip":

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import half_width, safe_ratio, standard_error
+from ..functions import half_width, round_to, safe_ratio, standard_error
 from .ordered import in_order, trailing
 from .sizing import BROADCAST_ROWS, ROWS_PER_TASK, group_sizes, settle, settle_counted
 
@@ -15,13 +15,18 @@ from .sizing import BROADCAST_ROWS, ROWS_PER_TASK, group_sizes, settle, settle_c
 EXACT = "decimal(30,12)"
 
 
-def with_errors(polls: DataFrame, share: str = "anteil", size: str = "befragte", digits: int | None = None) -> DataFrame:
-    """Add standard error ``se``, half-width ``delta`` and the interval bounds of every poll."""
+def with_errors(
+    polls: DataFrame, share: str = "anteil", size: str = "befragte", digits: int | None = None, ties: str = "up"
+) -> DataFrame:
+    """Add standard error ``se``, half-width ``delta`` and the interval bounds of every poll.
+
+    ``digits`` rounds all but ``se``, with ties away from zero or to the even digit.
+    """
     p, n = F.col(share), F.col(size)
     width = half_width(p, n)
     columns = {"se": standard_error(p, n), "delta": width, "ci_lower": p - width, "ci_higher": p + width}
     if digits is not None:
-        columns = {k: v if k == "se" else F.round(v, digits) for k, v in columns.items()}
+        columns = {k: v if k == "se" else round_to(v, digits, ties) for k, v in columns.items()}
     return polls.withColumns(columns)
 
 

@@ -202,11 +202,27 @@ def ols_multiple(spark, folder):
     return spark.createDataFrame(rows, "term STRING, estimate DOUBLE")
 
 
-@query("impute_regression_factors")
+# Normal equations of three predictors, solved by determinants.
+_THREE_SQL = """v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x, l_discount AS b,
+  CASE l_linestatus WHEN 'O' THEN 1.0 ELSE 0.0 END AS c, CASE WHEN l_returnflag <> 'N' THEN l_extendedprice END AS y FROM lineitem),
+m AS (SELECT var_pop(x) AS xx, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(x, b) AS xb, covar_pop(x, c) AS xc,
+  covar_pop(b, c) AS bc, covar_pop(x, y) AS xy, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy,
+  avg(x) AS mx, avg(b) AS mb, avg(c) AS mc, avg(y) AS my FROM v WHERE y IS NOT NULL),
+d AS (SELECT *, xx * (bb * cc - bc * bc) - xb * (xb * cc - bc * xc) + xc * (xb * bc - bb * xc) AS det FROM m),
+s AS (SELECT *, (xy * (bb * cc - bc * bc) - xb * (by_ * cc - bc * cy) + xc * (by_ * bc - bb * cy)) / det AS sx,
+  (xx * (by_ * cc - bc * cy) - xy * (xb * cc - bc * xc) + xc * (xb * cy - by_ * xc)) / det AS sb,
+  (xx * (bb * cy - by_ * bc) - xb * (xb * cy - by_ * xc) + xy * (xb * bc - bb * xc)) / det AS sc FROM d)"""
+
+
+@query(
+    "impute_regression_factors",
+    f"""WITH {_THREE_SQL} SELECT l_orderkey, l_linenumber, l_partkey, v.x,
+round(coalesce(y, my + sx * (v.x - mx) + sb * (b - mb) + sc * (c - mc)), 2) AS y_imp FROM v, s""",
+)
 def fill_regression(spark, folder):
     """Numeric and categorical predictors."""
     filled = impute_regression(_line_rows(spark, folder), "y", ["x", "l_discount"], ["l_linestatus"], "y_imp")
-    return filled.select("l_orderkey", "l_linenumber", "l_partkey", "x", F.round("y_imp", 3).alias("y_imp"))
+    return filled.select("l_orderkey", "l_linenumber", "l_partkey", "x", F.round("y_imp", 2).alias("y_imp"))
 
 
 @query("impute_stochastic")

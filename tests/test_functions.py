@@ -20,6 +20,7 @@ from pollweave.functions import (
     recode,
     recode_frame,
     replace_first,
+    round_to,
     split_label,
     sum_policy,
     survey_mode,
@@ -110,6 +111,12 @@ def test_labels_and_errors(spark):
     assert rows[1].w is None  # no respondents
 
 
+def test_rounding_of_ties(spark):
+    rows = [(0.5,), (1.5,), (2.5,)]
+    assert values(spark, round_to(F.col("x"), 0), rows, "x DOUBLE") == [1.0, 2.0, 3.0]
+    assert values(spark, round_to(F.col("x"), 0, "even"), rows, "x DOUBLE") == [0.0, 2.0, 2.0]
+
+
 def test_survey_mode(spark):
     rows = [("O • 2.004",), ("T • 1.500",), ("1.000",)]
     assert values(spark, survey_mode(F.col("x")), rows) == ["online", "telefon", "keineangabe"]

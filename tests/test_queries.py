@@ -6,7 +6,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tools.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS_ONLY = {"impute_stochastic", "impute_regression_factors"}
+ROWS_ONLY = {"impute_stochastic"}
 
 
 @pytest.fixture(scope="module")
