@@ -77,9 +77,9 @@ def fit_linear(df: DataFrame, y: str, numeric: Sequence[str], categorical: Seque
     stages = []
     encoded = []
     for c in categorical:
-        # The first label in sort order is the reference level.
-        stages.append(StringIndexer(inputCol=c, outputCol=f"_{c}_i", stringOrderType="alphabetDesc", handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCol=f"_{c}_i", outputCol=f"_{c}_v", dropLast=True, handleInvalid="error"))
+        # The first label in sort order is the reference level: it is indexed last and dropped.
+        stages.append(StringIndexer(inputCol=c, outputCol=f"_{c}_i", stringOrderType="alphabetDesc"))
+        stages.append(OneHotEncoder(inputCol=f"_{c}_i", outputCol=f"_{c}_v", dropLast=True))
         encoded.append(f"_{c}_v")
     stages.append(VectorAssembler(inputCols=[*numeric, *encoded], outputCol="_x", handleInvalid="skip"))
     stages.append(LinearRegression(featuresCol="_x", labelCol=y, predictionCol="_prediction", solver="normal"))
@@ -89,12 +89,16 @@ def fit_linear(df: DataFrame, y: str, numeric: Sequence[str], categorical: Seque
 def impute_regression(
     df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str], name: str
 ) -> DataFrame:
-    """Fill NULL ``y`` with the prediction; rows with a NULL predictor stay NULL."""
-    predictors = [*numeric, *categorical]
+    """Fill NULL ``y`` with the prediction.
+
+    Rows with a NULL predictor, or with a label that no complete row has, stay NULL.
+    """
     model = fit_linear(df, y, numeric, categorical)
     usable = F.lit(True)
-    for c in predictors:
+    for c in numeric:
         usable = usable & F.col(c).isNotNull()
+    for c, indexed in zip(categorical, model.stages[::2]):
+        usable = usable & F.coalesce(F.col(c).isin(*indexed.labels), F.lit(False))
     scored = model.transform(df.filter(usable)).select(
         *df.columns, F.coalesce(F.col(y), F.col("_prediction")).alias(name)
     )

@@ -164,10 +164,17 @@ def test_regression_equals_numpy(incomes):
         elif np.isnan(row.rooms):
             assert np.isnan(got)
         else:
-            assert got == pytest.approx(beta @ [1, row.age, row.rooms, row.sex == "m", row.sex == "x"], rel=1e-6)
+            assert got == pytest.approx(beta @ [1, row.age, row.rooms, row.sex == "m", row.sex == "x"], rel=1e-10)
     assert fit_linear(incomes, "income", ["age"]).stages[-1].coefficients.size == 1
 
 
+def test_unseen_label_is_not_predicted(incomes):
+    odd = incomes.withColumn("sex", F.when(F.col("id") == 4, "new").otherwise(F.col("sex")))
+    filled = impute_regression(odd, "income", ["age"], ["sex"], "y")
+    assert filled.count() == 300
+    assert [r.id for r in filled.filter("y IS NULL").collect()] == [4]
+
+
 def test_simple_fills(incomes, spark):
     line = line_fit(incomes, "income", "age").first()
     known = incomes.toPandas().dropna(subset=["income"])
