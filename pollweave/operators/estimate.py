@@ -70,115 +70,136 @@ class Design:
     weight: str | None = None
 
 
-def with_design_weight(df: DataFrame, design: Design, name: str = "_w") -> DataFrame:
-    """Add the sampling weight: the given one, or the product of 1/fraction over the stages."""
+def with_design_weight(df: DataFrame, design: Design, name: str = "design_weight") -> DataFrame:
+    """Add the sampling weight: the given one, or population over sampled units, multiplied over the stages."""
     if design.weight is not None:
         return df.withColumn(name, F.col(design.weight).cast("double"))
-    if not design.populations:
-        return df.withColumn(name, F.lit(1.0))
     factor = F.lit(1.0)
-    stages = design.clusters or (None,)
     for depth, population in enumerate(design.populations):
-        if stages[depth] is None:
+        units = design.clusters[: depth + 1]
+        if not units:
             sampled = df.agg(F.count(F.lit(1)).alias("_n")).scalar()
         elif depth == 0:
-            sampled = df.agg(F.count_distinct(stages[0]).alias("_n")).scalar()
+            sampled = df.agg(F.count_distinct(units[0]).alias("_n")).scalar()
         else:
-            per_parent = df.groupBy(*stages[:depth]).agg(F.count_distinct(stages[depth]).alias("_sampled"))
-            df = attach(df, per_parent, stages[:depth])
+            parent = units[:depth]
+            per_parent = df.groupBy(*parent).agg(F.count_distinct(units[depth]).alias("_sampled"))
+            df = attach(df, per_parent, parent, null_safe=True)
             sampled = F.col("_sampled")
-        factor = factor * safe_ratio(F.col(population).cast("double"), sampled)
+        factor = safe_ratio(factor * F.col(population).cast("double"), sampled)
     return df.withColumn(name, factor).drop("_sampled")
 
 
-def design_mean(df: DataFrame, value: str, design: Design, poststrata: Sequence[str] = ()) -> DataFrame:
-    """Design-based mean and standard error (one row); rows with a NULL value are left out.
-
-    The linearised residual of a unit is w(y - mean)/sum(w), so its sum over a
-    cluster needs only sum(w*y) and sum(w) of the cluster: the respondents are
-    read once and the variance is computed on the cluster table. With
-    ``poststrata`` the residuals are taken from the stratum means.
+def design_mean(
+    df: DataFrame,
+    value: str,
+    design: Design,
+    poststrata: Sequence[str] = (),
+    keep_unobserved: bool = False,
+) -> DataFrame:
+    """Design-based mean and standard error (one row).
+
+    Rows with a NULL value are removed; with ``keep_unobserved`` their units still
+    belong to the sample, so they count in its size and contribute nothing. The
+    linearised residual of a unit is w(y - mean)/sum(w): its sum over a cluster
+    needs only sum(w*y) and sum(w) of the cluster, so the respondents are read
+    once and the variance is computed on the cluster table. With ``poststrata``
+    the residuals are taken from the stratum means.
     """
-    units = with_design_weight(df.filter(F.col(value).isNotNull()), design)
-    y, w = F.col(value).cast("double"), F.col("_w")
+    if not keep_unobserved:
+        df = df.filter(F.col(value).isNotNull())
     if not design.clusters:
-        return _mean_of_units(units, y, w, design, poststrata)
-    ids = list(design.clusters)
-    sizes = [F.max(p).cast("double").alias(f"_size{i}") for i, p in enumerate(design.populations)]
-    cells = settle(
-        units.groupBy(*ids, *poststrata).agg(F.sum(w * y).alias("_wy"), F.sum(w).alias("_w"), *sizes)
-    )
-    mean = cells.agg(safe_ratio(F.sum("_wy"), F.sum("_w"))).scalar()
-    total = cells.agg(F.sum("_w")).scalar()
-    centre = mean
+        return _mean_of_units(df, value, design, poststrata)
+    sizes = [f"_size{i}" for i in range(len(design.populations))]
+    cells = settle(_cluster_cells(df, value, design, poststrata, sizes))
+    if design.weight is None:
+        cells = _weighted_by_fractions(cells, design, sizes)
+    totals = cells.agg(F.expr("struct(sum(_wy) AS wy, sum(_w) AS w)")).scalar()
     if poststrata:
-        means = cells.groupBy(*poststrata).agg(safe_ratio(F.sum("_wy"), F.sum("_w")).alias("_centre"))
-        cells = attach(cells, means, poststrata)
-        centre = F.col("_centre")
-    scores = cells.withColumn("_z", (F.col("_wy") - centre * F.col("_w")) / total)
-    carried = [f"_size{i}" for i in range(len(design.populations))]
-    keep = [F.max(c).alias(c) for c in carried]
-    first = ids[0]
-    stage1 = scores.groupBy(first).agg(F.sum("_z").alias("_z"), *keep)
-    variance = _between(stage1, "_size0" if carried else None)
-    if len(ids) > 1:
-        stage2 = scores.groupBy(*ids).agg(F.sum("_z").alias("_z"), *keep)
-        variance = variance.select(
-            (F.col("_v") + _within(stage2, first, stage1, carried).scalar()).alias("_v")
-        )
-    return variance.select(mean.alias("mean"), F.sqrt("_v").alias("se"))
-
-
-def _mean_of_units(
-    units: DataFrame, y: Column, w: Column, design: Design, poststrata: Sequence[str]
-) -> DataFrame:
-    """Element sampling: every unit is its own cluster, so a few sums per stratum are enough."""
-    size = F.max(design.populations[0]).cast("double") if design.populations else F.lit(None).cast("double")
-    sums = units.groupBy(*poststrata).agg(
-        F.sum(w * y).alias("wy"),
-        F.sum(w).alias("w"),
-        F.sum(w * w * y * y).alias("w2y2"),
-        F.sum(w * w * y).alias("w2y"),
-        F.sum(w * w).alias("w2"),
-        F.count(F.lit(1)).alias("n"),
-        size.alias("size"),
-    )
-    centred = sums.withColumn("c", F.expr("try_divide(wy, w)")).withColumn(
-        "squares", F.expr("w2y2 - 2 * c * w2y + c * c * w2")
-    )
+        means = cells.groupBy(*poststrata).agg(F.expr("try_divide(sum(_wy), sum(_w)) AS _centre"))
+        cells = attach(cells, means, poststrata, null_safe=True).withColumn("_total", totals)
+    else:
+        cells = cells.withColumn("_total", totals).withColumn("_centre", F.expr("_total.wy / _total.w"))
+    scores = cells.withColumn("_z", F.expr("coalesce(_wy - _centre * _w, 0.0D) / _total.w"))
+    keep = [F.max(c).alias(c) for c in sizes]
+    if len(design.clusters) > 1:
+        scores = scores.groupBy(*design.clusters).agg(F.sum("_z").alias("_z"), *keep)
+    n, n1 = F.count(F.lit(1)), F.count(F.lit(1)).cast("double")
+    within = F.lit(0.0)
+    if len(design.clusters) > 1:
+        rest = 1 - n1 / F.max(sizes[1]) if len(sizes) > 1 else F.lit(1.0)
+        within = F.coalesce(rest * safe_ratio(n, n - 1) * F.var_pop("_z") * n, F.lit(0.0))
+    firsts = scores.groupBy(design.clusters[0]).agg(F.sum("_z").alias("_z"), within.alias("_within"), *keep)
+    # Without a first-stage population the sampling fraction is taken as 0.
+    fraction = F.coalesce(n1 / F.max(sizes[0]), F.lit(0.0)) if sizes else F.lit(0.0)
+    variance = (1 - fraction) * safe_ratio(n, n - 1) * F.var_pop("_z") * n + fraction * F.sum("_within")
     return (
-        centred.agg(
-            *[F.sum(x).alias(x) for x in ("wy", "w", "n", "squares")], F.max("size").alias("size")
-        )
-        .withColumn(
-            "variance",
-            F.expr("coalesce(1 - try_divide(n, size), 1.0D) * try_divide(n, n - 1) * try_divide(squares, w * w)"),
-        )
-        .selectExpr("try_divide(wy, w) AS mean", "sqrt(greatest(variance, 0.0D)) AS se")
+        firsts.agg(F.sqrt(variance).alias("se"))
+        .withColumn("_total", totals)
+        .selectExpr("_total.wy / _total.w AS mean", "se")
+    )
+
+
+def _cluster_cells(
+    df: DataFrame, value: str, design: Design, poststrata: Sequence[str], sizes: Sequence[str]
+) -> DataFrame:
+    """sum(w*y) and sum(w) of the known values per cluster; unweighted sums when weights are derived."""
+    weight = f"CAST({design.weight} AS DOUBLE)" if design.weight is not None else "1.0D"
+    return df.groupBy(*design.clusters, *poststrata).agg(
+        F.expr(f"sum({weight} * {value}) AS _wy"),
+        F.expr(f"coalesce(sum(IF({value} IS NOT NULL, {weight}, NULL)), 0.0D) AS _w"),
+        *[F.max(p).cast("double").alias(size) for p, size in zip(design.populations, sizes)],
     )
 
 
-def _between(scores: DataFrame, size: str | None) -> DataFrame:
-    """(1-f) n/(n-1) sum (z - mean z)^2 over first-stage units (one row)."""
-    n = F.count(F.lit(1))
-    spread = F.var_pop("_z") * n
-    population = F.max(size) if size else F.lit(None).cast("double")
-    correction = F.coalesce(1 - safe_ratio(n.cast("double"), population), F.lit(1.0))
-    return scores.agg((correction * safe_ratio(n, n - 1) * spread).alias("_v"))
+def _weighted_by_fractions(cells: DataFrame, design: Design, sizes: Sequence[str]) -> DataFrame:
+    """Apply population over sampled units per stage; the first stage's sample size cancels out."""
+    factor = F.lit(1.0)
+    for depth, size in enumerate(sizes):
+        factor = factor * F.col(size)
+        if depth > 0:
+            parent = design.clusters[:depth]
+            sampled = (
+                cells.select(*design.clusters[: depth + 1])
+                .distinct()
+                .groupBy(*parent)
+                .agg(F.count(F.lit(1)).alias(f"_sampled{depth}"))
+            )
+            cells = attach(cells, sampled, parent, null_safe=True)
+            factor = safe_ratio(factor, F.col(f"_sampled{depth}"))
+    return cells.withColumn("_factor", factor).withColumns(
+        {"_wy": F.col("_wy") * F.col("_factor"), "_w": F.col("_w") * F.col("_factor")}
+    )
+
 
+def _mean_of_units(df: DataFrame, value: str, design: Design, poststrata: Sequence[str]) -> DataFrame:
+    """Element sampling: every unit is its own cluster, so a few sums per stratum are enough.
 
-def _within(stage2: DataFrame, first: str, stage1: DataFrame, sizes: Sequence[str]) -> DataFrame:
-    """Second-stage part: f1 times the variance within every first-stage unit (one row)."""
-    n = F.count(F.lit(1))
-    population2 = F.max(sizes[1]) if len(sizes) > 1 else F.lit(None).cast("double")
-    correction = F.coalesce(1 - safe_ratio(n.cast("double"), population2), F.lit(1.0))
-    inner = stage2.groupBy(first).agg(
-        F.coalesce(correction * safe_ratio(n, n - 1) * F.var_pop("_z") * n, F.lit(0.0)).alias("_v2")
+    A derived weight is the population over the sample size, which cancels out.
+    """
+    population = design.populations[0] if design.populations else "NULL"
+    weight = design.weight if design.weight is not None else "1.0D"
+    units = df.selectExpr(
+        *poststrata,
+        f"CAST({value} AS DOUBLE) AS y",
+        f"IF({value} IS NOT NULL, CAST({weight} AS DOUBLE), NULL) AS w",
+        f"CAST({population} AS DOUBLE) AS size",
     )
-    # Without a first-stage population the sampling fraction is taken as 0.
-    population1 = F.max(sizes[0]) if sizes else F.lit(None).cast("double")
-    fraction = stage1.agg(F.coalesce(safe_ratio(n.cast("double"), population1), F.lit(0.0))).scalar()
-    return inner.agg((fraction * F.sum("_v2")).alias("_v"))
+    sums = units.groupBy(*poststrata).agg(
+        F.expr("sum(w * y) AS wy"),
+        F.expr("sum(w) AS w"),
+        F.expr("sum(w * w * y * y) AS w2y2"),
+        F.expr("sum(w * w * y) AS w2y"),
+        F.expr("sum(w * w) AS w2"),
+        F.expr("count(*) AS n"),
+        F.expr("max(size) AS size"),
+    )
+    squares = "w2y2 - 2 * try_divide(wy, w) * w2y + try_divide(wy, w) * try_divide(wy, w) * w2"
+    whole = sums.selectExpr("*", f"{squares} AS squares").agg(
+        *[F.sum(x).alias(x) for x in ("wy", "w", "n", "squares")], F.max("size").alias("size")
+    )
+    variance = "coalesce(1 - try_divide(n, size), 1.0D) * try_divide(n, n - 1) * try_divide(squares, w * w)"
+    return whole.selectExpr("try_divide(wy, w) AS mean", f"sqrt(greatest({variance}, 0.0D)) AS se")
 
 
 def summary_statistics(df: DataFrame, value: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

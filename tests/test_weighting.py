@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pollweave.operators.estimate import Design, design_mean, nonresponse_bounds, outcome_shares, turnout_rate
+from pollweave.operators.estimate import Design, design_mean, nonresponse_bounds, outcome_shares, turnout_rate, with_design_weight
 from pollweave.operators.strata import complete_strata, split_category, strata_counts
 from pollweave.operators.weighting import (
     empty_strata,
@@ -165,6 +165,40 @@ def test_missing_values_are_left_out(sample):
     assert design_mean(gaps, "enroll", Design(("dnum",))).first() == design_mean(known, "enroll", Design(("dnum",))).first()
 
 
+def test_unobserved_units_still_belong_to_the_sample(sample):
+    gaps = sample.withColumn("enroll", F.when(F.col("id") % 5 > 0, F.col("enroll")))
+    data = gaps.toPandas()
+    y = data.enroll.to_numpy()
+    mean = np.nanmean(y)
+    z = np.nan_to_num(y - mean) / np.sum(~np.isnan(y))
+    found = design_mean(gaps, "enroll", Design(), keep_unobserved=True).first()
+    assert found["mean"] == pytest.approx(mean)
+    assert found.se == pytest.approx(np.sqrt(600 / 599 * (z**2).sum()))
+
+
+def test_derived_weights(sample):
+    sized = sample.withColumns({"N1": F.lit(60), "N2": F.lit(100)})
+    weighted = with_design_weight(sized, Design(("dnum", "id"), ("N1", "N2")))
+    assert weighted.count() == 600
+    assert weighted.filter("abs(design_weight - 60 / 15 * 100 / 40) > 1e-9").count() == 0
+    plain = with_design_weight(sized.withColumn("N", F.lit(2400)), Design((), ("N",)))
+    assert plain.filter("design_weight <> 4.0").count() == 0
+    given = with_design_weight(sized.withColumn("pw", F.lit(2)), Design((), (), "pw"))
+    assert given.filter("design_weight <> 2.0").count() == 0
+
+
+def test_two_stage_error_equals_numpy(sample):
+    sized = sample.withColumns({"N1": F.lit(60), "N2": F.lit(100)})
+    found = design_mean(sized, "enroll", Design(("dnum", "id"), ("N1", "N2"))).first()
+    data = sample.toPandas()
+    y, c = data.enroll.to_numpy(), data.dnum.to_numpy()
+    z = (y - y.mean()) / 600
+    first = np.array([z[c == k].sum() for k in range(15)])
+    v1 = (1 - 15 / 60) * 15 / 14 * ((first - first.mean()) ** 2).sum()
+    v2 = sum((1 - 40 / 100) * 40 / 39 * ((z[c == k] - z[c == k].mean()) ** 2).sum() for k in range(15))
+    assert found.se == pytest.approx(np.sqrt(v1 + 15 / 60 * v2))
+
+
 def test_stratified_mean(spark):
     sample = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 10.0)], "k STRING, y DOUBLE")
     people = spark.createDataFrame([("a", 75), ("b", 25)], "k STRING, n BIGINT")
