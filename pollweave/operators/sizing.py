@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import shared_folder
 
@@ -28,10 +28,9 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``settle`` and the number of rows, observed while they are written."""
-    seen = Observation()
-    kept = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return kept, seen.get["rows"]
+    """``settle`` and the number of stored rows."""
+    kept = settle(df)
+    return kept, kept.count()
 
 
 def attach(

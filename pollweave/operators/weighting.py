@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import safe_ratio
 from .sizing import BROADCAST_ROWS, attach, settle, settle_counted
@@ -205,11 +205,9 @@ def rake_cells(
             for column in columns:
                 cells = _fit_margin(cells, column, size <= window_cells)
             rounds += 1
-        moved = Observation()
-        cells = settle(
-            cells.observe(moved, F.expr("max(abs(try_divide(_w - _old, _old)))").alias("change"))
-        )
-        change = moved.get["change"] or 0.0
+        cells = settle(cells)
+        if tolerance is not None:
+            change = cells.agg(F.expr("max(abs(try_divide(_w - _old, _old)))")).first()[0] or 0.0
     return Raked(
         cells.selectExpr(*columns, "_w AS total", "try_divide(_w, _base) AS factor"), rounds, change
     )

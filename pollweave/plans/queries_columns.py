@@ -18,9 +18,8 @@ from ..operators.frames import (
 )
 from ..operators.reshape import append_rows, append_rows_by_position
 from ..operators.sizing import attach
-from .queries_weighting import rounded
 from .registry import query
-from .views import INTENT_LEVELS, PAST_LEVELS, POLLS_SQL, RESP_SQL, people, polls, respondents, table
+from .views import POLLS_SQL, RESP_SQL, people, polls, respondents, table
 
 
 @query(

@@ -68,7 +68,7 @@ def test_round_trips(spark, tmp_path):
     assert (tmp_path / "p" / "w=x").is_dir()
 
 
-PAGE = """<html><body><table class="wilko"><thead><tr><th></th><th>CDU/CSU</th><th>SPD</th><th>GRÜNE</th>{extra}</tr></thead>
+PAGE = """<html><body><table><thead><tr><th></th><th>CDU/CSU</th><th>SPD</th><th>GRÜNE</th>{extra}</tr></thead>
 <tbody>
 <tr><td>24.05.2017</td><td>37,5 %</td><td>≈ 25 %</td><td><b>8</b>&nbsp;%</td>{a}</tr>
 <tr><td>22.09.2013</td><td>41,5 %</td><td>25,7 %</td><td>8,4 %</td>{b}</tr>
