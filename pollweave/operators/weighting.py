@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import safe_ratio
-from .sizing import BROADCAST_ROWS, attach, settle, settle_counted
+from .sizing import attach, settle, settle_counted
 from .strata import share_of_total, strata_counts
 
 
@@ -163,6 +163,8 @@ def empty_strata(sample_counts: DataFrame, population_counts: DataFrame, keys: S
 
 # Rounds between two checkpoints while raking.
 ROUNDS_PER_CHECKPOINT = 5
+# Up to this many margin cells are fitted in one task; more are fitted by grouping and joining.
+CELLS_PER_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -180,13 +182,15 @@ def rake_cells(
     weight: str | None = None,
     max_rounds: int = 50,
     tolerance: float | None = 1e-9,
-    window_cells: int = BROADCAST_ROWS,
+    window_cells: int = CELLS_PER_TASK,
 ) -> Raked:
     """Iterative proportional fitting to several margins.
 
     The respondents are read once and reduced to cells of the margin columns;
     the targets are joined to the cells once. Each round scales the cell weights
-    to one margin after another. Every few rounds the cells are written to the
+    to one margin after another. The cells are counted: a small cell table (it is
+    as large as the product of the categories, not as the sample) sits in one
+    partition, so that its windows need no shuffle. Every few rounds the cells are written to the
     shared folder, which cuts the lineage, and the change is tested against
     ``tolerance``. With ``tolerance=None`` exactly ``max_rounds`` rounds run.
     ``margins`` maps a column to a frame (column, n).
@@ -198,12 +202,15 @@ def rake_cells(
         target = margin.selectExpr(column, f"CAST(n AS DOUBLE) AS _target_{column}")
         cells = cells.join(target, [column], "left")
     cells, size = settle_counted(cells.selectExpr("*", "_base AS _w", "_base AS _old"))
+    small = size <= window_cells
     rounds, change = 0, float("inf")
     while rounds < max_rounds and (tolerance is None or change > tolerance):
+        if small:
+            cells = cells.coalesce(1)
         for _ in range(min(ROUNDS_PER_CHECKPOINT, max_rounds - rounds)):
             cells = cells.withColumn("_old", F.col("_w"))
             for column in columns:
-                cells = _fit_margin(cells, column, size <= window_cells)
+                cells = _fit_margin(cells, column, small)
             rounds += 1
         cells = settle(cells)
         if tolerance is not None:

@@ -9,10 +9,12 @@ from ..operators.estimate import (
     Design,
     design_mean,
     nonresponse_bounds,
+    outcome_shares,
     summary_statistics,
     turnout_rate,
     weighted_mean,
 )
+from ..operators.reshape import append_rows
 from ..operators.strata import strata_counts
 from ..operators.weighting import (
     empty_strata,
@@ -392,3 +394,41 @@ def summary_stats(spark, folder):
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("x")
     )
     return rounded(summary_statistics(prices, "x"), 6, "mean", "q1", "median", "q3")
+
+
+@query(
+    "estimates_by_method",
+    f"""WITH {RESP_SQL}, {_weights_sql(_STRATA_SQL)},
+x AS (
+  SELECT 'unweighted' AS method, intent, count(*) AS n FROM resp WHERE intent <> '{NO_VOTE}' GROUP BY intent
+  UNION ALL
+  SELECT 'weighted', intent, sum(weight) FROM resp LEFT JOIN w USING ({_STRATA_SQL})
+  WHERE intent <> '{NO_VOTE}' GROUP BY intent
+  UNION ALL
+  SELECT 'likely voters', intent, sum(weight) FROM resp LEFT JOIN w USING ({_STRATA_SQL})
+  WHERE intent <> '{NO_VOTE}' AND turnout = 1 GROUP BY intent)
+SELECT method, intent, round(n, 6) AS n, round(100 * n / sum(n) OVER (PARTITION BY method), 8) AS share FROM x""",
+)
+def estimates_by_method(spark, folder):
+    """Unweighted, weighted and likely-voter estimates stacked in one table."""
+    voting = F.col("intent") != NO_VOTE
+    parts = {
+        "unweighted": outcome_shares(respondents(spark, folder), "intent", where=voting),
+        "weighted": weighted_outcome_shares(
+            respondents(spark, folder), population(spark, folder, *STRATA), STRATA, "intent", voting
+        ),
+        "likely voters": weighted_outcome_shares(
+            respondents(spark, folder),
+            population(spark, folder, *STRATA),
+            STRATA,
+            "intent",
+            voting & (F.col("turnout") == 1),
+        ),
+    }
+    stacked = append_rows(
+        *[
+            shares.select(F.lit(method).alias("method"), "intent", F.col("n").cast("double").alias("n"), "share")
+            for method, shares in parts.items()
+        ]
+    )
+    return rounded(stacked, 6, "n").withColumn("share", F.round("share", 8))
