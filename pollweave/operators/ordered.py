@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions import quoted
-from .sizing import ROWS_PER_TASK, attach, chunks_for, group_sizes, join_null_safe, settle
+from .sizing import ROWS_PER_TASK, attach, chunks_for, group_sizes, join_null_safe, settle, store
 
 CHUNK = "_chunk"
 POSITION = "_position"
@@ -62,7 +62,7 @@ def in_order(
     if largest <= rows_per_task:
         return Ordered(df, tuple(keys), tuple(order), chunked=False)
     sort = [F.col(c).asc_nulls_last() for c in (*keys, *order)]
-    placed = settle(
+    placed = store(
         df.repartitionByRange(chunks_for(total, rows_per_task), *sort)
         .sortWithinPartitions(*sort)
         .withColumn("_place", F.monotonically_increasing_id())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +28,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a large intermediate result once as Parquet into the shared folder.
+
+    Like ``settle``, for results as large as the data: the files are compressed
+    and later readers scan only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``settle`` and the number of stored rows."""
     kept = settle(df)
