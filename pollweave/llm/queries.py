@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, language, pieces, quality
+from . import chat, counts, decontam, language, pieces, quality, urls
 from .registry import ORACLES, QUERIES, documents, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -64,3 +64,69 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(documents(spark, folder), public_tokenizers.path(PIECE_MODEL))
+
+
+@query("op3_chat_format")
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    given = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], given.schema)
+    return chat.read_back(chat.format_chats(given.unionByName(extra)))
+
+
+DECONTAMINATION_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, len(ws) AS n, ws AS win FROM b WHERE len(ws) BETWEEN 1 AND 12
+  UNION
+  SELECT DISTINCT item_id, 13 AS n, list_slice(ws, i, i + 12) AS win FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM b WHERE len(ws) >= 13)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT doc_id, i, n, list_slice(ws, i, i + n - 1) AS win
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)),
+hits AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON bw.n = dw.n AND bw.win = dw.win),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
+
+
+@query("op6_decontamination", DECONTAMINATION_SQL)
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.matches(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return decontam.contamination(found).drop("n_near_items")
+
+
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+URL_SQL = f"""
+WITH rules(rh, rp, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+h AS (
+  SELECT host, path, max_by({{'rule': rh || rp, 'verdict': v}}, length(rh || rp)) AS best
+  FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp)
+  GROUP BY host, path)
+SELECT page_id, p.host, p.path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM p LEFT JOIN h ON h.host = p.host AND h.path = p.path
+"""
+
+
+@query("op10_url_filters", URL_SQL)
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.apply_rules(spark.read.parquet(f"{folder}/pages.parquet"), rules)
