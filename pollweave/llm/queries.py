@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, decontam, language, pieces, quality, urls
+from . import chat, counts, decontam, language, lines, pieces, quality, suffix, urls
 from .registry import ORACLES, QUERIES, documents, query
+from .texts import sha
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -130,3 +131,43 @@ FROM p LEFT JOIN h ON h.host = p.host AND h.path = p.path
 def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.apply_rules(spark.read.parquet(f"{folder}/pages.parquet"), rules)
+
+
+LINE_SQL = """
+WITH lines AS (
+  SELECT doc_id, n - 1 AS n, line, len(list_filter(string_split_regex(line, '[ \t\n\v\f\r]+'), lambda x: x <> '')) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
+l AS (
+  SELECT *, row_number() OVER d AS i, sum(w) OVER d AS c
+  FROM lines WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
+ahead AS (
+  SELECT a.doc_id, a.i, min(b.i) AS j
+  FROM l a JOIN l b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 49 WHERE b.c - a.c + a.w >= 50 GROUP BY a.doc_id, a.i),
+behind AS (
+  SELECT b.doc_id, max(a.i) AS i, b.i AS j
+  FROM l a JOIN l b ON b.doc_id = a.doc_id AND a.i BETWEEN b.i - 49 AND b.i WHERE b.c - a.c + a.w >= 50 GROUP BY b.doc_id, b.i),
+win AS (SELECT * FROM ahead UNION SELECT * FROM behind),
+run AS (
+  SELECT win.doc_id, win.i, win.j, string_agg(line, chr(10) ORDER BY l.i) AS run, min(n) AS first, max(n) AS last
+  FROM win JOIN l ON l.doc_id = win.doc_id AND l.i BETWEEN win.i AND win.j GROUP BY win.doc_id, win.i, win.j),
+placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS k FROM run),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS n FROM placed WHERE k > 1),
+kept AS (
+  SELECT lines.doc_id, count(*) AS n_lines, count(gone.n) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY lines.n) FILTER (WHERE gone.n IS NULL), '') AS text
+  FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.n = lines.n GROUP BY lines.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  length(kept.text)::BIGINT AS kept_chars, sha256(kept.text) AS kept_sha256
+FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+@query("op4_line_dedup", LINE_SQL)
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.dedup_lines(documents(spark, folder).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), sha(F.col("text")).alias("kept_sha256"))
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, folder)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
