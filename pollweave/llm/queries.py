@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, decontam, language, lines, pieces, quality, suffix, urls
+from . import chat, counts, decontam, language, lines, ngrams, pieces, quality, suffix, urls
 from .registry import ORACLES, QUERIES, documents, query
 from .texts import sha
 
@@ -171,3 +171,9 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, folder)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@query("op5_ngram_join")
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngrams.similar(documents(spark, folder))
+    return found.select("doc_id", F.col("class_doc").alias("class_id"), "copy_id", "n_links", "n_texts", "n_grams")
