@@ -327,3 +327,12 @@ def contamination(found: DataFrame, share: int = 20) -> DataFrame:
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         F.size("near").cast("long").alias("n_near_items"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def without_contaminated(docs: DataFrame, found: DataFrame, share: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The input's rows without the contaminated documents; repeated rows go or stay together."""
+    hit = covered(F.col("matches"))
+    bad = found.where((hit > 0) & (share * hit >= F.col("n_words"))).select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text_column)).alias("text_hash"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.text_hash") == F.col("b.text_hash"))
+    return rows.alias("r").join(bad.alias("b"), same, "left_anti").select("row.*")
