@@ -93,8 +93,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "d
     A line goes if it lies in a run of consecutive lines with ``min_words`` words in all whose lines also occur,
     in that order, at an earlier place of the corpus: in a document with a smaller id (null first; of equal ids the
     smaller text hash), or further up in the same one. So the first copy stays whole.
-    Lines are compared as they are; lines without a word are passed over, and go with the
-    run around them. ``n_lines`` and ``n_removed`` are added, in place of input columns with these names.
+    Lines are compared as they are; lines without a word are passed over, and go if they lie
+    inside a shortest such run. ``n_lines`` and ``n_removed`` are added, in place of input columns with these names.
 
     A null or empty text stays as it is, with 0 lines if null; a text of which all goes is
     empty. Rows that repeat id and text are one document and are treated alike.

@@ -40,8 +40,9 @@ def bands_for(threshold: float, recall: float = RECALL, most_hashes: int = MOST_
     best = None
     for rows in range(1, most_hashes + 1):
         bands = 1 if threshold >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - float(threshold) ** rows))
-        if bands * rows <= most_hashes:
-            best = (bands, rows)
+        if bands * rows > most_hashes:
+            break
+        best = (bands, rows)
     if best is None:
         raise ValueError("this recall needs more hashes")
     return best

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
+import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,8 +130,6 @@ def encode_digests(docs: DataFrame, model: str, id_column: str = "doc_id", text_
 
 def decode(encoded: DataFrame, model: str, ids_column: str = "ids") -> DataFrame:
     """Decode stored ids; a null list is decoded as an empty one."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         held = table(model, TABLE_CHUNKS).model
