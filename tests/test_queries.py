@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__
+from __spark_entry__ import entry
+from pollweave.plans.catalog import ORACLES, QUERIES
 from tools.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,19 +21,24 @@ def test_flagship(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_entry_offers_them_all():
+    assert QUERIES.keys() <= __spark_entry__.queries().keys()
+    assert ORACLES.keys() <= __spark_entry__.oracle_sql().keys()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, connection, name):
-    verdict = compare(name, queries()[name](spark, FOLDER), connection, oracle_sql()[name])
+    verdict = compare(name, QUERIES[name](spark, FOLDER), connection, ORACLES[name])
     assert verdict.startswith("ok"), verdict
 
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_keeps_every_row(spark, name):
     lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
-    result = queries()[name](spark, FOLDER)
+    result = QUERIES[name](spark, FOLDER)
     assert result.count() == lines
     assert result.filter("y_imp IS NULL").count() == 0
