@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import nonresponse_range, safe_ratio
-from .ordered import in_order, number_rows
-from .sizing import ROWS_PER_TASK, attach, settle
+from .sizing import CELLS_PER_TASK, ROWS_PER_TASK, attach, chunks_for, join_null_safe, settle, settle_counted, store
 from .strata import share_of_total, strata_counts
 
 
@@ -90,45 +89,79 @@ def with_design_weight(df: DataFrame, design: Design, name: str = "design_weight
     return df.withColumn(name, factor).drop("_sampled")
 
 
+# Sweeps over all margins when residuals are taken from them.
+SWEEPS = 10
+LONELY = ("fail", "certainty", "adjust")
+
+
 def design_mean(
     df: DataFrame,
     value: str,
     design: Design,
     poststrata: Sequence[str] = (),
     keep_unobserved: bool = False,
+    margins: Sequence[str] = (),
+    lonely: str = "fail",
 ) -> DataFrame:
     """Design-based mean and standard error (one row).
 
     Rows with a NULL value are removed; with ``keep_unobserved`` their units still
     belong to the sample, so they count in its size and contribute nothing. The
-    linearised residual of a unit is w(y - mean)/sum(w): its sum over a cluster
-    needs only sum(w*y) and sum(w) of the cluster, so the respondents are read
-    once and the variance is computed on the cluster table. With ``poststrata``
-    the residuals are taken from the stratum means.
+    linearised residual of a unit is w(y - centre)/sum(w): its sum over a cluster
+    needs only sum(w*y) and sum(w) of the cluster, so the variance is computed on the cluster table. With ``poststrata``
+    the centre is the stratum mean; with ``margins``, after raking to these columns, the residuals are swept over
+    one margin after another, ``SWEEPS`` times. Values are taken as differences from their plain
+    mean, which is read first, so that sums of squares do not cancel.
+
+    ``lonely`` says what a first-stage unit with a single sampled unit, of more in the population, adds to the second
+    stage: ``"fail"`` raises, ``"certainty"`` adds nothing, ``"adjust"`` takes its deviation from the mean of all units.
+    ``lonely_clusters`` counts them.
     """
+    if lonely not in LONELY:
+        raise ValueError(f"lonely is one of {', '.join(LONELY)}")
+    if poststrata and margins:
+        raise ValueError("give post-strata or raked margins")
     if not keep_unobserved:
         df = df.filter(F.col(value).isNotNull())
+    shift = df.agg(F.avg(value).cast("double")).scalar()
+    df = df.withColumn("_shift", shift).withColumn("_y", F.col(value).cast("double") - F.col("_shift"))
+    result = _mean_of_clusters(df, design, poststrata, margins, lonely) if design.clusters or margins else _mean_of_units(df, design, poststrata)
+    return result.withColumn("_shift", shift).selectExpr("mean + coalesce(_shift, 0.0D) AS mean", "se")
+
+
+def _mean_of_clusters(df: DataFrame, design: Design, poststrata: Sequence[str], margins: Sequence[str], lonely: str) -> DataFrame:
     if not design.clusters:
-        return _mean_of_units(df, value, design, poststrata)
+        df = df.withColumn("_unit", F.monotonically_increasing_id())
+        design = Design(("_unit",), design.populations, design.weight)
     sizes = [f"_size{i}" for i in range(len(design.populations))]
-    cells = settle(_cluster_cells(df, value, design, poststrata, sizes))
+    groups = [*poststrata, *margins]
+    cells = store(_cluster_cells(df, design, groups, sizes))
     if design.weight is None:
         cells = _weighted_by_fractions(cells, design, sizes)
     totals = cells.agg(F.expr("struct(sum(_wy) AS wy, sum(_w) AS w)")).scalar()
     if poststrata:
         means = cells.groupBy(*poststrata).agg(F.expr("try_divide(sum(_wy), sum(_w)) AS _centre"))
         cells = attach(cells, means, poststrata, null_safe=True).withColumn("_total", totals)
+    elif margins:
+        cells = attach(cells, _swept(cells, margins), margins, null_safe=True).withColumn("_total", totals)
     else:
         cells = cells.withColumn("_total", totals).withColumn("_centre", F.expr("_total.wy / _total.w"))
     scores = cells.withColumn("_z", F.expr("coalesce(_wy - _centre * _w, 0.0D) / _total.w"))
     keep = [F.max(c).alias(c) for c in sizes]
-    if len(design.clusters) > 1:
-        scores = scores.groupBy(*design.clusters).agg(F.sum("_z").alias("_z"), *keep)
     n, n1 = F.count(F.lit(1)), F.count(F.lit(1)).cast("double")
     within = F.lit(0.0)
+    # One row per unit of the last stage, whatever the groups of its cells.
+    scores = scores.groupBy(*design.clusters).agg(F.sum("_z").alias("_z"), *keep)
     if len(design.clusters) > 1:
         rest = 1 - n1 / F.max(sizes[1]) if len(sizes) > 1 else F.lit(1.0)
-        within = F.coalesce(rest * safe_ratio(n, n - 1) * F.var_pop("_z") * n, F.lit(0.0))
+        spread = F.coalesce(safe_ratio(n, n - 1) * F.var_pop("_z") * n, F.lit(0.0))
+        single = (n == 1) & (F.max(sizes[1]) > 1 if len(sizes) > 1 else F.lit(True))
+        if lonely == "fail":
+            spread = F.when(single, F.raise_error(F.lit("a cluster has a single sampled unit; choose what it adds by lonely=")).cast("double")).otherwise(spread)
+        elif lonely == "adjust":
+            scores = scores.withColumn("_mean_z", scores.agg(F.avg("_z")).scalar())
+            spread = F.when(single, F.pow(F.max("_z") - F.max("_mean_z"), 2)).otherwise(spread)
+        within = rest * spread
     firsts = scores.groupBy(design.clusters[0]).agg(F.sum("_z").alias("_z"), within.alias("_within"), *keep)
     # Without a first-stage population the sampling fraction is taken as 0.
     fraction = F.coalesce(n1 / F.max(sizes[0]), F.lit(0.0)) if sizes else F.lit(0.0)
@@ -140,14 +173,40 @@ def design_mean(
     )
 
 
-def _cluster_cells(
-    df: DataFrame, value: str, design: Design, poststrata: Sequence[str], sizes: Sequence[str]
-) -> DataFrame:
+def lonely_clusters(df: DataFrame, design: Design) -> DataFrame:
+    """How many first-stage units have a single sampled unit of the second stage (one row)."""
+    first, second = design.clusters
+    per_first = df.groupBy(first).agg(F.count_distinct(F.struct(second)).alias("_n"))
+    return per_first.agg(F.count_if(F.col("_n") == 1).alias("lonely"), F.count(F.lit(1)).alias("clusters"))
+
+
+def _swept(cells: DataFrame, margins: Sequence[str]) -> DataFrame:
+    """(margins, _centre): what the margins explain of the value, additively, by sweeping over them in turn.
+
+    Works on the table of margin cells, which is as large as the product of the categories.
+    """
+    table = cells.groupBy(*margins).agg(F.sum("_wy").alias("_wy"), F.sum("_w").alias("_w")).withColumn("_centre", F.lit(0.0))
+    table, size = settle_counted(table)
+    for _ in range(SWEEPS):
+        table = table.coalesce(1) if size <= CELLS_PER_TASK else table
+        for margin in margins:
+            level = "coalesce(try_divide(sum(_wy - _centre * _w) {0}, sum(_w) {0}), 0.0D)"
+            if size <= CELLS_PER_TASK:
+                table = table.withColumn("_centre", F.expr(f"_centre + {level.format(f'OVER (PARTITION BY {margin})')}"))
+            else:
+                moves = table.groupBy(margin).agg(F.expr(level.format("")).alias("_move"))
+                table = join_null_safe(table, moves, [margin]).withColumn("_centre", F.expr("_centre + coalesce(_move, 0.0D)")).drop("_move")
+        if size > CELLS_PER_TASK:
+            table = settle(table)
+    return settle(table).select(*margins, "_centre")
+
+
+def _cluster_cells(df: DataFrame, design: Design, groups: Sequence[str], sizes: Sequence[str]) -> DataFrame:
     """sum(w*y) and sum(w) of the known values per cluster; unweighted sums when weights are derived."""
     weight = f"CAST({design.weight} AS DOUBLE)" if design.weight is not None else "1.0D"
-    return df.groupBy(*design.clusters, *poststrata).agg(
-        F.expr(f"sum({weight} * {value}) AS _wy"),
-        F.expr(f"coalesce(sum(IF({value} IS NOT NULL, {weight}, NULL)), 0.0D) AS _w"),
+    return df.groupBy(*dict.fromkeys([*design.clusters, *groups])).agg(
+        F.expr(f"sum({weight} * _y) AS _wy"),
+        F.expr(f"coalesce(sum(IF(_y IS NOT NULL, {weight}, NULL)), 0.0D) AS _w"),
         *[F.max(p).cast("double").alias(size) for p, size in zip(design.populations, sizes)],
     )
 
@@ -172,68 +231,69 @@ def _weighted_by_fractions(cells: DataFrame, design: Design, sizes: Sequence[str
     )
 
 
-def _mean_of_units(df: DataFrame, value: str, design: Design, poststrata: Sequence[str]) -> DataFrame:
-    """Element sampling: every unit is its own cluster, so a few sums per stratum are enough.
+def _mean_of_units(df: DataFrame, design: Design, poststrata: Sequence[str]) -> DataFrame:
+    """Element sampling: every unit is its own cluster, so a few moments per stratum are enough.
 
-    A derived weight is the population over the sample size, which cancels out.
+    A derived weight is the population over the sample size, which cancels out. The residuals w(y - centre) of a stratum add up to
+    zero, so their squares are n times a variance, which Spark's moments give without cancellation.
     """
     population = design.populations[0] if design.populations else "NULL"
     weight = design.weight if design.weight is not None else "1.0D"
     units = df.selectExpr(
         *poststrata,
-        f"CAST({value} AS DOUBLE) AS y",
-        f"IF({value} IS NOT NULL, CAST({weight} AS DOUBLE), NULL) AS w",
+        "_y AS y",
+        f"IF(_y IS NOT NULL, CAST({weight} AS DOUBLE), NULL) AS w",
         f"CAST({population} AS DOUBLE) AS size",
     )
     sums = units.groupBy(*poststrata).agg(
         F.expr("sum(w * y) AS wy"),
         F.expr("sum(w) AS w"),
-        F.expr("sum(w * w * y * y) AS w2y2"),
-        F.expr("sum(w * w * y) AS w2y"),
-        F.expr("sum(w * w) AS w2"),
+        F.expr("var_pop(w * y) AS var_wy"),
+        F.expr("covar_pop(w * y, w) AS cov"),
+        F.expr("var_pop(w) AS var_w"),
+        F.expr("count(w) AS known"),
         F.expr("count(*) AS n"),
         F.expr("max(size) AS size"),
     )
-    squares = "w2y2 - 2 * try_divide(wy, w) * w2y + try_divide(wy, w) * try_divide(wy, w) * w2"
+    squares = "known * (var_wy - 2 * try_divide(wy, w) * cov + try_divide(wy, w) * try_divide(wy, w) * var_w)"
     whole = sums.selectExpr("*", f"{squares} AS squares").agg(
         *[F.sum(x).alias(x) for x in ("wy", "w", "n", "squares")], F.max("size").alias("size")
     )
     variance = "coalesce(1 - try_divide(n, size), 1.0D) * try_divide(n, n - 1) * try_divide(squares, w * w)"
-    return whole.selectExpr("try_divide(wy, w) AS mean", f"sqrt(greatest({variance}, 0.0D)) AS se")
+    return whole.selectExpr("try_divide(wy, w) AS mean", f"sqrt({variance}) AS se")
 
 
 def summary_statistics(df: DataFrame, value: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Minimum, quartiles, mean, maximum and NULL count of a column (one row, exact).
 
-    ``percentile`` holds every distinct value of the column in one task. Beyond
-    ``rows_per_task`` rows the quartiles are read off a distributed ranking.
+    The values are reduced to (value, rows), so a value that most rows share is one row. These are
+    range-partitioned and stored; the rows in front of each partition come from the partitions' totals, and the quartiles are read
+    off at the values whose running count passes their place.
     """
-    column = F.col(value)
-    basics = df.agg(
-        F.min(column).alias("min"),
-        F.avg(column).alias("mean"),
-        F.max(column).alias("max"),
-        F.count(column).alias("n"),
-        F.count_if(column.isNull()).alias("n_null"),
+    counts = df.groupBy(F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    counts, distinct = settle_counted(counts)
+    parts = chunks_for(distinct, rows_per_task)
+    placed = store(counts.filter("x IS NOT NULL").repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id()))
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    fronts = placed.groupBy("part").agg(F.sum("n").alias("rows")).withColumn("before", F.coalesce(before, F.lit(0))).drop("rows")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("x"))
+    ranked = placed.join(fronts, "part").withColumn("upto", F.col("before") + upto)
+    basics = counts.agg(
+        F.min("x").alias("min"),
+        F.expr("try_divide(sum(x * n), sum(IF(x IS NULL, 0, n))) AS mean"),
+        F.max("x").alias("max"),
+        F.expr("coalesce(sum(IF(x IS NULL, 0, n)), 0) AS n"),
+        F.expr("coalesce(sum(IF(x IS NULL, n, 0)), 0) AS n_null"),
     )
-    known = df.filter(column.isNotNull()).select(column)
-    n = known.count()
+    total = counts.filter("x IS NOT NULL").agg(F.sum("n")).scalar()
     points = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    if n <= rows_per_task:
-        quartiles = known.agg(*[F.percentile(column, p).alias(q) for q, p in points.items()])
-    else:
-        ranked = number_rows(in_order(known, (), (value,), rows_per_task, (n, n)), "_rank")
-        parts = []
-        for q, p in points.items():
-            place = 1 + (n - 1) * p
-            low = int(place)
-            part = place - low
-            parts.append(
-                (
-                    F.sum(F.when(F.col("_rank") == low, column * (1 - part)))
-                    + F.coalesce(F.sum(F.when(F.col("_rank") == low + 1, column * part)), F.lit(0.0))
-                ).alias(q)
-            )
-        quartiles = ranked.agg(*parts)
-    found = settle(quartiles)
-    return basics.withColumns({q: found.select(q).scalar() for q in points})
+    # The value at a place is the smallest whose running count reaches it.
+    picks = [
+        F.min(F.expr(f"IF(upto >= {step}(1 + (total - 1) * {place}D), x, NULL)")).alias(f"{name}_{step}")
+        for name, place in points.items()
+        for step in ("floor", "ceil")
+    ]
+    found = settle(ranked.withColumn("total", total).agg(*picks, F.max("total").alias("total")))
+    part = "((total - 1) * {0}D - floor((total - 1) * {0}D))"
+    quartiles = found.selectExpr(*[f"{q}_floor + (({q}_ceil - {q}_floor) * {part.format(p)}) AS {q}" for q, p in points.items()])
+    return basics.withColumns({q: quartiles.select(q).scalar() for q in points})

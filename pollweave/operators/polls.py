@@ -40,7 +40,7 @@ def rolling_mean(
     rows_per_task: int = ROWS_PER_TASK,
     sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Mean of the last ``width`` distinct polls of a series; NULL until there are that many.
+    """Mean of the last ``width`` distinct polls of a series; NULL until there are that many, or while one of them has no value.
 
     ``order`` starts with the day and must go on with tie-breaks. ``sizes`` are
     the known row counts (all polls, longest series), else they are counted.
@@ -73,7 +73,7 @@ def _rolling(polls, value, series, order, width, name, rows_per_task, sizes, mak
     return trailing(
         rows,
         width - 1,
-        {name: lambda w: F.when(F.count(F.lit(1)).over(w) == width, make(w))},
+        {name: lambda w: F.when(F.count(value).over(w) == width, make(w))},
     )
 
 
@@ -91,13 +91,15 @@ def latest_per_source(
     ``measures`` maps an output name to (column, method): ``"linear"`` gives
     sum(n*x)/sum(n), ``"gauss"`` gives sqrt(sum(n^2 x^2))/sum(n). All polls of a
     source on its latest day count, and a source's last poll counts for ever.
+    A poll without a size, or without a value of a measure, is no poll: the one before it stays the latest.
 
     Looking back from every day over all earlier polls would compare each row
     with every other. Instead each poll day is reduced to one row per source,
     the change against the source's previous poll day is taken, and the changes
     are added up along the days. The windows run over poll days, not over polls.
     """
-    base = polls.select(*(distinct_on or polls.columns)).distinct()
+    known = polls.na.drop(subset=[size, *[column for column, _ in measures.values()]])
+    base = known.select(*(distinct_on or polls.columns)).distinct()
     n = F.col(size).cast("double")
     numerators = {
         name: (n * F.col(column)) if method == "linear" else (n * F.col(column)) ** 2
@@ -137,19 +139,29 @@ def error_band(df: DataFrame, centre: str = "rolling_average", error: str = "pol
 
 
 def spine_with_neighbours(
-    polls: DataFrame, value: str, keys: Sequence[str], day: str = "datum", days: DataFrame | None = None
+    polls: DataFrame,
+    value: str | Sequence[str],
+    keys: Sequence[str],
+    day: str = "datum",
+    days: DataFrame | None = None,
+    struct: str | None = None,
 ) -> DataFrame:
     """For every series and every poll day of any series: the observation at or before it and the next after it.
 
     Columns: keys, day, prev_day, prev_value, next_day, next_value. Several
-    observations of one series on one day are averaged. Each observation covers
+    observations of one series on one day are averaged. With ``struct`` the values are several: the fields of
+    that column, averaged each for itself and carried together. Each observation covers
     the days up to the next one, so the days come from ``sequence`` and are
     matched to the list of poll days; no series is joined to itself.
     """
     if days is None:
         days = polls.select(day).distinct()
     days, day_count = settle_counted(days.filter(F.col(day).isNotNull()))
-    observed = polls.filter(F.col(value).isNotNull()).groupBy(*keys, day).agg(F.avg(value).alias("_value"))
+    if struct is None:
+        observed = polls.filter(F.col(value).isNotNull()).groupBy(*keys, day).agg(F.avg(value).alias("_value"))
+    else:
+        means = [F.avg(f"{struct}.{field}").alias(field) for field in value]
+        observed = polls.groupBy(*keys, day).agg(F.struct(*means).alias("_value"))
     along = Window.partitionBy(*keys).orderBy(day)
     neighbours = observed.select(
         *keys,
@@ -195,14 +207,11 @@ def interpolate(
     return spine.select(*keys, day, interpolated(day).alias(value))
 
 
-def interpolated(day: str) -> Column:
-    """Value at ``day`` on the line between the previous and the next observation."""
-    rise = safe_ratio(
-        F.col("next_value") - F.col("prev_value"), F.datediff("next_day", "prev_day").cast("double")
-    )
-    return F.when(F.col("prev_day") == F.col(day), F.col("prev_value")).otherwise(
-        F.col("prev_value") + rise * F.datediff(F.col(day), F.col("prev_day"))
-    )
+def interpolated(day: str, field: str | None = None) -> Column:
+    """Value at ``day`` on the line between the previous and the next observation; ``field`` of it, if it is a struct."""
+    before, after = (F.col(name) if field is None else F.col(name)[field] for name in ("prev_value", "next_value"))
+    rise = safe_ratio(after - before, F.datediff("next_day", "prev_day").cast("double"))
+    return F.when(F.col("prev_day") == F.col(day), before).otherwise(before + rise * F.datediff(F.col(day), F.col("prev_day")))
 
 
 def envelope(
@@ -215,19 +224,15 @@ def envelope(
 ) -> DataFrame:
     """Smallest lower and largest upper bound over all sources, interpolated to every poll day.
 
-    Both bounds are interpolated in one pass.
+    The bounds of a poll stay in one row: they have the same neighbours, so a struct of
+    both is carried along the days.
     """
     days = polls.select(day).distinct()
-    pair = F.struct(F.lit("low").alias("bound"), F.col(low).alias("_x")), F.struct(
-        F.lit("high").alias("bound"), F.col(high).alias("_x")
-    )
-    bounds = polls.select(series, source, day, F.explode(F.array(*pair)).alias("_b")).select(
-        series, source, day, "_b.bound", "_b._x"
-    )
-    filled = interpolate(bounds, "_x", (series, source, "bound"), day, days)
-    return filled.groupBy(day, series).agg(
-        F.min(F.when(F.col("bound") == "low", F.col("_x"))).alias(low),
-        F.max(F.when(F.col("bound") == "high", F.col("_x"))).alias(high),
+    both = polls.withColumn("_x", F.struct(F.col(low).cast("double").alias("low"), F.col(high).cast("double").alias("high")))
+    spine = spine_with_neighbours(both.filter(f"{low} IS NOT NULL AND {high} IS NOT NULL"), ("low", "high"), (series, source), day, days, "_x")
+    return spine.groupBy(day, series).agg(
+        F.min(interpolated(day, "low")).alias(low),
+        F.max(interpolated(day, "high")).alias(high),
     )
 
 

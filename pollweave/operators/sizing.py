@@ -14,8 +14,8 @@ from ..session import shared_folder
 BROADCAST_ROWS = 500_000
 # A window group above this many rows is cut into ordered chunks.
 ROWS_PER_TASK = 2_000_000
-# More chunks than this are not planned; the chunks get longer instead.
-MOST_CHUNKS = 20_000
+# Up to this many margin cells are fitted in one task; more are fitted by grouping and joining.
+CELLS_PER_TASK = 100_000
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
 
 def chunks_for(total: int, rows_per_task: int) -> int:
     """Chunks of a quarter of what a task may hold, so that a long series is spread widely."""
-    return max(1, min(MOST_CHUNKS, math.ceil(4 * total / rows_per_task)))
+    return max(1, math.ceil(4 * total / rows_per_task))
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

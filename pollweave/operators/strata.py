@@ -10,6 +10,10 @@ from ..functions import safe_ratio, sum_policy
 from .sizing import join_null_safe, settle
 
 
+# Levels of a category that may travel as one array.
+MOST_LEVELS = 100_000
+
+
 def strata_counts(df: DataFrame, keys: Sequence[str], weight: str | None = None, name: str = "n") -> DataFrame:
     """Rows, or the sum of weights (0 when all are NULL), per stratum."""
     if weight is None:
@@ -54,17 +58,18 @@ def complete_strata(
 ) -> DataFrame:
     """Add the combinations of observed levels that have no row, filled with ``fill``.
 
-    The counts are computed once. The levels of the first dimension stay
-    distributed; the other level lists are categories and travel as arrays.
+    NULL is a level like any other. The counts are computed once. The levels of the first dimension stay
+    distributed; the other level lists are categories, at most ``MOST_LEVELS`` each (checked), and travel as arrays.
     """
     counts = settle(counts)
     grid = counts.select(dims[0]).distinct()
     for dim in dims[1:]:
-        levels = counts.agg(F.sort_array(F.collect_set(dim))).scalar()
-        grid = grid.withColumn(dim, F.explode(levels))
-    return grid.join(counts, list(dims), "left").withColumn(
-        value, F.coalesce(F.col(value), F.lit(fill))
-    )
+        distinct = settle(counts.select(dim).distinct())
+        if (n := distinct.count()) > MOST_LEVELS:
+            raise ValueError(f"{dim} has {n} levels: put the dimension with most levels first")
+        levels = distinct.agg(F.sort_array(F.collect_list(F.struct(dim)))).scalar()
+        grid = grid.withColumn("_level", F.explode(levels)).withColumn(dim, F.col(f"_level.{dim}")).drop("_level")
+    return join_null_safe(grid, counts, dims).withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
 
 
 def collapse_strata(

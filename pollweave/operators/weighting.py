@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import safe_ratio
-from .sizing import attach, settle, settle_counted
+from .sizing import CELLS_PER_TASK, attach, join_null_safe, settle, settle_counted
 from .strata import share_of_total, strata_counts
 
 
@@ -53,7 +53,7 @@ def poststratify(
     attach_keys: Sequence[str] | None = None,
     name: str = "weight",
 ) -> DataFrame:
-    """Attach post-stratification weights to every respondent.
+    """Attach post-stratification weights to every respondent; a NULL key is a stratum like any other.
 
     ``population_counts`` uses the names of ``sample_keys``. With ``attach_keys``
     the strata are counted on one set of columns and attached through another.
@@ -63,7 +63,7 @@ def poststratify(
     ).select(*sample_keys, name)
     if attach_keys:
         weights = weights.toDF(*attach_keys, name)
-    return attach(sample, weights, attach_keys or sample_keys)
+    return attach(sample, weights, attach_keys or sample_keys, null_safe=True)
 
 
 def weighted_outcome_shares(
@@ -129,7 +129,7 @@ def _weighted_cells_by_join(
     cells = settle(cells)
     weights = stratum_weights(cells.groupBy(*keys).agg(F.sum("n").alias("n")), population_counts, keys)
     weights = weights.select(*keys, "weight").toDF(*attach_keys, "weight")
-    return cells.join(weights, list(attach_keys), "left")
+    return join_null_safe(cells, weights, attach_keys)
 
 
 def poststratify_design(
@@ -137,11 +137,11 @@ def poststratify_design(
 ) -> DataFrame:
     """Scale existing design weights so that they sum to the known stratum sizes."""
     estimated = sample.groupBy(*keys).agg(F.sum(weight).alias("_estimated"))
-    factors = estimated.join(population_counts, list(keys), "left").select(
+    factors = join_null_safe(estimated, population_counts, keys).select(
         *keys, safe_ratio(F.col("n"), F.col("_estimated")).alias("_factor")
     )
     return (
-        attach(sample, factors, keys).withColumn(name, F.col(weight) * F.col("_factor")).drop("_factor")
+        attach(sample, factors, keys, null_safe=True).withColumn(name, F.col(weight) * F.col("_factor")).drop("_factor")
     )
 
 
@@ -150,7 +150,7 @@ def stratified_mean(
 ) -> DataFrame:
     """Mean of stratum means weighted by population size (one row)."""
     means = sample.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    return means.join(population_counts, list(keys)).agg(
+    return join_null_safe(means, population_counts, keys, "inner").agg(
         safe_ratio(F.sum(F.col("n") * F.col("_mean")), F.sum("n")).alias("estimate")
     )
 
@@ -158,29 +158,34 @@ def stratified_mean(
 def empty_strata(sample_counts: DataFrame, population_counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Population strata that no respondent represents."""
     present = sample_counts.filter(F.col("n") > 0)
-    return population_counts.filter(F.col("n") > 0).join(present, list(keys), "left_anti")
+    return join_null_safe(population_counts.filter(F.col("n") > 0), present.select(*keys), keys, "left_anti")
 
 
 # Rounds between two checkpoints while raking.
 ROUNDS_PER_CHECKPOINT = 5
-# Up to this many margin cells are fitted in one task; more are fitted by grouping and joining.
-CELLS_PER_TASK = 100_000
+
+
+class NotRaked(ValueError):
+    """The weights do not meet the margins."""
 
 
 @dataclass(frozen=True)
 class Raked:
-    """Cell table with raked weights, the rounds used and the largest relative change of the last round."""
+    """Cell table with raked weights, the rounds used and the largest relative gap between a fitted and a target margin.
+
+    ``gap`` is None if it was not asked for.
+    """
 
     cells: DataFrame
     rounds: int
-    largest_change: float
+    gap: float | None
 
 
 def rake_cells(
     sample: DataFrame,
     margins: Mapping[str, DataFrame],
     weight: str | None = None,
-    max_rounds: int = 50,
+    max_rounds: int | None = None,
     tolerance: float | None = 1e-9,
     window_cells: int = CELLS_PER_TASK,
 ) -> Raked:
@@ -191,33 +196,61 @@ def rake_cells(
     to one margin after another. The cells are counted: a small cell table (it is
     as large as the product of the categories, not as the sample) sits in one
     partition, so that its windows need no shuffle. Every few rounds the cells are written to the
-    shared folder, which cuts the lineage, and the change is tested against
-    ``tolerance``. With ``tolerance=None`` exactly ``max_rounds`` rounds run.
-    ``margins`` maps a column to a frame (column, n).
+    shared folder, which cuts the lineage, and the fitted margins are compared with the targets.
+    It ends when the largest relative gap is at most ``tolerance``, or when the weights
+    stand still although a gap is left: then the margins contradict each other, or a level with a target
+    has no respondents. The caller sees this in ``gap``. ``max_rounds`` is for callers that want a fixed number: with
+    ``tolerance=None`` exactly so many rounds run. ``margins`` maps a column to a frame (column, n).
     """
+    if max_rounds is None and tolerance is None:
+        raise ValueError("give a tolerance or a number of rounds")
     columns = list(margins)
     start = "count(*)" if weight is None else f"sum({weight})"
     cells = sample.groupBy(*columns).agg(F.expr(f"CAST({start} AS DOUBLE)").alias("_base"))
     for column, margin in margins.items():
         target = margin.selectExpr(column, f"CAST(n AS DOUBLE) AS _target_{column}")
-        cells = cells.join(target, [column], "left")
+        cells = join_null_safe(cells, target, [column])
     cells, size = settle_counted(cells.selectExpr("*", "_base AS _w", "_base AS _old"))
     small = size <= window_cells
-    rounds, change = 0, float("inf")
-    while rounds < max_rounds and (tolerance is None or change > tolerance):
+    rounds, gap = 0, None
+    while max_rounds is None or rounds < max_rounds:
         if small:
             cells = cells.coalesce(1)
-        for _ in range(min(ROUNDS_PER_CHECKPOINT, max_rounds - rounds)):
+        for _ in range(min(ROUNDS_PER_CHECKPOINT, (max_rounds or rounds + ROUNDS_PER_CHECKPOINT) - rounds)):
             cells = cells.withColumn("_old", F.col("_w"))
             for column in columns:
                 cells = _fit_margin(cells, column, small)
             rounds += 1
         cells = settle(cells)
         if tolerance is not None:
-            change = cells.agg(F.expr("max(abs(try_divide(_w - _old, _old)))")).first()[0] or 0.0
-    return Raked(
-        cells.selectExpr(*columns, "_w AS total", "try_divide(_w, _base) AS factor"), rounds, change
-    )
+            moved = cells.agg(F.expr("max(abs(try_divide(_w - _old, _old)))")).scalar()
+            found = _gaps(cells.withColumnRenamed("_w", "total"), margins).agg(F.max("gap")).withColumn("moved", moved).first()
+            gap, change = found[0] or 0.0, found[1] or 0.0
+            if gap <= tolerance or change <= tolerance / 10:
+                break
+    return Raked(cells.selectExpr(*columns, "_w AS total", "try_divide(_w, _base) AS factor"), rounds, gap)
+
+
+def _gaps(cells: DataFrame, margins: Mapping[str, DataFrame]) -> DataFrame:
+    """(margin, level, target, fitted, gap): fitted against target sums, relative; a target without cells has gap 1."""
+    parts = []
+    for column, margin in margins.items():
+        fitted = cells.groupBy(column).agg(F.sum("total").alias("_fitted"))
+        target = margin.selectExpr(column, "CAST(n AS DOUBLE) AS target")
+        parts.append(
+            join_null_safe(target, fitted, [column]).selectExpr(
+                f"'{column}' AS margin", f"CAST({column} AS STRING) AS level", "target", "coalesce(_fitted, 0.0D) AS fitted"
+            )
+        )
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both.withColumn("gap", F.expr("IF(target = 0 AND fitted = 0, 0.0D, try_divide(abs(fitted - target), target))"))
+
+
+def margin_gaps(raked: Raked, margins: Mapping[str, DataFrame]) -> DataFrame:
+    """How far the raked weights are from each margin: (margin, level, target, fitted, gap)."""
+    return _gaps(raked.cells, margins)
 
 
 def _fit_margin(cells: DataFrame, column: str, small: bool) -> DataFrame:
@@ -235,11 +268,18 @@ def rake(
     margins: Mapping[str, DataFrame],
     weight: str | None = None,
     name: str = "weight_rake",
-    max_rounds: int = 50,
+    max_rounds: int | None = None,
     tolerance: float | None = 1e-9,
+    strict: bool = True,
 ) -> DataFrame:
-    """Attach raked weights to every respondent."""
+    """Attach raked weights to every respondent.
+
+    Raises ``NotRaked`` if the weights miss a margin by more than ``tolerance``; with ``strict=False`` the best
+    weights are attached all the same (``rake_cells`` and ``margin_gaps`` tell what they miss).
+    """
     raked = rake_cells(sample, margins, weight, max_rounds, tolerance)
+    if strict and tolerance is not None and raked.gap > tolerance:
+        raise NotRaked(f"after {raked.rounds} rounds a margin is missed by {raked.gap:.3g} of its target")
     factors = raked.cells.select(*margins, F.col("factor").alias("_factor"))
     base = F.lit(1.0) if weight is None else F.col(weight)
     return attach(sample, factors, list(margins), null_safe=True).withColumn(name, base * F.col("_factor")).drop("_factor")

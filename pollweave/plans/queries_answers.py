@@ -11,7 +11,6 @@ from ..operators.impute import (
     impute_mean,
     impute_regression,
     impute_rule,
-    impute_stochastic,
     impute_value,
     line_fit,
 )
@@ -223,10 +222,3 @@ def fill_regression(spark, folder):
     """Numeric and categorical predictors."""
     filled = impute_regression(_line_rows(spark, folder), "y", ["x", "l_discount"], ["l_linestatus"], "y_imp")
     return filled.select("l_orderkey", "l_linenumber", "l_partkey", "x", F.round("y_imp", 2).alias("y_imp"))
-
-
-@query("impute_stochastic")
-def fill_stochastic(spark, folder):
-    """Random by definition, so only the rows can be compared."""
-    filled = impute_stochastic(_line_rows(spark, folder), "y", "x", "y_imp", seed=1997)
-    return filled.select("l_orderkey", "l_linenumber", "x", "y", "y_imp")

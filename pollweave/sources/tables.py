@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,7 +36,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     return (
         spark.read.text(path, wholetext=True)
-        .select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+        .select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
         .filter(F.length("text") > 0)
     )
 
@@ -56,13 +57,13 @@ def read_statistics(
     """A published table: preamble lines, no usable header, decimal commas, NA marks.
 
     Columns get the given names; the ``numeric`` ones become double. The line
-    number stays as ``line``, because these tables are labelled by position.
+    number stays as ``line``, because these tables are labelled by position, with its ``file``: numbers start anew in each.
     """
     cells = (
         read_lines(spark, path)
         .filter(F.col("line") >= skip)
-        .select("line", F.from_csv("text", _fields(names), {"sep": sep}).alias("_row"))
-        .select("line", "_row.*")
+        .select("file", "line", F.from_csv("text", _fields(names), {"sep": sep}).alias("_row"))
+        .select("file", "line", "_row.*")
     )
     cells = null_tokens(cells, na)
     return cells.withColumns({c: decimal_comma(named(c)) for c in numeric})
@@ -80,12 +81,17 @@ def read_two_row_header(
 ) -> DataFrame:
     """A table whose column names are spread over two lines, joined as ``upper.lower``.
 
-    Only the two header lines reach the driver.
+    Only the header lines reach the driver, two of each file. Files with different heads cannot be one table and raise.
+    Quoted separators in the head belong to the name.
     """
-    lines = read_lines(spark, path)
-    header = {r["line"]: r["text"] for r in lines.filter(F.col("line").isin(header_line, class_line)).limit(2).collect()}
-    upper = header[header_line].split(sep)
-    lower = header[class_line].split(sep)
+    rows = read_lines(spark, path).filter(F.col("line").isin(header_line, class_line)).collect()
+    heads = {}
+    for row in rows:
+        heads.setdefault(row["file"], {})[row["line"]] = next(csv.reader([row["text"]], delimiter=sep))
+    kinds = {tuple(map(tuple, (head[header_line], head[class_line]))) for head in heads.values()}
+    if len(kinds) != 1:
+        raise ValueError(f"{len(kinds)} different heads in the files of {path}")
+    upper, lower = kinds.pop()
     names, group = [], ""
     for i, cell in enumerate(upper):
         group = cell.strip() or group

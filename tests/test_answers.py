@@ -195,8 +195,8 @@ def test_simple_fills(incomes, spark):
 def test_stochastic_noise_has_the_asked_deviation(spark):
     draw = np.random.default_rng(9)
     rows = [(float(i % 50), None if i % 2 else float(3 * (i % 50) + draw.normal(0, 40))) for i in range(20000)]
-    df = spark.createDataFrame(rows, "x DOUBLE, y DOUBLE")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id BIGINT, x DOUBLE, y DOUBLE")
     fit = line_fit(df, "y", "x").first()
-    noise = impute_stochastic(df, "y", "x", "z", seed=4).filter("y IS NULL").toPandas()
+    noise = impute_stochastic(df, "y", ["x"], "z", ["id"], seed=4).filter("y IS NULL").toPandas()
     gap = noise.z - fit.intercept - fit.slope * noise.x
     assert gap.std() == pytest.approx(fit.sigma / 20, rel=0.05) and abs(gap.mean()) < 0.1

@@ -46,8 +46,8 @@ def test_two_row_header(spark, tmp_path):
     text = "title\nsource\nReligion;Männlich;;Weiblich;\n;Unter 10;10 - 19;Unter 10;10 - 19\nKirche;1,5;/;3;4\n"
     path = write(tmp_path, "census.csv", text)
     df = read_two_row_header(spark, path, 2, 3, 4)
-    assert df.columns == ["line", "Religion", "Männlich.Unter 10", "Männlich.10 - 19", "Weiblich.Unter 10", "Weiblich.10 - 19"]
-    assert [tuple(r)[1:] for r in df.collect()] == [("Kirche", "1,5", None, "3", "4")]
+    assert df.columns == ["file", "line", "Religion", "Männlich.Unter 10", "Männlich.10 - 19", "Weiblich.Unter 10", "Weiblich.10 - 19"]
+    assert [tuple(r)[2:] for r in df.collect()] == [("Kirche", "1,5", None, "3", "4")]
 
 
 def test_names(spark):

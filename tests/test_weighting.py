@@ -99,7 +99,7 @@ def test_design_weights_sum_to_known_sizes(sample, margins):
 @pytest.mark.parametrize("window_cells", [0, 1000])
 def test_raking_meets_both_margins(sample, margins, window_cells):
     raked = rake_cells(sample, margins, window_cells=window_cells)
-    assert raked.largest_change <= 1e-9 and raked.rounds < 50
+    assert raked.gap <= 1e-9 and raked.rounds < 50
     for column, target in margins.items():
         sums = raked.cells.groupBy(column).agg(F.sum("total").alias("total"))
         assert sums.join(target, column).filter("abs(total - n) > 1e-4").count() == 0
