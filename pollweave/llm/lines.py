@@ -76,10 +76,12 @@ def repeated_prints(found: DataFrame) -> DataFrame:
 
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, first, last: runs of lines that occur earlier, joined where they touch."""
-    found = windows(docs, min_words)
+    found = stored(windows(docs, min_words), "windows")
     matched = stored(found.join(repeated_prints(found), "print", "left_semi"), "line-windows")
     place = F.struct(*DOC, "first")
     first = matched.groupBy("print", "run").agg(F.min(place).alias("origin"), F.max(place).alias("high")).where("origin <> high").drop("high")
+    # Stored, so that both sides of the join are plain exchanges, whose skewed partitions Spark splits.
+    first = stored(first, "origins")
     later = matched.join(first, ["print", "run"]).where(place > F.col("origin")).select(*DOC, "first", "last").distinct()
     own = Window.partitionBy(*DOC).orderBy("first", "last")
     before = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
