@@ -34,15 +34,21 @@ def turnout_rate(
     With ``unknown_counts`` a row whose vote is unknown enters both counts, as
     element counting on an unknown condition does.
     """
+    return turnout_rates(df, vote, in_scope, no_vote, not_able).filter(
+        F.col("mode") == ("unknown_counts" if unknown_counts else "known")
+    ).drop("mode")
+
+
+def turnout_rates(df: DataFrame, vote: str, in_scope: Column, no_vote: str, not_able: str) -> DataFrame:
+    """``turnout_rate`` both ways from one pass: (mode, no_vote, able, turnout), mode known or unknown_counts."""
     stayed_home = in_scope & (F.col(vote) == no_vote)
     able = in_scope & (F.col(vote) != not_able)
-    if unknown_counts:
-        stayed_home = F.coalesce(stayed_home, F.lit(True))
-        able = F.coalesce(able, F.lit(True))
-    return df.agg(
-        F.count_if(stayed_home).alias("no_vote"),
-        F.count_if(able).alias("able"),
-    ).withColumn("turnout", 1 - safe_ratio(F.col("no_vote"), F.col("able")))
+    counts = df.agg(
+        *[F.count_if(test).alias(name) for name, test in (("a", stayed_home), ("b", able))],
+        *[F.count_if(F.coalesce(test, F.lit(True))).alias(name) for name, test in (("c", stayed_home), ("d", able))],
+    )
+    rows = counts.selectExpr("stack(2, 'known', a, b, 'unknown_counts', c, d) AS (mode, no_vote, able)")
+    return rows.withColumn("turnout", 1 - safe_ratio(F.col("no_vote"), F.col("able")))
 
 
 def nonresponse_bounds(df: DataFrame, groups: Sequence[str], answer: str) -> DataFrame:

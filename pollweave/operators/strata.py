@@ -22,10 +22,11 @@ def strata_counts(df: DataFrame, keys: Sequence[str], weight: str | None = None,
 
 
 def sum_measures(
-    df: DataFrame, keys: Sequence[str], measures: Sequence[str], na_policy: str = "skip"
+    df: DataFrame, keys: Sequence[str], measures: Sequence[str], na_policy: str | Mapping[str, str] = "skip"
 ) -> DataFrame:
-    """Sum every measure per group."""
-    return df.groupBy(*keys).agg(*[sum_policy(F.col(m), na_policy).alias(m) for m in measures])
+    """Sum every measure per group; the policy on NULL is one for all, or one by measure."""
+    policies = dict.fromkeys(measures, na_policy) if isinstance(na_policy, str) else na_policy
+    return df.groupBy(*keys).agg(*[sum_policy(F.col(m), policies[m]).alias(m) for m in measures])
 
 
 def share_of_total(

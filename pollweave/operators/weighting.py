@@ -96,8 +96,42 @@ def weighted_outcome_shares(
     return share_of_total(counts)
 
 
+def outcome_shares_by_method(
+    sample: DataFrame,
+    population_counts: DataFrame,
+    keys: Sequence[str],
+    outcome: str,
+    methods: Mapping[str, tuple[bool, Column]],
+) -> DataFrame:
+    """(method, outcome, n, share) for several estimates from one pass over the respondents.
+
+    ``methods`` maps a name to (whether it is weighted, which rows count). The cells hold a count per
+    method, so what the methods share is read and joined once.
+    """
+    flags = {f"_m{i}": condition for i, (_, condition) in enumerate(methods.values())}
+    counts = [F.count_if(condition).alias(flag) for flag, condition in flags.items()]
+    cells = sample.groupBy(*dict.fromkeys([*keys, outcome])).agg(F.count(F.lit(1)).alias("n"), *counts)
+    weighted = _weighted_cells(cells, population_counts, keys, outcome, list(flags))
+    rows = [
+        F.struct(
+            F.lit(name).alias("method"),
+            (F.col("weight") * F.col(flag) if by_weight else F.col(flag).cast("double")).alias("n"),
+            F.col(flag).alias("rows"),
+        )
+        for flag, (name, (by_weight, _)) in zip(flags, methods.items())
+    ]
+    long = weighted.select(outcome, F.explode(F.array(*rows)).alias("_row")).filter("_row.rows > 0")
+    totals = long.groupBy("_row.method", outcome).agg(F.expr("coalesce(sum(_row.n), 0.0D) AS n"))
+    # A row per method and outcome.
+    return totals.withColumn("share", 100 * safe_ratio(F.col("n"), F.sum("n").over(Window.partitionBy("method"))))
+
+
 def _weighted_cells(
-    cells: DataFrame, population_counts: DataFrame, keys: Sequence[str], outcome: str
+    cells: DataFrame,
+    population_counts: DataFrame,
+    keys: Sequence[str],
+    outcome: str,
+    counted: Sequence[str] = ("_counted",),
 ) -> DataFrame:
     """Weights next to the cells: population rows are stacked under the cells of their stratum.
 
@@ -107,17 +141,18 @@ def _weighted_cells(
         cells = cells.withColumn("_outcome", F.col(outcome))
     else:
         cells = cells.withColumnRenamed(outcome, "_outcome")
-    rows = cells.selectExpr(*keys, "_outcome", "n AS _s", "_counted", "CAST(NULL AS BIGINT) AS _p").unionByName(
+    rows = cells.selectExpr(*keys, "_outcome", "n AS _s", *counted, "CAST(NULL AS BIGINT) AS _p").unionByName(
         population_counts.selectExpr(*keys, "n AS _p"), allowMissingColumns=True
     )
-    # The sum of _counted is not used; with it both scans of the cells are one exchange.
-    totals = rows.agg(F.expr("struct(sum(_s) AS s, sum(_p) AS p, sum(_counted) AS c)")).scalar()
+    # The sums of the counted columns are not used; with them both scans of the cells are one exchange.
+    unused = ", ".join(f"sum({c}) AS {c}" for c in counted)
+    totals = rows.agg(F.expr(f"struct(sum(_s) AS s, sum(_p) AS p, {unused})")).scalar()
     stratum = Window.partitionBy(*keys)
     return (
         rows.withColumns({"_ps": F.sum("_p").over(stratum), "_ss": F.sum("_s").over(stratum), "_total": totals})
         .selectExpr(
             f"_outcome AS {outcome}",
-            "_counted",
+            *counted,
             "try_divide(try_divide(100.0D * _ps, _total.p), try_divide(100.0D * _ss, _total.s)) AS weight",
         )
     )

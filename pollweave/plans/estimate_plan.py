@@ -42,7 +42,7 @@ def clean_wave(
             & (F.col("age") > fixed.OLDEST_MINOR)
         )
     education = {**fixed.EDUCATION, **fixed.EDUCATION_CODES}
-    religion = F.coalesce(label_by_pattern(F.col("religion"), fixed.RELIGION_PATTERNS), F.col("religion"))
+    religion = recode(F.col("religion"), fixed.RELIGIONS)
     cleaned = wave.withColumns(
         {
             "gender": recode(F.col("gender"), fixed.GENDERS),
@@ -76,10 +76,10 @@ def voters(wave: DataFrame) -> DataFrame:
 def election_totals(results: DataFrame) -> DataFrame:
     """Party totals of an election: (party, and every numeric column summed), small parties as Other.
 
-    ``results`` has one row per party in ``Parteien``; the rows on eligible,
-    actual, invalid and valid votes are not parties and must be left out or
-    have no percentages.
+    ``results`` has one row per party in ``Parteien``; the rows on eligible people, voters, invalid and
+    valid ballots (``fixed.BALLOT_ROWS``) are not parties and are left out by name, as are rows without percentages.
     """
+    results = results.filter(~F.coalesce(F.trim("Parteien").isin(*fixed.BALLOT_ROWS), F.lit(False)))
     measures = [f.name for f in results.schema.fields if f.name != "Parteien"]
     party = F.when(F.col("Parteien").isin(*fixed.ELECTION_PARTIES), F.col("Parteien")).otherwise("Other")
     return (
@@ -145,11 +145,12 @@ def census_strata(census: DataFrame, na_policy: str = "skip") -> DataFrame:
     """
     long = to_long(census.filter("religion != 'Insgesamt'"), ["religion"], name="label", value="cell")
     label = F.col("label")
-    for pattern, text in fixed.CENSUS_GENDERS:
+    for pattern, text in fixed.CENSUS_GENDERS.items():
         label = replace_first(label, pattern, text)
     label = replace_first(replace_first(label, r"\s-\s", "."), r"\s.+ter", "p")
     cells = long.select(
-        label_by_pattern(F.col("religion"), fixed.CENSUS_RELIGIONS).alias("religion_cat"),
+        # Published labels carry a remark in brackets.
+        recode(F.trim(F.regexp_replace("religion", r"\(.*\)", "")), fixed.CENSUS_RELIGIONS).alias("religion_cat"),
         extract(label, "^.*male").alias("gender"),
         F.regexp_replace(label, r"^.*male\.", "").alias("age"),
         decimal_comma(F.col("cell")).alias("n"),

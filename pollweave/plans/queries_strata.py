@@ -65,13 +65,11 @@ FROM resp GROUP BY past, agegroup""",
 )
 def sums(spark, folder):
     """One measure skips NULL, the other is NULL as soon as one value is."""
-    sample = respondents(spark, folder).withColumn(
-        "nation_propagate", F.nullif(F.col("nation"), F.lit(7)).cast("double")
+    sample = respondents(spark, folder).withColumns(
+        {"w0_skip": F.col("w0"), "nation_propagate": F.nullif(F.col("nation"), F.lit(7)).cast("double")}
     )
-    keys = ["past", "agegroup"]
-    skipped = sum_measures(sample.withColumn("w0_skip", F.col("w0")), keys, ["w0_skip"])
-    poisoned = sum_measures(sample, keys, ["nation_propagate"], "propagate")
-    return rounded(skipped.join(poisoned, keys), 3, "w0_skip", "nation_propagate")
+    policies = {"w0_skip": "skip", "nation_propagate": "propagate"}
+    return rounded(sum_measures(sample, ["past", "agegroup"], list(policies), policies), 3, *policies)
 
 
 @query(

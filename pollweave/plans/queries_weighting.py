@@ -9,15 +9,14 @@ from ..operators.estimate import (
     Design,
     design_mean,
     nonresponse_bounds,
-    outcome_shares,
     summary_statistics,
-    turnout_rate,
+    turnout_rates,
     weighted_mean,
 )
-from ..operators.reshape import append_rows
 from ..operators.strata import strata_counts
 from ..operators.weighting import (
     empty_strata,
+    outcome_shares_by_method,
     poststratify,
     poststratify_design,
     rake,
@@ -359,11 +358,7 @@ def turnout(spark, folder):
         (F.col("balance") > 2200).alias("of_age"), F.nullif(F.col("past"), F.lit("BUILDING")).alias("vote")
     )
 
-    def rate(mode: str, unknown_counts: bool) -> DataFrame:
-        result = turnout_rate(votes, "vote", F.col("of_age"), "MACHINERY", "FURNITURE", unknown_counts)
-        return result.withColumn("mode", F.lit(mode))
-
-    return rounded(rate("known", False).unionByName(rate("unknown_counts", True)), 9, "turnout")
+    return rounded(turnout_rates(votes, "vote", F.col("of_age"), "MACHINERY", "FURNITURE"), 9, "turnout")
 
 
 @query(
@@ -412,23 +407,12 @@ SELECT method, intent, round(n, 6) AS n, round(100 * n / sum(n) OVER (PARTITION
 def estimates_by_method(spark, folder):
     """Unweighted, weighted and likely-voter estimates stacked in one table."""
     voting = F.col("intent") != NO_VOTE
-    parts = {
-        "unweighted": outcome_shares(respondents(spark, folder), "intent", where=voting),
-        "weighted": weighted_outcome_shares(
-            respondents(spark, folder), population(spark, folder, *STRATA), STRATA, "intent", voting
-        ),
-        "likely voters": weighted_outcome_shares(
-            respondents(spark, folder),
-            population(spark, folder, *STRATA),
-            STRATA,
-            "intent",
-            voting & (F.col("turnout") == 1),
-        ),
+    methods = {
+        "unweighted": (False, voting),
+        "weighted": (True, voting),
+        "likely voters": (True, voting & (F.col("turnout") == 1)),
     }
-    stacked = append_rows(
-        *[
-            shares.select(F.lit(method).alias("method"), "intent", F.col("n").cast("double").alias("n"), "share")
-            for method, shares in parts.items()
-        ]
+    shares = outcome_shares_by_method(
+        respondents(spark, folder), population(spark, folder, *STRATA), STRATA, "intent", methods
     )
-    return rounded(stacked, 6, "n").withColumn("share", F.round("share", 8))
+    return rounded(shares, 6, "n").withColumn("share", F.round("share", 8))

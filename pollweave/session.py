@@ -14,6 +14,8 @@ SCALE_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Call-site capture makes every column expression several times slower to build.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -45,8 +47,8 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         if configured is None:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             configured = tempfile.mkdtemp(prefix="pollweave-")
         context.setCheckpointDir(configured)
-    return configured or context.getCheckpointDir()
+    return context.getCheckpointDir()

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import collapse_other, decimal_comma, parse_day, recode, survey_mode
 from ..functions.text import POLL_MARKS
 
-HEAD_CELL = r"(?is)<th[^>]*>(.*?)</th>"
-BODY = r"(?is)<tbody[^>]*>(.*?)</tbody>"
-BODY_ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
-BODY_CELL = r"(?is)<td[^>]*>(.*?)</td>"
+HEAD_CELL = r"(?is)<th\b[^>]*>(.*?)</th>"
+BODY = r"(?is)<tbody\b[^>]*>(.*?)</tbody>"
+BODY_ROW = r"(?is)<tr\b[^>]*>(.*?)</tr>"
+BODY_CELL = r"(?is)<td\b[^>]*>(.*?)</td>"
 LINK_ITEM = r'<li><a href="([^"]*)">([^<]*)</a></li>'
 
 
@@ -69,11 +69,12 @@ def table_rows(
 
 def link_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Linked list items of each page: (key, position, target, label)."""
-    targets = F.regexp_extract_all(F.col(html), F.lit(LINK_ITEM), 1)
-    labels = F.regexp_extract_all(F.col(html), F.lit(LINK_ITEM), 2)
-    pairs = F.arrays_zip(targets.alias("target"), labels.alias("label"))
-    return pages.select(key, F.posexplode(pairs).alias("position", "_item")).select(
-        key, "position", F.col("_item.target").alias("target"), F.col("_item.label").alias("label")
+    items = F.regexp_extract_all(F.col(html), F.lit(LINK_ITEM), 0)
+    return pages.select(key, F.posexplode(items).alias("position", "_item")).select(
+        key,
+        "position",
+        F.regexp_extract("_item", LINK_ITEM, 1).alias("target"),
+        F.regexp_extract("_item", LINK_ITEM, 2).alias("label"),
     )
 
 
