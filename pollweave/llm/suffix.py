@@ -90,7 +90,17 @@ def anchors(text: np.ndarray, bounds: np.ndarray, length: int, gram: int, stretc
     return place, np.concatenate(hashes)[first]
 
 
+def _once_per_text(doc: np.ndarray, around: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order in which equal anchors of one text follow each other, and where each kind begins in it."""
+    order = np.lexsort((np.arange(len(doc)), around, gram, doc))
+    same = np.zeros(len(order), bool)
+    if len(order):
+        same[1:] = (np.diff(doc[order]) == 0) & (around[order][1:] == around[order][:-1]) & (gram[order][1:] == gram[order][:-1])
+    return order, np.flatnonzero(~same)
+
+
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """An anchor per row; those of one text with the same bytes around them, as in a text that repeats one word, share a row."""
     schema = T.StructType(
         [
             T.StructField("gram", T.LongType()),
@@ -99,6 +109,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             docs.schema["text_hash"],
             T.StructField("place", T.LongType()),
             T.StructField("size", T.LongType()),
+            T.StructField("more", T.ArrayType(T.LongType())),
         ]
     )
 
@@ -115,16 +126,23 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 left = np.minimum(place - bounds[doc], length - gram)
                 low, high = place - left, np.minimum(place + length, bounds[doc + 1])
                 view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
-                around = [digest(view[a:b], seed=s) for a, b, s in zip(low.tolist(), high.tolist(), left.tolist(), strict=True)]
-                rows = pa.array(doc)
+                around = np.array([digest(view[a:b], seed=s) for a, b, s in zip(low.tolist(), high.tolist(), left.tolist(), strict=True)], np.uint64)
+                order, heads = _once_per_text(doc, around, grams)
+                first, rows = order[heads], pa.array(doc[order[heads]])
+                # Behind each head stand its further places.
+                ends = np.append(heads[1:], len(order))
+                lengths = ends - heads - 1
+                others = np.delete(order, heads)
+                more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(place[others] - bounds[doc[others]]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(grams.view(np.int64)),
-                        pa.array(np.array(around, np.uint64).view(np.int64)),
+                        pa.array(grams[first].view(np.int64)),
+                        pa.array(around[first].view(np.int64)),
                         block.column("doc_id").take(rows),
                         block.column("text_hash").take(rows),
-                        pa.array(place - bounds[doc]),
-                        pa.array(sizes[doc]),
+                        pa.array(place[first] - bounds[doc[first]]),
+                        pa.array(sizes[doc[first]]),
+                        more.cast(target.field("more").type),
                     ],
                     schema=target,
                 )
@@ -273,16 +291,18 @@ def repeated_spans(
     if not 0 < gram <= length:
         raise ValueError("a gram has from one byte up to the whole length")
     same = Window.partitionBy("gram", "around")
-    marks = _anchor_rows(docs, length, gram).withColumns(
+    # Dealt by the gram alone, which serves both windows.
+    marks = _anchor_rows(docs, length, gram).repartition("gram").withColumns(
         {
-            "n": F.count("*").over(same),
+            "n": F.sum(1 + F.size("more")).over(same),
             "first": F.row_number().over(same.orderBy(*DOC, "place")) == 1,
         }
     )
     of_gram = Window.partitionBy("gram")
-    marks = marks.withColumns({"of_gram": F.count("*").over(of_gram), "kinds": F.sum(F.col("first").cast("int")).over(of_gram)})
+    marks = marks.withColumns({"of_gram": F.sum(1 + F.size("more")).over(of_gram), "kinds": F.sum(F.col("first").cast("int")).over(of_gram)})
     marks = stored(marks.where("of_gram > 1").drop("around", "of_gram"), "anchors")
-    whole = marks.where("n > 1").select(
+    repeated = marks.where("n > 1").select(*DOC, "size", F.explode(F.concat(F.array("place"), "more")).alias("place"))
+    whole = repeated.select(
         *DOC, F.greatest(F.lit(0).cast("long"), F.col("place") - (length - gram)).alias("start"), F.least(F.col("size"), F.col("place") + length).alias("end")
     )
     wanted = marks.where("first AND kinds > 1").select("gram", *DOC, "place", (F.col("n") == 1).alias("alone"), (F.col("kinds") > hot_gram).alias("hot"))
