@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import shared_folder
 
-# A lookup above this many rows is joined by shuffle instead of broadcast.
+# A lookup above this many rows, or bytes of its rows written out as text, is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64_000_000
 # A window group above this many rows is cut into ordered chunks.
 ROWS_PER_TASK = 2_000_000
 # Up to this many margin cells are fitted in one task; more are fitted by grouping and joining.
@@ -56,16 +57,22 @@ def attach(
 ) -> DataFrame:
     """Join a (usually small) lookup to a large frame.
 
-    The lookup is computed once and counted. Within ``max_rows`` it is broadcast
+    The lookup is computed once and measured. Within ``max_rows`` and ``BROADCAST_BYTES`` it is broadcast
     and the large side does not move; beyond that the join is an ordinary
     shuffle join, whose skewed partitions adaptive execution splits.
     """
-    lookup, rows = settle_counted(lookup)
-    if rows <= max_rows:
+    lookup = settle(lookup)
+    if broadcastable(lookup, max_rows):
         lookup = F.broadcast(lookup)
     return join_null_safe(df, lookup, on, how) if null_safe else df.join(lookup, list(on), how)
 
 
+def broadcastable(stored: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored frame is small enough, by rows and by bytes."""
+    rows, size = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     """Row count of the frame and of its largest group (one pass, combined before the shuffle)."""
     if not keys:

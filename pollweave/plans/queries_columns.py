@@ -272,14 +272,19 @@ def distinct_rows(spark, folder):
 
 @query(
     "sort_multi",
-    """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS income, o_orderpriority FROM orders""",
+    """WITH v AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS income, o_orderpriority FROM orders)
+SELECT row_number() OVER (ORDER BY o_orderpriority DESC, income ASC NULLS LAST, o_orderkey) AS position, o_orderkey, income, o_orderpriority FROM v""",
 )
 def sort_multi(spark, folder):
-    """Ascending and descending keys, missing values last."""
+    """Ascending and descending keys, missing values last; the place in the order is a column, so that it is compared too."""
     orders = table(spark, folder, "orders").selectExpr(
-        "o_orderkey", "IF(o_orderstatus != 'P', o_totalprice, NULL) AS income", "o_orderpriority"
+        "o_orderkey",
+        "IF(o_orderstatus != 'P', o_totalprice, NULL) AS income",
+        "o_orderpriority",
+        "-CAST(substr(o_orderpriority, 1, 1) AS INT) AS backwards",
     )
-    return orders.orderBy(F.col("o_orderpriority").desc(), F.col("income").asc_nulls_last(), "o_orderkey")
+    numbered = add_row_number(orders, ["backwards", "income", "o_orderkey"], "position")
+    return numbered.selectExpr("CAST(position AS BIGINT) AS position", "o_orderkey", "income", "o_orderpriority").orderBy("position")
 
 
 @query(
