@@ -12,7 +12,6 @@ from pollweave.operators.strata import complete_strata
 from pollweave.operators.weighting import NotRaked, empty_strata, margin_gaps, poststratify, rake, rake_cells
 from pollweave.plans import fixed_values as fixed
 from pollweave.plans.estimate_plan import election_totals
-from pollweave.session import shared_folder
 from pollweave.sources import read_two_row_header
 
 
@@ -120,7 +119,3 @@ def test_ballot_rows_are_no_party(spark):
     rows = [(fixed.BALLOT_ROWS[0], 100, 100.0, 100.0), ("CDU", 40, 40.0, 39.0), ("PIRATEN", 2, 2.2, 2.0)]
     totals = election_totals(frame(spark, rows, "Parteien STRING, Zweitstimmen_n LONG, Zweitstimmen_pct DOUBLE, Erststimmen_pct DOUBLE"))
     assert {r.party: r.Zweitstimmen_pct for r in totals.collect()} == {"CDU": 40.0, "Other": 2.2}
-
-
-def test_the_shared_folder_is_the_one_in_use(spark):
-    assert shared_folder(spark) == spark.sparkContext.getCheckpointDir()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from pollweave.plans.catalog import QUERIES
 from pollweave.plans import fixed_values as fixed
 from pollweave.plans.benchmark_plan import benchmark, benchmark_estimates, scored_table
 from pollweave.plans.estimate_plan import (
@@ -215,17 +215,17 @@ def plan_of(df):
     return text.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_python_in_any_plan(spark, name):
-    found = FORBIDDEN.search(plan_of(queries()[name](spark, "/root/testdata/sf0.001")))
+    found = FORBIDDEN.search(plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")))
     assert found is None, found
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = plan_of(queries()["filter_range"](spark, "/root/testdata/sf0.001"))
+    plan = plan_of(QUERIES["filter_range"](spark, "/root/testdata/sf0.001"))
     assert re.search(r"PushedFilters: \[.*GreaterThan\(o_totalprice,22000.0\)", plan)
     assert "o_orderpriority" not in plan
-    assert "l_extendedprice" not in plan_of(queries()["join_inner"](spark, "/root/testdata/sf0.001"))
+    assert "l_extendedprice" not in plan_of(QUERIES["join_inner"](spark, "/root/testdata/sf0.001"))
 
 
 def test_shared_folder_is_the_configured_one(spark):
