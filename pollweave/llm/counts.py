@@ -21,7 +21,7 @@ from .pieces import chunks_of
 from .texts import per_text
 
 # Pre-tokens whose counts a task keeps between blocks; beyond it the table starts anew.
-TABLE_TOKENS = 1_000_000
+TABLE_TOKENS = 300_000
 # The public vocabularies give ranks, not probabilities: a piece of rank r weighs 1 / (r + this).
 RANK_OFFSET = 2.7
 

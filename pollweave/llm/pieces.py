@@ -27,7 +27,7 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 GUARD = "a"
 # Chunks that a task keeps segmented between blocks; beyond it the table starts anew.
-TABLE_CHUNKS = 1_000_000
+TABLE_CHUNKS = 300_000
 
 
 class ChunkTable:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Texts of about this many bytes are worked on at once inside a task; a longer text is a block alone.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 
 def blocks(batch: pa.RecordBatch, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
