@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +69,29 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(documents(spark, folder), public_tokenizers.path(PIECE_MODEL))
 
 
-@query("op3_chat_format")
+def _chat_sql(template: chat.Template) -> str:
+    """Digests of the turns and of the loss text, and the length of marks and escaped texts."""
+    marks = "".join(f" WHEN '{role}' THEN {len(turn.before) + len(turn.after)}" for role, turn in template.turns.items())
+    special = "|".join(["\\\\", *(re.sub(r"([\[\]])", r"\\\1", control) for control in template.controls)])
+    escapes = lambda text: f"len(regexp_extract_all({text}, '{special}'))"
+    moves = ", ".join(f"('{state}', '{role}')" for state, roles in template.follows.items() for role in sorted(roles))
+    loss = ", ".join(f"'{role}'" for role, turn in template.turns.items() if turn.loss)
+    ends = ", ".join(f"'{role}'" for role in template.ends)
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER w AS n, lag(role, 1, '') OVER w AS state FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role IN ({loss})), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role IN ({loss})), '')) AS loss_sha256,
+  sum(length(text) + {escapes("text")} + CASE role{marks} ELSE {sum(map(len, template.other))} + length(role) + {escapes("role")} END)::BIGINT AS formatted_chars,
+  bool_and((state, role) IN ({moves})) AND arg_max(role, n) IN ({ends}) AS legal
+FROM o GROUP BY conv_id
+"""
+
+
+@query("op3_chat_format", _chat_sql(chat.INSTRUCT))
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     given = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -173,7 +197,28 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, folder)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
-@query("op5_ngram_join")
+# Every pair with an n-gram in common, and the closure of the links: exact, for small tables.
+NGRAM_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, 'short ' || array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+s AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS set_id FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b, sb.set_id AS b_set, sa.set_id = sb.set_id AS same
+  FROM c JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 5 * common >= 4 * (sa.n + sb.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+copy AS (SELECT set_id, min(doc_id) AS copy_id FROM s GROUP BY set_id),
+n AS (SELECT a AS doc_id, count(*) AS n_links, count(DISTINCT b_set) FILTER (WHERE NOT same) AS n_texts FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(n_links, 0)::BIGINT AS n_links,
+  coalesce(n_texts, 0)::BIGINT AS n_texts, coalesce(s.n, 0)::BIGINT AS n_grams
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN class ON class.doc_id = d.doc_id LEFT JOIN copy ON copy.set_id = s.set_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+@query("op5_ngram_join", NGRAM_SQL)
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     found = ngrams.similar(documents(spark, folder))
     return found.select("doc_id", F.col("class_doc").alias("class_id"), "copy_id", "n_links", "n_texts", "n_grams")

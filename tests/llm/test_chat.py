@@ -2,16 +2,21 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pandas.testing import assert_frame_equal
 
 from pollweave.llm import chat
 from pollweave.llm.chat import INSTRUCT, Template, Turn
 from pollweave.llm.queries import QUERIES
 
-from .helpers import FOLDER
+from .helpers import FOLDER, pandas_pair
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
+def test_query_agrees_with_sql(spark):
+    assert_frame_equal(*pandas_pair(spark, "op3_chat_format", "conv_id"))
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 

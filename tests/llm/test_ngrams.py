@@ -3,12 +3,13 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+from pandas.testing import assert_frame_equal
 
 from pollweave.llm import ngrams
 from pollweave.llm.components import components
 from pollweave.llm.queries import QUERIES
 
-from .helpers import FOLDER, awkward, frame
+from .helpers import FOLDER, awkward, frame, pandas_pair
 
 
 def brute(rows, size=5, threshold=Fraction(4, 5)):
@@ -59,6 +60,10 @@ def test_query(spark):
     assert found == brute(docs)
 
 
+def test_query_agrees_with_sql(spark):
+    assert_frame_equal(*pandas_pair(spark, "op5_ngram_join", "doc_id"))
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, rows = ngrams.bands_for(threshold, 0.999, 256)
