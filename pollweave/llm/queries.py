@@ -192,7 +192,25 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), sha(F.col("text")).alias("kept_sha256"))
 
 
-@query("op7_suffix_dedup")
+# Every string of 200 bytes, by its digest; texts as hexadecimal digits, two for a byte.
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM d WHERE len(h) >= 400)),
+r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+b AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM r),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM b),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS z FROM i GROUP BY doc_id, run),
+f AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM s),
+k AS (
+  SELECT f.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS front, max(z) AS rest
+  FROM f JOIN d ON d.doc_id = f.doc_id GROUP BY f.doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
+@query("op7_suffix_dedup", REPEATS_SQL)
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, folder)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
