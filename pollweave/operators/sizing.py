@@ -6,7 +6,7 @@ import math
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
 
@@ -37,10 +37,28 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    remember(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: list[str] = []
+
+
+def remember(path: str) -> None:
+    """Note a written intermediate result, for ``drop_stored``."""
+    _STORED.append(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the intermediate results that this process wrote; to be called when the final results are written."""
+    n = len(_STORED)
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``settle`` and the number of stored rows."""
     kept = settle(df)

@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from pollweave.operators.sizing import attach, chunks_for, group_sizes, settle_counted
+from pollweave.operators.sizing import attach, chunks_for, drop_stored, group_sizes, settle_counted, store
 from pollweave.session import shared_folder
 
 from .test_plans import plan_of
@@ -61,3 +61,11 @@ def test_a_configured_folder_is_used():
         conf=SimpleNamespace(get=lambda key, default=None: "hdfs:///shared"),
     )
     assert shared_folder(session) == "hdfs:///shared" and chosen == ["hdfs:///shared"]
+
+
+def test_stored_results_can_be_dropped(spark, tmp_path):
+    kept = store(spark.range(5))
+    path = kept.inputFiles()[0]
+    assert kept.count() == 5 and drop_stored(spark) >= 1 and drop_stored(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        spark.read.parquet(path).count()
