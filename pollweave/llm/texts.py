@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sizing import remember
+
 # Texts of about this many bytes are worked on at once inside a task; a longer text is a block alone.
 BLOCK_BYTES = 2_000_000
 
@@ -104,6 +106,7 @@ def work_folder(spark: SparkSession) -> str:
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back: lineage ends there."""
     path = f"{work_folder(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    remember(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
