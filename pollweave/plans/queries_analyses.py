@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import null_tokens
+from ..functions import null_tokens, recode
 from ..session import shared_folder
 from ..sources import clean_poll_rows, read_statistics, read_two_row_header, table_rows
 from ..sources.pages import PollColumns
 from . import fixed_values as fixed
+from .benchmark_plan import benchmark, benchmark_estimates, scored_table
 from .estimate_plan import all_estimates, clean_wave, election_totals
+from .queries_polls import LATEST_SQL
 from .queries_weighting import rounded
 from .registry import query
 from .views import PARTIES, PEOPLE_SQL, POLLS_SQL, RESP_SQL, people, polls, respondents
@@ -200,3 +202,32 @@ def totals_of_an_election(spark, folder):
     results = votes.unionByName(ballots).withColumn("_all", total)
     results = results.selectExpr("Parteien", "Zweitstimmen_n", "100.0D * Zweitstimmen_n / _all AS Zweitstimmen_pct", "50.0D * Zweitstimmen_n / _all AS Erststimmen_pct")
     return rounded(election_totals(results), 8, "Zweitstimmen_pct", "Erststimmen_pct")
+
+
+_BENCHMARK_LABELS = {"click": "CDU/CSU", "error": "SPD", "purchase": "Grüne", "signup": "Linke", "view": "AfD"}
+_RESULT_LABELS = {"click": "Union", "error": "SPD", "purchase": "Gruene", "signup": "Linke", "view": "AfD"}
+_DAYS = ("2024-01-20", "2024-01-25")
+_SCORED_SQL = f"""{LATEST_SQL},
+d1 AS (SELECT DISTINCT partei, datum, befragte, anteil FROM polls),
+w1 AS (SELECT *, avg(anteil) OVER t AS m, count(*) OVER t AS k FROM d1
+       WINDOW t AS (PARTITION BY partei ORDER BY datum, befragte, anteil ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+tens AS (SELECT datum, partei, avg(CASE WHEN k = 10 THEN m END) AS rolling_average FROM w1 GROUP BY datum, partei),
+means AS (
+  SELECT 'rolling average' AS method, partei, avg(100 * rolling_average) AS pct FROM series WHERE datum IN ('{_DAYS[0]}', '{_DAYS[1]}') GROUP BY partei
+  UNION ALL SELECT 'ten polls', partei, avg(100 * rolling_average) FROM tens WHERE datum IN ('{_DAYS[0]}', '{_DAYS[1]}') GROUP BY partei),
+e AS (
+  SELECT method, {_map("partei", _RESULT_LABELS)} AS party, round(pct, 1) AS pct FROM means
+  UNION ALL SELECT 'rolling average', 'Other', round(100 - sum(pct), 1) FROM means WHERE method = 'rolling average'),
+s AS (SELECT a.method, sqrt(avg((a.pct - b.pct) * (a.pct - b.pct))) AS rmse FROM e a JOIN e b ON b.party = a.party AND b.method = 'rolling average' GROUP BY a.method)
+SELECT CASE method WHEN 'ten polls' THEN 'Ten polls' ELSE method END AS "Method", 2024 AS "Year",
+  {", ".join(f"max(pct) FILTER (WHERE party = '{p}') AS " + '"' + p + '"' for p in fixed.PARTIES)}, round(any_value(rmse), 6) AS "RMSE"
+FROM e JOIN s USING (method) GROUP BY method"""
+
+
+@query("benchmark_scored", _SCORED_SQL)
+def benchmark_scored(spark, folder):
+    """The mean of ten polls scored against the latest poll of every source."""
+    named = polls(spark, folder).withColumn("partei", recode(F.col("partei"), _BENCHMARK_LABELS))
+    reference = benchmark_estimates(benchmark(named), _DAYS)
+    estimates = benchmark_estimates(benchmark(named, "rolling"), _DAYS, "ten polls")
+    return rounded(scored_table(estimates, reference, {"^ten": "Ten polls"}), 6, "RMSE")

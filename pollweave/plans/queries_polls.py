@@ -88,7 +88,7 @@ def rolling_avg_error(spark, folder):
 
 
 # Written as the definition reads: for every (party, day) look back over all polls of the party.
-_LATEST_SQL = f"""WITH {POLLS_SQL}, {_ERR_SQL},
+LATEST_SQL = f"""WITH {POLLS_SQL}, {_ERR_SQL},
 base AS (SELECT DISTINCT institut, datum, partei, anteil, befragte, delta FROM err),
 points AS (SELECT DISTINCT partei, datum FROM base),
 seen AS (SELECT points.partei, points.datum, b.anteil, b.befragte, b.delta,
@@ -107,24 +107,24 @@ def _latest(spark, folder, column: str, method: str, name: str):
     return rounded(found, 8, name)
 
 
-@query("latest_poll_avg", _LATEST_SQL + " SELECT partei, datum, round(rolling_average, 8) AS rolling_average FROM series")
+@query("latest_poll_avg", LATEST_SQL + " SELECT partei, datum, round(rolling_average, 8) AS rolling_average FROM series")
 def latest_poll_avg(spark, folder):
     return _latest(spark, folder, "anteil", "linear", "rolling_average")
 
 
-@query("latest_poll_err_linear", _LATEST_SQL + " SELECT partei, datum, round(err_linear, 8) AS poll_err FROM series")
+@query("latest_poll_err_linear", LATEST_SQL + " SELECT partei, datum, round(err_linear, 8) AS poll_err FROM series")
 def latest_poll_err_linear(spark, folder):
     return _latest(spark, folder, "delta", "linear", "poll_err")
 
 
-@query("latest_poll_err_gauss", _LATEST_SQL + " SELECT partei, datum, round(err_gauss, 8) AS poll_err FROM series")
+@query("latest_poll_err_gauss", LATEST_SQL + " SELECT partei, datum, round(err_gauss, 8) AS poll_err FROM series")
 def latest_poll_err_gauss(spark, folder):
     return _latest(spark, folder, "delta", "gauss", "poll_err")
 
 
 @query(
     "latest_poll_band",
-    _LATEST_SQL
+    LATEST_SQL
     + """ SELECT partei, datum, round(rolling_average, 8) AS rolling_average, round(err_linear, 8) AS poll_err,
 round(rolling_average + err_linear, 8) AS ci_higher, round(rolling_average - err_linear, 8) AS ci_lower FROM series""",
 )
@@ -135,7 +135,7 @@ def latest_poll_band(spark, folder):
 
 
 _SNAPSHOT_SQL = (
-    _LATEST_SQL
+    LATEST_SQL
     + """, band AS (SELECT *, rolling_average - err_linear AS ci_lower, rolling_average + err_linear AS ci_higher
               FROM series WHERE datum = (SELECT max(datum) FROM series))"""
 )
