@@ -156,6 +156,12 @@ def impute_stochastic(
         fitted = df.withColumn("_fit", _fit_scalar(df, y, numeric[0]))
         value = F.col("_fit.intercept") + F.col("_fit.slope") * F.col(numeric[0])
         sigma = F.col("_fit.sigma")
+    elif not categorical:
+        rows = regression_summary(df, y, numeric).collect()  # a row per predictor
+        terms = {row.term: row.estimate for row in rows}
+        fitted, value, sigma = df, F.lit(terms["(intercept)"]), F.lit(rows[0].sigma)
+        for column in numeric:
+            value = value + terms[column] * F.col(column)
     else:
         fitted, deviation = _predicted(df, y, numeric, categorical)
         value, sigma = F.col("_prediction"), F.lit(deviation)
