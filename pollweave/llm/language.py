@@ -52,15 +52,20 @@ def learn(
     """A dictionary for each label, from a bounded sample of the rows with a label and a text.
 
     The sample takes the texts with the smallest hashes, so it does not depend on
-    ids, order or partitions. Lines that several sampled texts share are left out.
+    ids, order, partitions or copies: texts of a label that agree in their first
+    ``SAMPLE_CHARS`` characters are one text. Lines that several sampled texts share,
+    or that one has under several labels, are left out.
     """
     labelled = docs.select(F.col(label).cast("string").alias("label"), F.col(text_column).alias("text"), (F.lit(True) if use is None else use).alias("use"))
     labelled = labelled.where("use AND label IS NOT NULL AND text IS NOT NULL").withColumn("place", F.xxhash64("text"))
     if len(labelled.select("label").distinct().limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels")
-    first = Window.partitionBy("label").orderBy("place", "text")
-    sample = labelled.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).withColumn("n", F.row_number().over(first))
-    rows = sample.where(F.col("n") <= sample_texts).orderBy("label", "n").select("label", "text").collect()
+    labelled = labelled.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).withColumn("alike", F.xxhash64("text"))
+    # Copies go by hashes alone, so no text is shuffled but those of the sample.
+    first = Window.partitionBy("label").orderBy("place", "alike")
+    chosen = labelled.groupBy("label", "alike").agg(F.min("place").alias("place")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_texts)
+    sample = labelled.join(F.broadcast(chosen), ["label", "alike", "place"]).groupBy("label", "n").agg(F.min("text").alias("text"))
+    rows = sample.orderBy("label", "n").collect()
     shared = Counter(line for row in rows for line in set(row.text.split("\n")))
     parts: dict[str, list[bytes]] = defaultdict(list)
     for row in rows:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from pollweave.llm import language
 from pollweave.llm.queries import QUERIES
 
@@ -34,3 +36,31 @@ def test_awkward_rows(spark):
 
 def test_learning_from_nothing(spark):
     assert language.learn(spark.createDataFrame([(None, "a"), ("en", None)], "lang string, text string")) == {}
+
+
+def test_copies_teach_once(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
+    once = language.learn(docs)
+    heads = docs.groupBy("lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    copies = heads.union(docs.where("length(text) > 2000").limit(1)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(1_000)))).drop("copy")
+    assert len(once) == 4 and language.learn(docs.union(copies)) == once
+    assert language.learn(docs.union(docs).union(docs)) == once
+
+
+def test_a_language_of_repeated_rows_is_learned(spark):
+    rows = [("aa", "der hund und die katze\nim haus")] * 300 + [("bb", "the cat and the dog")] * 2 + [("bb", "of the house")] * 300
+    found = language.learn(frame(spark, rows, "lang string, text string"))
+    assert found["aa"] == b" der hund und die katze im haus " and sorted(found["bb"].split()) == sorted(b"the cat and the dog of the house".split())
+
+
+def test_texts_with_one_long_beginning_are_one(spark):
+    long = "\n".join(f"linea numero {'abcdefghij'[k % 10] * (1 + k // 10)}" for k in range(300))
+    assert len(long) > language.SAMPLE_CHARS
+    rows = [("es", f"{long}\n{k}") for k in range(50)]
+    assert language.learn(frame(spark, rows, "lang string, text string")) == language.learn(frame(spark, [("es", long)], "lang string, text string")) != {}
+
+
+def test_lines_of_several_texts_are_left_out(spark):
+    rows = [("aa", "eins\nzwei"), ("aa", "eins\ndrei"), ("bb", "one\nzwei"), ("bb", "both"), ("cc", "both")]
+    found = language.learn(frame(spark, rows, "lang string, text string"))
+    assert found == {"aa": b" drei ", "bb": b" one "}
