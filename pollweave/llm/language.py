@@ -9,8 +9,9 @@ of fixed size, so its own repetitions do not wash out the dictionaries' part.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from functools import cache
+from itertools import groupby
 
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +22,9 @@ from .texts import per_text
 
 # Bounds of the sample that the dictionaries are made of.
 SAMPLE_TEXTS = 200  # texts of each language
-SAMPLE_CHARS = 4_000  # characters of each of them
+SAMPLE_CHARS = 4_000  # characters of each of them; more where so few texts would not fill the dictionary
 DICTIONARY_BYTES = 65_536  # bytes of each dictionary
+TEXT_BYTES = 2_048  # bytes that a text gives in its turn; there are further turns while the dictionary is not full
 MOST_LANGUAGES = 500
 
 BLOCK = 1_024
@@ -41,6 +43,12 @@ def letters(text: str) -> bytes:
     return f" {plain} ".encode() if plain else b""
 
 
+def filled(texts: list[bytes], dictionary_bytes: int = DICTIONARY_BYTES, text_bytes: int = TEXT_BYTES) -> bytes:
+    """The first ``text_bytes`` of every text, then the next of every text, until the dictionary is full or the texts are used up."""
+    turns = range(0, max(map(len, texts), default=0), text_bytes)
+    return b"".join(text[at : at + text_bytes] for at in turns for text in texts)[:dictionary_bytes]
+
+
 def learn(
     docs: DataFrame,
     label: str = "lang",
@@ -48,31 +56,36 @@ def learn(
     use: Column | None = None,
     sample_texts: int = SAMPLE_TEXTS,
     dictionary_bytes: int = DICTIONARY_BYTES,
+    text_bytes: int = TEXT_BYTES,
 ) -> dict[str, bytes]:
     """A dictionary for each label, from a bounded sample of the rows with a label and a text.
 
     The sample takes the texts with the smallest hashes, so it does not depend on
     ids, order, partitions or copies: texts of a label that agree in their first
     ``SAMPLE_CHARS`` characters are one text. Lines that several sampled texts share,
-    or that one has under several labels, are left out.
+    or that one has under several labels, are left out. Of what is left, every text
+    gives ``text_bytes`` in turn until the dictionary has ``dictionary_bytes``; a label
+    with few texts has longer parts of them sampled, so that they can fill it.
     """
     labelled = docs.select(F.col(label).cast("string").alias("label"), F.col(text_column).alias("text"), (F.lit(True) if use is None else use).alias("use"))
     labelled = labelled.where("use AND label IS NOT NULL AND text IS NOT NULL").withColumn("place", F.xxhash64("text"))
     if len(labelled.select("label").distinct().limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels")
-    labelled = labelled.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).withColumn("alike", F.xxhash64("text"))
+    labelled = labelled.withColumn("alike", F.xxhash64(F.substring("text", 1, SAMPLE_CHARS)))
     # Copies go by hashes alone, so no text is shuffled but those of the sample.
-    first = Window.partitionBy("label").orderBy("place", "alike")
+    own = Window.partitionBy("label")
+    first = own.orderBy("place", "alike")
     chosen = labelled.groupBy("label", "alike").agg(F.min("place").alias("place")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_texts)
-    sample = labelled.join(F.broadcast(chosen), ["label", "alike", "place"]).groupBy("label", "n").agg(F.min("text").alias("text"))
-    rows = sample.orderBy("label", "n").collect()
+    # Twice the bytes that are wanted, for what letters() and shared lines take away.
+    chosen = chosen.withColumn("chars", F.greatest(F.lit(SAMPLE_CHARS), F.ceil(2 * dictionary_bytes / F.count(F.lit(1)).over(own)).cast("int")))
+    sample = labelled.join(F.broadcast(chosen), ["label", "alike", "place"]).select("label", "n", F.substring("text", F.lit(1), F.col("chars")).alias("text"))
+    rows = sample.groupBy("label", "n").agg(F.min("text").alias("text")).orderBy("label", "n").collect()
     shared = Counter(line for row in rows for line in set(row.text.split("\n")))
-    parts: dict[str, list[bytes]] = defaultdict(list)
-    for row in rows:
-        own = letters("\n".join(line for line in row.text.split("\n") if shared[line] < 2))
-        if own and sum(map(len, parts[row.label])) < dictionary_bytes:
-            parts[row.label].append(own[: dictionary_bytes // 32])
-    return {name: b"".join(own)[:dictionary_bytes] for name, own in sorted(parts.items()) if own}
+    found = {}
+    for name, texts in groupby(rows, key=lambda row: row.label):
+        left = [letters("\n".join(line for line in row.text.split("\n") if shared[line] < 2)) for row in texts]
+        found[name] = filled(left, dictionary_bytes, text_bytes)
+    return {name: content for name, content in sorted(found.items()) if content}
 
 
 @cache

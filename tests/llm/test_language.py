@@ -64,3 +64,25 @@ def test_lines_of_several_texts_are_left_out(spark):
     rows = [("aa", "eins\nzwei"), ("aa", "eins\ndrei"), ("bb", "one\nzwei"), ("bb", "both"), ("cc", "both")]
     found = language.learn(frame(spark, rows, "lang string, text string"))
     assert found == {"aa": b" drei ", "bb": b" one "}
+
+
+def _words(n, start=0):
+    """n different words of letters."""
+    return " ".join("".join("abcdefghij"[int(d)] for d in str(1_000_000 + start + k)) for k in range(n))
+
+
+def test_few_long_texts_fill_the_dictionary(spark):
+    one = _words(12_500)  # 100 KB
+    rows = [("one", one)] + [("ten", _words(1_250, 100_000 * (k + 1))) for k in range(10)] + [("short", "just a few words")]
+    found = language.learn(frame(spark, rows, "lang string, text string"))
+    assert {name: len(held) for name, held in found.items()} == {"one": 65_536, "ten": 65_536, "short": 18}
+    assert found["one"] == language.letters(one)[:65_536]
+
+
+def test_texts_give_their_bytes_in_turn(spark):
+    assert language.filled([b"abcdef", b"gh", b"ijkl"], 100, 2) == b"abghijcdklef"
+    assert language.filled([b"abcdef", b"gh", b"ijkl"], 7, 2) == b"abghijc"
+    assert language.filled([], 7, 2) == b""
+    rows = [("aa", "eins zwei drei"), ("aa", "vier acht neun")]
+    found = language.learn(frame(spark, rows, "lang string, text string"), dictionary_bytes=15, text_bytes=5)["aa"]
+    assert len(found) == 15 and {found[:5], found[5:10]} == {b" eins", b" vier"} and found[10:] in (b" zwei", b" acht")
