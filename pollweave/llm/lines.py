@@ -3,8 +3,9 @@
 A window is a shortest run of consecutive lines, from a line on or up to a line, that holds a
 least number of words. Of each window the line with the smallest hash is its fingerprint, so
 texts that share such a run share a fingerprint. Only windows
-whose fingerprint stands in several places go on: they are matched from the
-fingerprint to both ends, and a run that occurs earlier is deleted.
+whose fingerprint stands in several places go on. They are matched whole, by a digest
+of their lines, in place of an extension from the fingerprint line by line; a run
+that occurs earlier is deleted, and runs that touch are joined.
 """
 
 from __future__ import annotations

@@ -61,3 +61,10 @@ def test_order_is_by_id_then_hash(spark):
 def test_plan_has_no_python(spark):
     plan = lines.dedup_lines(frame(spark, ["a\nb"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_first_place_of_a_fingerprint_is_not_that_of_the_run(spark):
+    around = ["one two", "three four", "five six", "seven eight"]
+    texts = [f"{around[0]}\nshared line\n{around[1]}"] + [f"{around[2]}\nshared line\n{around[3]}"] * 2
+    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, texts), 6).collect()}
+    assert found == {0: 0, 1: 0, 2: 3}
