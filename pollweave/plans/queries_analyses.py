@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import null_tokens, recode
+from ..operators.sizing import attach
 from ..session import shared_folder
 from ..sources import clean_poll_rows, read_statistics, read_two_row_header, table_rows
 from ..sources.pages import PollColumns
@@ -112,10 +113,20 @@ def every_estimate(spark, folder):
     return rounded(all_estimates({"2017-03-01": wave}, strata, census), 5, "n").withColumn("pct", F.round("pct", 7))
 
 
+# Polls on a stored page, about: pages of a source and month are dealt by the hash of the poll.
+PAGE_ROWS = 500
+
+
 def _page_day(column: str) -> str:
     return f"date_format({column}, 'dd.MM.yyyy')"
 
 
+def _paged(rows: DataFrame, key: str, page_rows: int) -> DataFrame:
+    """Rows with a number ``page``, so that a page of a key has about ``page_rows`` rows, however many the key has."""
+    counts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / page_rows).alias("pages"))
+    return attach(rows, counts, [key], null_safe=True).withColumn("page", F.pmod(F.xxhash64("row"), "pages")).drop("pages")
+
+
 @query(
     "poll_table_rows",
     f"""WITH {POLLS_SQL}
@@ -123,15 +134,15 @@ SELECT concat(institut, strftime(datum, '-%Y-%m')) AS institut, datum, befragte,
        floor(1000 * anteil) / 1000.0 AS anteil, event_id::VARCHAR AS zeitraum FROM polls""",
 )
 def poll_table_rows(spark, folder):
-    """Polls written as HTML tables, one page per source and month, and read back."""
+    """Polls written as HTML tables, pages of bounded size for every source and month, and read back."""
     cells = [f"IF(partei = '{p}', concat(CAST(floor(1000 * anteil) DIV 10 AS STRING), ',', CAST(floor(1000 * anteil) % 10 AS STRING), ' %'), '')" for p in PARTIES]
     texts = [_page_day("datum"), *cells, "concat('O • ', replace(format_number(befragte, 0), ',', '.'))", "CAST(event_id AS STRING)"]
     row = "concat('<tr class=\"r\">', " + ", ".join(f"'<td>', {text}, '</td>'" for text in texts) + ", '</tr>')"
     head = "".join(f"<th>{name}</th>" for name in ("", *PARTIES, "Befragte", "Zeitraum"))
+    rows = polls(spark, folder).selectExpr("concat(institut, date_format(datum, '-yyyy-MM')) AS institut", f"{row} AS row")
     pages = (
-        polls(spark, folder)
-        .selectExpr("concat(institut, date_format(datum, '-yyyy-MM')) AS institut", f"{row} AS row")
-        .groupBy("institut")
+        _paged(rows, "institut", PAGE_ROWS)
+        .groupBy("institut", "page")
         .agg(F.concat(F.lit(f"<table><thead>{head}</thead><tbody>"), F.array_join(F.collect_list("row"), ""), F.lit("</tbody></table>")).alias("html"))
     )
     raw = table_rows(pages, "institut", (*PARTIES, "Befragte", "Zeitraum"))

@@ -4,7 +4,9 @@ import pytest
 
 import __spark_entry__
 from __spark_entry__ import entry
+from pollweave.plans import queries_analyses
 from pollweave.plans.catalog import ORACLES, QUERIES
+from pollweave.sources import table_rows
 from tools.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,3 +36,18 @@ def test_entry_offers_them_all():
 def test_matches_sql(spark, connection, name):
     verdict = compare(name, QUERIES[name](spark, FOLDER), connection, ORACLES[name])
     assert verdict.startswith("ok"), verdict
+
+
+def test_pages_of_one_large_source_are_bounded(spark, tmp_path, monkeypatch):
+    parties = list(queries_analyses.PARTIES)
+    connect(FOLDER).execute(
+        f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-03-05 12:00:00' AS ts, CASE WHEN i < 5000 THEN 1 ELSE i END AS user_id,
+        list_extract({parties!r}, 1 + i % {len(parties)}) AS event_type, CAST(i % 97 AS DOUBLE) AS value, '' AS props FROM range(5020) r(i))
+        TO '{tmp_path}/events.parquet' (FORMAT parquet)"""
+    )
+    seen = []
+    monkeypatch.setattr(queries_analyses, "table_rows", lambda pages, *rest: seen.append(pages) or table_rows(pages, *rest))
+    verdict = compare("poll_table_rows", QUERIES["poll_table_rows"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLES["poll_table_rows"])
+    assert verdict.startswith("ok 5020 rows"), verdict
+    sizes = sorted(r.n for r in seen[0].selectExpr("regexp_count(html, '<tr ') AS n").collect())
+    assert sum(sizes) == 5020 and sizes[:20] == [1] * 20 and len(sizes) == 30 and sizes[-1] < 2 * 500
