@@ -35,11 +35,19 @@ MARGIN = 0.01
 UNDETERMINED = "und"
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Signs for numbers that are neither digits nor letters, as ½, ², ① and Ⅷ; \w takes them in.
+_SIGNS = "".join(sign for sign in map(chr, range(0x80, 0x110000)) if sign.isalnum() and not sign.isalpha() and not sign.isdecimal())
+NUMBER_SIGNS = re.compile(f" ?[{_SIGNS}][ {_SIGNS}]*")
+# The sample is drawn from so many groups of partitions first, so that no task meets the rows of every partition.
+SAMPLE_GROUPS = 512
 
 
 def letters(text: str) -> bytes:
-    """Lower-cased words of letters between single blanks; empty without a letter."""
-    plain = NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower-cased words of letters (``str.isalpha``) between single blanks; empty without a letter."""
+    plain = NOT_LETTERS.sub(" ", text.lower())
+    if not plain.isascii():
+        plain = NUMBER_SIGNS.sub(" ", plain)
+    plain = plain.strip()
     return f" {plain} ".encode() if plain else b""
 
 
@@ -75,7 +83,9 @@ def learn(
     # Copies go by hashes alone, so no text is shuffled but those of the sample.
     own = Window.partitionBy("label")
     first = own.orderBy("place", "alike")
-    chosen = labelled.groupBy("label", "alike").agg(F.min("place").alias("place")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_texts)
+    texts = labelled.groupBy("label", "alike").agg(F.min("place").alias("place")).withColumn("part", F.spark_partition_id() % SAMPLE_GROUPS)
+    near = texts.withColumn("n", F.row_number().over(Window.partitionBy("label", "part").orderBy("place", "alike"))).where(F.col("n") <= sample_texts)
+    chosen = near.drop("part").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_texts)
     # Twice the bytes that are wanted, for what letters() and shared lines take away.
     chosen = chosen.withColumn("chars", F.greatest(F.lit(SAMPLE_CHARS), F.ceil(2 * dictionary_bytes / F.count(F.lit(1)).over(own)).cast("int")))
     sample = labelled.join(F.broadcast(chosen), ["label", "alike", "place"]).select("label", "n", F.substring("text", F.lit(1), F.col("chars")).alias("text"))

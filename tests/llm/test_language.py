@@ -86,3 +86,43 @@ def test_texts_give_their_bytes_in_turn(spark):
     rows = [("aa", "eins zwei drei"), ("aa", "vier acht neun")]
     found = language.learn(frame(spark, rows, "lang string, text string"), dictionary_bytes=15, text_bytes=5)["aa"]
     assert len(found) == 15 and {found[:5], found[5:10]} == {b" eins", b" vier"} and found[10:] in (b" zwei", b" acht")
+
+
+def test_number_signs_are_no_letters(spark):
+    known = {"de": b" der hund und die katze ", "en": b" the cat and the dog "}
+    for text in ("½", "²", "①", "Ⅷ", "½ ² ①", "1 ½ _ Ⅷ!", "٣", "_"):
+        assert language.letters(text) == b"", text
+        assert not any(sign.isalpha() for sign in text)
+    rows = language.predict(frame(spark, ["½ ² ①", "Ⅷ", "½ der hund ② und Ⅷ die katze"]), known).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows] == ["und", "und", "de"] and [r.score for r in rows[:2]] == [0.0, 0.0]
+    assert language.letters("½ der² ① hund Ⅷ") == b" der hund "
+
+
+def test_predictions_against_sizes_taken_anew(spark):
+    import unicodedata
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    known = language.learn(docs, use=~language.held_out())
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    signs = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in map(chr, range(0x110000)))
+
+    def brute(text):
+        plain = " ".join("".join(signs[ord(c)] for c in (text or "").lower()).split())
+        if not plain:
+            return "und", 0.0
+        plain = f" {plain} ".encode()
+        sizes = []
+        for name in sorted(known):
+            total = 0
+            for level in (3, 5, 12) if len(plain) < 512 else (5,):
+                held = zstandard.ZstdCompressionDict(known[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                press = zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+                total += sum(len(press.compress(plain[at : at + 1024])) for at in range(0, len(plain), 1024))
+            sizes.append((total, name))
+        (best, name), (second, _) = sorted(sizes)[:2]
+        return name, (second - best) / second
+
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, known).collect()}
+    assert found == {doc_id: brute(text) for doc_id, text in texts.items()}
