@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, decontam, language, lines, ngrams, pieces, quality, suffix, urls
+from . import chat, counts, decontam, language, lines, ngrams, pieces, quality, resampling, suffix, urls
 from .registry import ORACLES, QUERIES, documents, query
 from .texts import sha
 
@@ -240,3 +240,36 @@ FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN class ON class.doc
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     found = ngrams.similar(documents(spark, folder))
     return found.select("doc_id", F.col("class_doc").alias("class_id"), "copy_id", "n_links", "n_texts", "n_grams")
+
+
+# CRC-32 from its table of 256 values; distinct words alone are hashed.
+RESAMPLING_SQL = """
+WITH bits AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+texts AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM texts),
+c AS (SELECT side, id, word, count(*) AS n FROM w GROUP BY ALL),
+b AS (
+  SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+      lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM c), bits),
+k AS (SELECT side, id, bucket, sum(n)::BIGINT AS n FROM c JOIN b ON b.word = c.word GROUP BY ALL),
+u AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 's'), 0)::BIGINT AS s, coalesce(sum(n) FILTER (WHERE side = 't'), 0)::BIGINT AS t FROM k GROUP BY bucket),
+a AS (SELECT sum(s)::BIGINT AS s_all, sum(t)::BIGINT AS t_all FROM u),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS gain FROM u, a),
+d AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM k JOIN g ON g.bucket = k.bucket WHERE side = 's' GROUP BY id),
+m AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce((total - (total % n_features + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h
+  FROM documents LEFT JOIN d ON d.id = doc_id),
+r AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM m),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM r WHERE n_features >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM r LEFT JOIN o ON o.doc_id = r.doc_id
+"""
+
+
+@query("op13_target_resampling", RESAMPLING_SQL)
+def op13_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resampling.resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
