@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, decontam, language, lines, ngrams, pieces, quality, resampling, suffix, urls
+from . import chat, counts, decontam, language, lines, ngrams, pieces, quality, resampling, suffix, urls, warc
 from .registry import ORACLES, QUERIES, documents, query
 from .texts import sha
 
@@ -273,3 +273,24 @@ SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THE
 def op13_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
     found = resampling.resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# Five hexadecimal digits of SHA-1 are four of base32.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS largest FROM p GROUP BY html),
+d AS (SELECT p.page_id, p.html, sha1(p.html) AS h, largest FROM p JOIN g ON g.html = p.html)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM d
+"""
+
+
+@query("op12_warc_index", WARC_SQL)
+def op12_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    archive = warc.write_archive(pages)
+    found = warc.read_records(archive, warc.lookup(archive, warc.entries(pages)), payloads=False)
+    return found.drop("url")
