@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, decontam, language, lines, ngrams, pieces, quality, resampling, suffix, urls, warc
+from . import chat, counts, decontam, language, lines, ngrams, pieces, quality, resampling, suffix, urls, warc, whitening
 from .registry import ORACLES, QUERIES, documents, query
 from .texts import sha
 
@@ -294,3 +294,10 @@ def op12_warc_index(spark: SparkSession, folder: str) -> DataFrame:
     archive = warc.write_archive(pages)
     found = warc.read_records(archive, warc.lookup(archive, warc.entries(pages)), payloads=False)
     return found.drop("url")
+
+
+# Eigenvectors have no SQL; the tests compare with a full eigendecomposition.
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
