@@ -336,7 +336,7 @@ def lookup(archive: Archive, prefixes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=found_arrow)
 
     wanted = prefixes.select(F.col("prefix").cast("string")).where("prefix IS NOT NULL").distinct()
-    routed = mapped(wanted, route, route_schema).repartition("part").sortWithinPartitions("part", "prefix")
+    routed = mapped(wanted, route, route_schema).repartition(max(1, len(names)), "part").sortWithinPartitions("part", "prefix")
     return mapped(routed, search, found_schema)
 
 
@@ -392,5 +392,7 @@ def read_records(archive: Archive, captures: DataFrame, payloads: bool = True) -
                             found, size = [], 0
                 yield pa.RecordBatch.from_pydict({field: [one[field] for one in found] for field in arrow.names}, schema=arrow)
 
-    places = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # A task for each file: the places are small, so Spark would merge their partitions, but what they name is not.
+    files = max(1, archive.captures.select("file").distinct().count())
+    places = captures.select("file", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset")
     return mapped(places, run, fields)
