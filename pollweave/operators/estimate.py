@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import nonresponse_range, safe_ratio
+from .margins import MOST_LEVELS, index_levels, level_system, solve_levels
 from .sizing import CELLS_PER_TASK, ROWS_PER_TASK, attach, chunks_for, join_null_safe, settle, settle_counted, store
 from .strata import share_of_total, strata_counts
 
@@ -95,8 +96,8 @@ def with_design_weight(df: DataFrame, design: Design, name: str = "design_weight
     return df.withColumn(name, factor).drop("_sampled")
 
 
-# Sweeps over all margins when residuals are taken from them.
-SWEEPS = 10
+# Where residuals are swept over margins of very many levels: until nothing moves by more than this share, at most so often.
+STILL, MOST_SWEEPS, SWEEPS_PER_CHECKPOINT = 1e-12, 500, 5
 LONELY = ("fail", "certainty", "adjust")
 
 
@@ -115,8 +116,8 @@ def design_mean(
     belong to the sample, so they count in its size and contribute nothing. The
     linearised residual of a unit is w(y - centre)/sum(w): its sum over a cluster
     needs only sum(w*y) and sum(w) of the cluster, so the variance is computed on the cluster table. With ``poststrata``
-    the centre is the stratum mean; with ``margins``, after raking to these columns, the residuals are swept over
-    one margin after another, ``SWEEPS`` times. Values are taken as differences from their plain
+    the centre is the stratum mean; with ``margins``, after raking to these columns, it is the additive least-squares
+    fit of the margins' levels. Values are taken as differences from their plain
     mean, which is read first, so that sums of squares do not cancel.
 
     ``lonely`` says what a first-stage unit with a single sampled unit, of more in the population, adds to the second
@@ -149,7 +150,7 @@ def _mean_of_clusters(df: DataFrame, design: Design, poststrata: Sequence[str],
         means = cells.groupBy(*poststrata).agg(F.expr("try_divide(sum(_wy), sum(_w)) AS _centre"))
         cells = attach(cells, means, poststrata, null_safe=True).withColumn("_total", totals)
     elif margins:
-        cells = attach(cells, _swept(cells, margins), margins, null_safe=True).withColumn("_total", totals)
+        cells = attach(cells, _projected(cells, margins), margins, null_safe=True).withColumn("_total", totals)
     else:
         cells = cells.withColumn("_total", totals).withColumn("_centre", F.expr("_total.wy / _total.w"))
     scores = cells.withColumn("_z", F.expr("coalesce(_wy - _centre * _w, 0.0D) / _total.w"))
@@ -186,25 +187,40 @@ def lonely_clusters(df: DataFrame, design: Design) -> DataFrame:
     return per_first.agg(F.count_if(F.col("_n") == 1).alias("lonely"), F.count(F.lit(1)).alias("clusters"))
 
 
-def _swept(cells: DataFrame, margins: Sequence[str]) -> DataFrame:
-    """(margins, _centre): what the margins explain of the value, additively, by sweeping over them in turn.
+def _projected(cells: DataFrame, margins: Sequence[str], max_levels: int = MOST_LEVELS) -> DataFrame:
+    """(margins, _centre): what the margins explain of the value, additively, by weighted least squares.
 
-    Works on the table of margin cells, which is as large as the product of the categories.
+    Works on the table of margin cells, which is as large as the product of the categories: the normal equations of the
+    levels are summed over it and solved. Beyond ``max_levels`` levels it is swept over one margin after another until nothing moves.
     """
-    table = cells.groupBy(*margins).agg(F.sum("_wy").alias("_wy"), F.sum("_w").alias("_w")).withColumn("_centre", F.lit(0.0))
+    table = cells.groupBy(*margins).agg(F.sum("_wy").alias("_wy"), F.sum("_w").alias("_w"))
     table, size = settle_counted(table)
-    for _ in range(SWEEPS):
-        table = table.coalesce(1) if size <= CELLS_PER_TASK else table
-        for margin in margins:
-            level = "coalesce(try_divide(sum(_wy - _centre * _w) {0}, sum(_w) {0}), 0.0D)"
-            if size <= CELLS_PER_TASK:
-                table = table.withColumn("_centre", F.expr(f"_centre + {level.format(f'OVER (PARTITION BY {margin})')}"))
-            else:
-                moves = table.groupBy(margin).agg(F.expr(level.format("")).alias("_move"))
-                table = join_null_safe(table, moves, [margin]).withColumn("_centre", F.expr("_centre + coalesce(_move, 0.0D)")).drop("_move")
-        if size > CELLS_PER_TASK:
-            table = settle(table)
-    return settle(table).select(*margins, "_centre")
+    indexed = index_levels(table, margins, {m: F.col("_w") > 0 for m in margins}, {m: F.lit(0.0) for m in margins}, max_levels, size <= CELLS_PER_TASK)
+    if indexed is None:
+        return _swept(table, margins, size)
+    matrix, sums, _ = level_system(indexed, F.col("_w"), F.coalesce(F.col("_wy"), F.lit(0.0)))
+    return indexed.cells.select(*margins, indexed.along(solve_levels(matrix, sums)).alias("_centre"))
+
+
+def _swept(table: DataFrame, margins: Sequence[str], size: int) -> DataFrame:
+    """The same by sweeps; ends when no centre moves by more than ``STILL`` of the largest, raises after ``MOST_SWEEPS``."""
+    table, small = table.withColumn("_centre", F.lit(0.0)), size <= CELLS_PER_TASK
+    for _ in range(MOST_SWEEPS // SWEEPS_PER_CHECKPOINT):
+        table = table.coalesce(1) if small else table
+        for _ in range(SWEEPS_PER_CHECKPOINT):
+            table = table.withColumn("_old", F.col("_centre"))
+            for margin in margins:
+                level = "coalesce(try_divide(sum(_wy - _centre * _w) {0}, sum(_w) {0}), 0.0D)"
+                if small:
+                    table = table.withColumn("_centre", F.expr(f"_centre + {level.format(f'OVER (PARTITION BY {margin})')}"))
+                else:
+                    moves = table.groupBy(margin).agg(F.expr(level.format("")).alias("_move"))
+                    table = join_null_safe(table, moves, [margin]).withColumn("_centre", F.expr("_centre + coalesce(_move, 0.0D)")).drop("_move")
+        table = settle(table)
+        moved, largest = table.agg(F.expr("max(abs(_centre - _old))"), F.expr("max(abs(_centre))")).first()
+        if not moved or moved <= STILL * largest:
+            return table.select(*margins, "_centre")
+    raise RuntimeError(f"the residuals still move after {MOST_SWEEPS} sweeps")
 
 
 def _cluster_cells(df: DataFrame, design: Design, groups: Sequence[str], sizes: Sequence[str]) -> DataFrame:

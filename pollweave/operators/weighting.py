@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import safe_ratio
+from .margins import MOST_LEVELS, Indexed, index_levels, level_system, solve_levels
 from .sizing import CELLS_PER_TASK, attach, join_null_safe, settle, settle_counted
 from .strata import share_of_total, strata_counts
 
@@ -198,6 +200,9 @@ def empty_strata(sample_counts: DataFrame, population_counts: DataFrame, keys: S
 
 # Rounds between two checkpoints while raking.
 ROUNDS_PER_CHECKPOINT = 5
+# Newton steps, and rounds of plain fitting where there are too many levels for them, before raking gives up.
+MOST_STEPS, MOST_ROUNDS = 60, 1_000
+HALVINGS = 40
 
 
 class NotRaked(ValueError):
@@ -208,12 +213,14 @@ class NotRaked(ValueError):
 class Raked:
     """Cell table with raked weights, the rounds used and the largest relative gap between a fitted and a target margin.
 
-    ``gap`` is None if it was not asked for.
+    ``gap`` is None if it was not asked for. ``vanishing`` holds the cells (margins, total) that the margins leave no weight: they
+    can only be met in the limit, in which these cells are empty. It is None where it was not looked for.
     """
 
     cells: DataFrame
     rounds: int
     gap: float | None
+    vanishing: DataFrame | None = None
 
 
 def rake_cells(
@@ -223,19 +230,22 @@ def rake_cells(
     max_rounds: int | None = None,
     tolerance: float | None = 1e-9,
     window_cells: int = CELLS_PER_TASK,
+    max_levels: int = MOST_LEVELS,
 ) -> Raked:
-    """Iterative proportional fitting to several margins.
+    """Weights of the margin cells that meet several margins and stay proportional to the sample within them.
 
     The respondents are read once and reduced to cells of the margin columns;
-    the targets are joined to the cells once. Each round scales the cell weights
-    to one margin after another. The cells are counted: a small cell table (it is
-    as large as the product of the categories, not as the sample) sits in one
-    partition, so that its windows need no shuffle. Every few rounds the cells are written to the
-    shared folder, which cuts the lineage, and the fitted margins are compared with the targets.
-    It ends when the largest relative gap is at most ``tolerance``, or when the weights
-    stand still although a gap is left: then the margins contradict each other, or a level with a target
-    has no respondents. The caller sees this in ``gap``. ``max_rounds`` is for callers that want a fixed number: with
-    ``tolerance=None`` exactly so many rounds run. ``margins`` maps a column to a frame (column, n).
+    the targets are joined to the cells once. A cell's weight is its start times one factor for each of its levels. The logarithms of
+    the factors are found by Newton steps: each sums the fitted margins and their matrix over the cells, as (level, level, weight)
+    rows, and solves for all levels at once, so margins that depend on each other, or that leave some cells no weight, are met
+    in a few rounds too. It ends when the largest relative gap is at most ``tolerance``, when nothing moves although a gap is left
+    (then the margins contradict each other, or a level with a target has no respondents), or
+    after ``max_rounds`` (``MOST_STEPS``). The caller sees this in ``gap``. Margins with different totals are scaled to the total of the last
+    one; a last round of plain fitting then meets the last margin.
+
+    With ``tolerance=None`` exactly ``max_rounds`` rounds of plain iterative fitting run: each scales the cells to one margin
+    after another. So it is done, with a tolerance and at most ``max_rounds`` (``MOST_ROUNDS``), where the margins have more than ``max_levels``
+    levels. ``margins`` maps a column to a frame (column, n). A level without a target keeps its weight, NULL is a level.
     """
     if max_rounds is None and tolerance is None:
         raise ValueError("give a tolerance or a number of rounds")
@@ -245,13 +255,29 @@ def rake_cells(
     for column, margin in margins.items():
         target = margin.selectExpr(column, f"CAST(n AS DOUBLE) AS _target_{column}")
         cells = join_null_safe(cells, target, [column])
-    cells, size = settle_counted(cells.selectExpr("*", "_base AS _w", "_base AS _old"))
-    small = size <= window_cells
-    rounds, gap = 0, None
-    while max_rounds is None or rounds < max_rounds:
+    cells, size = settle_counted(cells)
+    if tolerance is not None:
+        able = {c: (F.col(f"_target_{c}") > 0) & (F.col("_base") > 0) for c in columns}
+        indexed = index_levels(cells, columns, able, {c: F.col(f"_target_{c}") for c in columns}, max_levels, size <= window_cells)
+        if indexed is not None:
+            return _raked_by_newton(indexed, margins, max_rounds or MOST_STEPS, tolerance, size <= window_cells)
+    return _raked_in_turn(cells, size <= window_cells, margins, max_rounds, tolerance)
+
+
+def _raked_in_turn(cells: DataFrame, small: bool, margins: Mapping[str, DataFrame], max_rounds: int | None, tolerance: float | None) -> Raked:
+    """Iterative proportional fitting.
+
+    A small cell table (it is as large as the product of the categories, not as the sample) sits in one
+    partition, so that its windows need no shuffle. Every few rounds the cells are written to the
+    shared folder, which cuts the lineage, and the fitted margins are compared with the targets.
+    """
+    columns, rounds, gap = list(margins), 0, None
+    cells = cells.selectExpr("*", "_base AS _w", "_base AS _old")
+    limit = max_rounds or MOST_ROUNDS
+    while rounds < limit:
         if small:
             cells = cells.coalesce(1)
-        for _ in range(min(ROUNDS_PER_CHECKPOINT, (max_rounds or rounds + ROUNDS_PER_CHECKPOINT) - rounds)):
+        for _ in range(min(ROUNDS_PER_CHECKPOINT, limit - rounds)):
             cells = cells.withColumn("_old", F.col("_w"))
             for column in columns:
                 cells = _fit_margin(cells, column, small)
@@ -266,6 +292,72 @@ def rake_cells(
     return Raked(cells.selectExpr(*columns, "_w AS total", "try_divide(_w, _base) AS factor"), rounds, gap)
 
 
+def _common_totals(indexed: Indexed, columns: Sequence[str]) -> np.ndarray:
+    """Targets of the levels, scaled to the total of the last margin; margins that leave cells out are not scaled, nor scaled to."""
+    free = indexed.cells.where("_base > 0").agg(*[F.count_if(F.col(f"_target_{c}").isNull()) for c in columns]).first()
+    targets, ends = indexed.targets.copy(), list(zip(indexed.first, indexed.first[1:]))
+    whole = [k for k in range(len(columns)) if not free[k]]
+    for k in whole[:-1]:
+        own, last = slice(*ends[k]), slice(*ends[whole[-1]])
+        if targets[own].sum() > 0:
+            targets[own] *= targets[last].sum() / targets[own].sum()
+    return targets
+
+
+def _raked_by_newton(indexed: Indexed, margins: Mapping[str, DataFrame], most_steps: int, tolerance: float, small: bool) -> Raked:
+    """Maximise sum(target * log factor) - sum(weight of the cells), which is concave, over the log factors of all levels."""
+    columns = list(margins)
+    # A level with target 0 empties its cells.
+    emptied = " OR ".join(f"coalesce(_target_{c} = 0, false)" for c in columns)
+    base = F.expr(f"IF({emptied}, 0.0D, _base)")
+    targets = _common_totals(indexed, columns)
+
+    def at(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        matrix, _, total = level_system(indexed, F.when(base > 0, base * F.exp(indexed.along(logs))).otherwise(0.0))
+        return matrix, targets - np.diag(matrix), float(targets @ logs) - (total or 0.0)
+
+    logs = np.zeros(len(targets))
+    matrix, missing, height = at(logs)
+    # The first margin is met at once; this takes the scale of the targets out of the steps.
+    own = slice(*indexed.first[:2])
+    logs[own] = np.log(targets[own] / np.maximum(np.diag(matrix)[own], np.finfo(float).tiny))
+    matrix, missing, height = at(logs)
+    rounds, step = 1, np.zeros(len(targets))
+    while rounds < most_steps and len(targets) and np.max(np.abs(missing) / targets) > tolerance:
+        step = solve_levels(matrix, missing)
+        rise = float(missing @ step)
+        if rise <= (tolerance / 10) ** 2 * targets.sum():
+            break
+        share = 1.0
+        for _ in range(HALVINGS):
+            found = at(logs + share * step)
+            if found[2] >= height + 1e-4 * share * rise - 1e-13 * abs(height):
+                break
+            share /= 2
+        else:
+            break
+        logs = logs + share * step
+        matrix, missing, height = found
+        rounds += 1
+    weight = F.when(base > 0, base * F.exp(indexed.along(logs))).otherwise(0.0)
+    kept = [*columns, "_base", *[f"_target_{c}" for c in columns]]
+    # A settled cell does not move in the last step; one that vanishes goes on losing most of its weight in each.
+    cells = settle(indexed.cells.select(*kept, weight.alias("_w"), ((base > 0) & (indexed.along(step) <= -0.5)).alias("_vanishing")))
+    vanishing = cells.where("_vanishing").selectExpr(*columns, "_w AS total")
+    gap = _largest_gap(cells, margins)
+    if gap > tolerance:
+        cells = cells.coalesce(1) if small else cells
+        for column in columns:
+            cells = _fit_margin(cells, column, small)
+        cells = settle(cells)
+        gap = _largest_gap(cells, margins)
+    return Raked(cells.selectExpr(*columns, "_w AS total", "try_divide(_w, _base) AS factor"), rounds, gap, vanishing)
+
+
+def _largest_gap(cells: DataFrame, margins: Mapping[str, DataFrame]) -> float:
+    return _gaps(cells.withColumnRenamed("_w", "total"), margins).agg(F.max("gap")).first()[0] or 0.0
+
+
 def _gaps(cells: DataFrame, margins: Mapping[str, DataFrame]) -> DataFrame:
     """(margin, level, target, fitted, gap): fitted against target sums, relative; a target without cells has gap 1."""
     parts = []
@@ -295,7 +387,7 @@ def _fit_margin(cells: DataFrame, column: str, small: bool) -> DataFrame:
         current = F.sum("_w").over(Window.partitionBy(column))
         return cells.withColumn("_current", current).withColumn("_w", scaled).drop("_current")
     sums = cells.groupBy(column).agg(F.sum("_w").alias("_current"))
-    return cells.join(sums, [column], "left").withColumn("_w", scaled).drop("_current").select(*cells.columns)
+    return join_null_safe(cells, sums, [column]).withColumn("_w", scaled).drop("_current").select(*cells.columns)
 
 
 def rake(

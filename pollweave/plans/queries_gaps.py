@@ -123,6 +123,25 @@ def rake_margin_gap(spark, folder):
     return rounded(margin_gaps(raked, margins), 4, "target", "fitted").withColumn("gap", F.round("gap", 6))
 
 
+@query(
+    "rake_boundary",
+    f"""WITH {PEOPLE_SQL}, n AS (SELECT gender, count(*) AS n FROM people GROUP BY gender)
+SELECT 'Female' AS gender, 'a' AS side, 0.0::DOUBLE AS total, true AS vanishes
+UNION ALL SELECT 'Female', 'b', n::DOUBLE, false FROM n WHERE gender = 'Female'
+UNION ALL SELECT 'Male', 'a', n::DOUBLE, false FROM n WHERE gender = 'Male'""",
+)
+def rake_boundary(spark, folder):
+    """No man answered on side b, whose target equals that of the women: only an empty cell (women, a) meets the margins."""
+    side = F.when(F.col("past").isin("AUTOMOBILE", "BUILDING"), "a").otherwise("b")
+    answers = respondents(spark, folder).withColumn("side", side).where("NOT (gender = 'Male' AND side = 'b')")
+    gender = population(spark, folder, "gender")
+    margins = {"gender": gender, "side": gender.selectExpr("IF(gender = 'Male', 'a', 'b') AS side", "n")}
+    raked = rake_cells(answers, margins)
+    empty = raked.vanishing.selectExpr("gender", "side", "true AS vanishes")
+    cells = raked.cells.join(empty, ["gender", "side"], "left")
+    return cells.select("gender", "side", F.round("total", 3).alias("total"), F.coalesce("vanishes", F.lit(False)).alias("vanishes"))
+
+
 @query(
     "svymean_srs_shifted",
     """SELECT round(avg(o_totalprice) + 1e9, 3) AS mean, round(stddev_samp(o_totalprice) / sqrt(count(*)), 6) AS se FROM orders""",
@@ -152,7 +171,7 @@ def svymean_weighted_shifted(spark, folder):
 
 
 def _rake_sql(rounds: int) -> str:
-    """Cells of (gender, past), raked in turn, and the value's residuals swept over both, each step its own table."""
+    """Cells of (gender, past), raked in turn; and the additive fit of the value, whose only free coefficient is that of one gender within past."""
     steps = ["k0 AS (SELECT gender, past, CAST(count(*) AS DOUBLE) AS w FROM resp GROUP BY gender, past)"]
     for n in range(2 * rounds):
         column = ("gender", "past")[n % 2]
@@ -161,11 +180,11 @@ def _rake_sql(rounds: int) -> str:
             f"FROM k{n} c JOIN (SELECT {column}, count(*) AS n FROM people GROUP BY {column}) t USING ({column}))"
         )
     steps.append(
-        f"e0 AS (SELECT r.gender, r.past, any_value(k.w) AS w, avg(r.w0) AS y, 0.0 AS c FROM resp r JOIN k{2 * rounds} k USING (gender, past) GROUP BY r.gender, r.past)"
+        f"v AS (SELECT r.gender, r.past, any_value(k.w) AS w, avg(r.w0) AS y, CASE WHEN r.gender = 'Male' THEN 1.0 ELSE 0.0 END AS x FROM resp r JOIN k{2 * rounds} k USING (gender, past) GROUP BY r.gender, r.past)"
     )
-    for n in range(20):
-        column = ("gender", "past")[n % 2]
-        steps.append(f"e{n + 1} AS (SELECT gender, past, w, y, c + sum(w * (y - c)) OVER (PARTITION BY {column}) / sum(w) OVER (PARTITION BY {column}) AS c FROM e{n})")
+    steps.append("m AS (SELECT past, sum(w * y) / sum(w) AS ym, sum(w * x) / sum(w) AS xm FROM v GROUP BY past)")
+    steps.append("b AS (SELECT sum(w * (x - xm) * (y - ym)) / sum(w * (x - xm) * (x - xm)) AS b FROM v JOIN m USING (past))")
+    steps.append("e AS (SELECT gender, past, w, ym + b * (x - xm) AS c FROM v JOIN m USING (past), b)")
     return ",\n".join(steps)
 
 
@@ -173,13 +192,13 @@ def _rake_sql(rounds: int) -> str:
     "svymean_raked",
     f"""WITH {RESP_SQL}, {_rake_sql(12)},
 n AS (SELECT gender, past, count(*) AS n FROM resp GROUP BY gender, past),
-u AS (SELECT r.nation, r.w0 AS y, e.w / n.n AS w, e.c FROM resp r JOIN e20 e USING (gender, past) JOIN n USING (gender, past)),
+u AS (SELECT r.nation, r.w0 AS y, e.w / n.n AS w, e.c FROM resp r JOIN e USING (gender, past) JOIN n USING (gender, past)),
 t AS (SELECT sum(w * y) / sum(w) AS mean, sum(w) AS w FROM u),
 z AS (SELECT nation, sum(u.w * (y - c)) / any_value(t.w) AS z FROM u, t GROUP BY nation)
 SELECT round((SELECT mean FROM t), 5) AS mean, round(sqrt(count(*) / (count(*) - 1.0) * count(*) * var_pop(z)), 5) AS se FROM z""",
 )
 def svymean_raked(spark, folder):
-    """Mean and error after raking: residuals swept over all margins."""
+    """Mean and error after raking: residuals from the additive fit of the margins."""
     margins = {c: population(spark, folder, c) for c in ("gender", "past")}
     weighted = rake(respondents(spark, folder), margins, tolerance=1e-10)
     result = design_mean(weighted, "w0", Design(("nation",), (), "weight_rake"), margins=("gender", "past"))
