@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import carry_forward, in_order
+from .regression import fit_factors, with_prediction
 from .sizing import ROWS_PER_TASK, attach
 
 
@@ -87,26 +87,6 @@ def fit_linear(df: DataFrame, y: str, numeric: Sequence[str], categorical: Seque
     return Pipeline(stages=stages).fit(complete)
 
 
-def _with_labels_known(df: DataFrame, complete: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Add ``_usable``: all predictors are there, and every label occurs in a complete row; labels are matched by join."""
-    usable = F.lit(True)
-    for c in numeric:
-        usable = usable & F.col(c).isNotNull()
-    for n, c in enumerate(categorical):
-        df = attach(df, complete.select(c).distinct().withColumn(f"_known{n}", F.lit(True)), [c])
-        usable = usable & F.coalesce(F.col(f"_known{n}"), F.lit(False))
-    return df.withColumn("_usable", usable).drop(*[f"_known{n}" for n in range(len(categorical))])
-
-
-def _predicted(df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, float]:
-    """``df`` with ``_prediction`` (NULL where a predictor is missing or a label is new), and the residual deviation."""
-    model = fit_linear(df, y, numeric, categorical)
-    marked = _with_labels_known(df, df.na.drop(subset=[y, *numeric, *categorical]), y, numeric, categorical)
-    scored = model.transform(marked.filter("_usable")).select(*df.columns, "_prediction")
-    rest = marked.filter("NOT _usable").select(*df.columns, F.lit(None).cast("double").alias("_prediction"))
-    return scored.unionByName(rest), residual_deviation(model)
-
-
 def residual_deviation(model: PipelineModel) -> float:
     """Square root of the residual sum of squares over the residual degrees of freedom."""
     summary = model.stages[-1].summary
@@ -121,7 +101,7 @@ def impute_regression(
 
     Rows with a NULL predictor, or with a label that no complete row has, stay NULL.
     """
-    scored, _ = _predicted(df, y, numeric, categorical)
+    scored = with_prediction(df, fit_factors(df, y, numeric, categorical), "_prediction")
     return scored.select(*df.columns, F.coalesce(F.col(y), F.col("_prediction")).cast("double").alias(name))
 
 
@@ -156,46 +136,19 @@ def impute_stochastic(
         fitted = df.withColumn("_fit", _fit_scalar(df, y, numeric[0]))
         value = F.col("_fit.intercept") + F.col("_fit.slope") * F.col(numeric[0])
         sigma = F.col("_fit.sigma")
-    elif not categorical:
-        rows = regression_summary(df, y, numeric).collect()  # a row per predictor
-        terms = {row.term: row.estimate for row in rows}
-        fitted, value, sigma = df, F.lit(terms["(intercept)"]), F.lit(rows[0].sigma)
-        for column in numeric:
-            value = value + terms[column] * F.col(column)
     else:
-        fitted, deviation = _predicted(df, y, numeric, categorical)
-        value, sigma = F.col("_prediction"), F.lit(deviation)
+        model = fit_factors(df, y, numeric, categorical)
+        fitted, value, sigma = with_prediction(df, model, "_prediction"), F.col("_prediction"), F.lit(model.sigma)
     return fitted.select(*df.columns, F.coalesce(F.col(y), value + keyed_normal(key, seed) * sigma / divisor).alias(name))
 
 
-def regression_summary(df: DataFrame, y: str, numeric: Sequence[str]) -> DataFrame:
-    """(term, estimate, std_error, r2, sigma, n): least squares on several numeric predictors, listwise.
+def regression_summary(df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
+    """(term, estimate, std_error, r2, sigma, n): least squares on numeric and categorical predictors, listwise.
 
-    The cross products of the centred columns are summed in one pass after their means; the
-    equations, as many as predictors, are solved on the driver, and the rows are put together there.
+    A term that depends on those before it has no estimate; see ``fit_factors``.
     """
-    columns = [*numeric, y]
-    known = df.na.drop(subset=columns).select(*[F.col(c).cast("double").alias(c) for c in columns])
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = known.agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c) for c in columns], *[F.covar_pop(a, b) * F.count(F.lit(1)) for a, b in pairs]
-    ).first()
-    n, k = row[0], len(numeric)
-    means = np.array(row[1 : 2 + k], float)
-    cross = np.zeros((k + 1, k + 1))
-    for (a, b), value in zip(pairs, row[2 + k :]):
-        i, j = columns.index(a), columns.index(b)
-        cross[i, j] = cross[j, i] = value
-    inverse = np.linalg.inv(cross[:k, :k])
-    slopes = inverse @ cross[:k, k]
-    rss = cross[k, k] - slopes @ cross[:k, k]
-    sigma2 = rss / (n - k - 1)
-    errors = np.sqrt(sigma2 * np.diag(inverse))
-    at = means[:k]
-    terms = [("(intercept)", means[k] - slopes @ at, np.sqrt(sigma2 * (1 / n + at @ inverse @ at)))]
-    terms += list(zip(numeric, slopes, errors))
-    rest = (float(1 - rss / cross[k, k]), float(np.sqrt(sigma2)), int(n))
+    model = fit_factors(df, y, numeric, categorical)
+    rest = (model.r2, model.sigma, model.n)
     return df.sparkSession.createDataFrame(
-        [(term, float(estimate), float(error), *rest) for term, estimate, error in terms],
-        "term STRING, estimate DOUBLE, std_error DOUBLE, r2 DOUBLE, sigma DOUBLE, n BIGINT",
+        [(*term, *rest) for term in model.terms], "term STRING, estimate DOUBLE, std_error DOUBLE, r2 DOUBLE, sigma DOUBLE, n BIGINT"
     )

@@ -25,12 +25,14 @@ DEPENDENT = 1e-12
 class Indexed:
     """Cells with a column ``_i0``, ``_i1``, ... for every margin: the number of the cell's level, NULL for one that is left out.
 
-    ``targets`` holds a number for every level, ``first`` the number of each margin's first level, and their count at the end.
+    ``targets`` holds a number for every level, ``first`` the number of each margin's first level, and their count at the end,
+    ``levels`` the values in the order of their numbers.
     """
 
     cells: DataFrame
     targets: np.ndarray
     first: tuple[int, ...]
+    levels: tuple = ()
 
     @property
     def indexes(self) -> list[Column]:
@@ -64,7 +66,7 @@ def index_levels(cells: DataFrame, columns: Sequence[str], able: Mapping[str, Co
         schema = T.StructType([T.StructField(column, cells.schema[column].dataType), T.StructField(f"_i{k}", T.IntegerType())])
         numbers = cells.sparkSession.createDataFrame([(row.level, first[k] + n) for n, row in enumerate(found)], schema)
         cells = join_null_safe(cells, F.broadcast(numbers), [column])
-    return Indexed(settle(cells.coalesce(1) if small else cells), np.array([row.target for found in sets for row in found], float), tuple(first))
+    return Indexed(settle(cells.coalesce(1) if small else cells), np.array([row.target for found in sets for row in found], float), tuple(first), tuple(row.level for found in sets for row in found))
 
 
 def level_system(indexed: Indexed, weight: Column, value: Column | None = None) -> tuple[np.ndarray, np.ndarray, float]:
