@@ -100,3 +100,15 @@ def latest_rows_per_group(df: DataFrame, groups: Sequence[str], day: str) -> Dat
 def first_row(df: DataFrame, *order: Column) -> DataFrame:
     """The first row in sort order."""
     return df.orderBy(*order).limit(1)
+
+
+def drop_rows_by_index(df: DataFrame, order: Sequence[str], indexes: Sequence[int] | DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Drop the rows with these numbers (from 1) in sort order; numbers that no row has are passed over.
+
+    ``order`` should end with a key. ``indexes`` is a list, or a frame whose first column holds the numbers.
+    """
+    numbered = number_rows(in_order(df, (), order, rows_per_task), "_index")
+    if isinstance(indexes, DataFrame):
+        wanted = indexes.select(F.col(indexes.columns[0]).cast("long").alias("_index")).distinct().withColumn("_gone", F.lit(True))
+        return attach(numbered, wanted, ["_index"]).filter(F.col("_gone").isNull()).select(*df.columns)
+    return numbered.filter(~F.col("_index").isin([int(n) for n in indexes])).select(*df.columns)

@@ -38,6 +38,10 @@ class Ordered:
     def ascending(self) -> list[Column]:
         return [F.col(c).asc_nulls_last() for c in self.order]
 
+    @property
+    def descending(self) -> list[Column]:
+        return [F.col(c).desc_nulls_first() for c in self.order]
+
     @property
     def groups(self) -> list[str]:
         return [*self.keys, CHUNK] if self.chunked else list(self.keys)
@@ -149,3 +153,29 @@ def carry_forward(rows: Ordered, value: str, name: str) -> DataFrame:
         .withColumn(name, F.coalesce(F.col(name), F.col("_before")))
         .drop("_before", CHUNK, POSITION)
     )
+
+
+def carry_both(rows: Ordered, value: str, before: str, after: str) -> DataFrame:
+    """Add the latest non-NULL ``value`` at or before each row, and the first one at or after it.
+
+    The second one is carried along the reversed order, because a frame that ends with the series is read anew for every row.
+    """
+    upto = Window.unboundedPreceding, Window.currentRow
+    back = Window.partitionBy(*rows.groups).orderBy(*rows.descending).rowsBetween(*upto)
+    filled = rows.frame.withColumn(before, F.last(value, ignorenulls=True).over(rows.window().rowsBetween(*upto)))
+    filled = filled.withColumn(after, F.last(value, ignorenulls=True).over(back))
+    if not rows.chunked:
+        return filled
+    known = F.when(F.col(value).isNotNull(), F.col(POSITION))
+    ends = rows.frame.groupBy(*rows.groups).agg(F.max_by(F.col(value), known).alias("_last"), F.min_by(F.col(value), known).alias("_first"))
+    later = Window.partitionBy(*rows.keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    outside = ends.select(
+        *rows.groups,
+        F.last("_last", ignorenulls=True).over(_earlier_chunks(rows)).alias("_before"),
+        F.last("_first", ignorenulls=True).over(later).alias("_after"),
+    )
+    return (
+        attach(filled, outside, rows.groups, null_safe=True)
+        .withColumns({before: F.coalesce(before, "_before"), after: F.coalesce(after, "_after")})
+        .drop("_before", "_after", CHUNK, POSITION)
+    )

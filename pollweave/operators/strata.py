@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import safe_ratio, sum_policy
-from .sizing import join_null_safe, settle
+from .ordered import in_order, number_rows
+from .sizing import attach, join_null_safe, settle
 
 
 # Levels of a category that may travel as one array.
@@ -123,6 +125,42 @@ def crosstab(
     return table.na.fill(0, subset=list(levels))
 
 
+# Columns that a table may have before it stays in long form.
+MOST_COLUMNS = 500
+
+
+@dataclass(frozen=True)
+class Crosstab:
+    """A contingency table and its levels: (level, ordinal, n), numbered from 1 in sort order.
+
+    A ``wide`` table has one column per level, zero cells included. The other form holds (rows, ordinal, n) for the cells that occur.
+    """
+
+    table: DataFrame
+    dictionary: DataFrame
+    wide: bool
+
+
+def crosstab_found(
+    df: DataFrame, rows: str, columns: str, weight: str | None = None, keep_null: bool = False, most: int = MOST_COLUMNS
+) -> Crosstab:
+    """``crosstab`` with the levels found in the data, which is read once: the levels are those of its stored cells.
+
+    With ``keep_null`` a NULL row label is kept; a NULL column label is never a level. Beyond ``most`` levels the table stays in long form.
+    """
+    kept = df.filter(F.col(columns).isNotNull()) if keep_null else df.filter(F.col(rows).isNotNull() & F.col(columns).isNotNull())
+    measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    cells = settle(kept.groupBy(rows, columns).agg(measure.alias("n")))
+    counted = cells.groupBy(F.col(columns).alias("level")).agg(F.sum("n").alias("n"))
+    dictionary = settle(number_rows(in_order(counted, (), ("level",)), "ordinal").select("level", "ordinal", "n"))
+    levels = [row.level for row in dictionary.limit(most + 1).collect()]
+    if len(levels) > most:
+        table = attach(cells.withColumnRenamed(columns, "level"), dictionary.select("level", "ordinal"), ["level"])
+        return Crosstab(table.select(rows, "ordinal", "n"), dictionary, False)
+    wide = cells.groupBy(rows).pivot(columns, sorted(levels)).agg(F.sum("n")) if levels else cells.select(rows).distinct()
+    return Crosstab(wide.na.fill(0, subset=wide.columns[1:]), dictionary, True)
+
+
 def proportions(df: DataFrame, column: str, keep_null: bool = False) -> DataFrame:
     """One-way table with counts and proportions; NULL is dropped unless kept."""
     kept = df if keep_null else df.filter(F.col(column).isNotNull())

@@ -1,13 +1,22 @@
-"""Registered queries: regression on factors."""
+"""Registered queries: regression on factors, as-of match, cell sums by waves, rows and lines by number, levels found in the data."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
+from pyspark.sql import Window, functions as F
+
+from ..operators.asof import as_of
+from ..operators.frames import drop_rows_by_index
 from ..operators.impute import impute_regression, regression_summary
+from ..operators.incremental import add_new_files, cells_so_far
+from ..operators.sizing import attach, remember
+from ..operators.strata import crosstab_found
+from ..session import shared_folder
+from ..sources import read_statistics
 from .queries_weighting import rounded
 from .registry import query
-from .views import table
+from .views import INTENT_LEVELS, PEOPLE_SQL, RESP_SQL, people, respondents, table
 
 # One factor and one predictor that varies within it: everything comes from sums within the labels.
 _FACTOR_SQL = """v AS (SELECT l_quantity AS x, l_extendedprice AS y, {factor} AS f FROM lineitem WHERE l_linenumber > 1),
@@ -51,3 +60,99 @@ def fill_by_part(spark, folder):
         "l_orderkey", "l_linenumber", "l_quantity AS x", "l_partkey AS f", "IF(l_returnflag != 'N', l_extendedprice, NULL) AS y"
     )
     return impute_regression(lines, "y", ["x"], ["f"], "y_imp").select("l_orderkey", "l_linenumber", F.round("y_imp", 2).alias("y_imp"))
+
+
+@query(
+    "asof_timestamps",
+    """WITH p AS (SELECT ts, max(value) AS high, min(value) AS low FROM events WHERE event_type = 'purchase' GROUP BY ts),
+v AS (SELECT event_id, ts FROM events WHERE event_type = 'view'),
+b AS (SELECT event_id, p.ts AS prev_ts, high AS prev_value FROM v ASOF LEFT JOIN p ON v.ts >= p.ts),
+a AS (SELECT event_id, p.ts AS next_ts, low AS next_value FROM v ASOF LEFT JOIN p ON v.ts < p.ts)
+SELECT v.event_id, strftime(prev_ts, '%Y-%m-%d %H:%M:%S.%f') AS prev_ts, prev_value, strftime(next_ts, '%Y-%m-%d %H:%M:%S.%f') AS next_ts, next_value
+FROM v JOIN b USING (event_id) JOIN a USING (event_id)""",
+)
+def asof_timestamps(spark, folder):
+    """For every view the purchase at or before it and the next one; all purchases are one series."""
+    events = table(spark, folder, "events")
+    purchases = events.where("event_type = 'purchase'").select("ts", "value")
+    found = as_of(events.where("event_type = 'view'").select("event_id", "ts"), purchases, "ts", ["value"])
+    shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("prev_ts", "next_ts")}
+    return found.drop("ts").withColumns(shown)
+
+
+@query(
+    "asof_by_key",
+    """WITH p AS (SELECT user_id, ts, max(value) AS high, min(value) AS low FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY ALL),
+v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
+b AS (SELECT event_id, high AS prev_value FROM v ASOF LEFT JOIN p ON v.user_id = p.user_id AND v.ts >= p.ts),
+a AS (SELECT event_id, low AS next_value FROM v ASOF LEFT JOIN p ON v.user_id = p.user_id AND v.ts < p.ts)
+SELECT event_id, prev_value, next_value FROM b JOIN a USING (event_id)""",
+)
+def asof_by_key(spark, folder):
+    """The same within each user."""
+    events = table(spark, folder, "events")
+    known = events.where("event_type IN ('purchase', 'signup')").select("user_id", "ts", "value")
+    found = as_of(events.where("event_type = 'error'").select("event_id", "user_id", "ts"), known, "ts", ["value"], ["user_id"])
+    return found.select("event_id", "prev_value", "next_value")
+
+
+@query(
+    "strata_incremental",
+    f"""WITH {PEOPLE_SQL} SELECT gender, past, count(*) AS n, round(sum(balance), 2) AS sum_balance FROM people GROUP BY ALL""",
+)
+def strata_incremental(spark, folder):
+    """Two waves of people arrive as files; the second run reads the second one only."""
+    path = f"{shared_folder(spark).rstrip('/')}/waves-{uuid.uuid4().hex}"
+    remember(path)
+    answers = people(spark, folder)
+    for wave in (answers.where("person % 3 > 0"), answers.where("person % 3 = 0")):
+        wave.write.mode("append").parquet(f"{path}/source")
+        add_new_files(spark, f"{path}/source", answers.schema, f"{path}/state", ["gender", "past"], ["balance"])
+    return rounded(cells_so_far(spark, f"{path}/state", ["gender", "past"]), 2, "sum_balance")
+
+
+@query(
+    "drop_rows_by_index",
+    """SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n FROM orders) WHERE n NOT IN (1, 3) AND n % 10 <> 0""",
+)
+def rows_by_index(spark, folder):
+    """The cheapest order, the third cheapest and every tenth go."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    indexes = spark.range(1, orders.count() + 1).where("id IN (1, 3) OR id % 10 = 0")
+    return drop_rows_by_index(orders, ["o_totalprice", "o_orderkey"], indexes)
+
+
+@query(
+    "lines_by_number",
+    """SELECT line, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS line FROM orders) WHERE line >= 5""",
+)
+def lines_by_number(spark, folder):
+    """Text files of the sorted orders, read back: line numbers within each file follow on from file to file."""
+    path = f"{shared_folder(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    remember(path)
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    orders.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("sep", ";").csv(path)
+    rows = read_statistics(spark, path, ["o_orderkey", "o_orderstatus"]).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+    files = rows.groupBy("file").agg(F.min("o_orderkey").alias("first"), (F.max("line") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per file
+    offsets = files.select("file", before.alias("before"))
+    numbered = attach(rows, offsets, ["file"]).withColumn("line", F.col("line") + F.col("before"))
+    return numbered.where("line >= 5").select("line", "o_orderkey", "o_orderstatus")
+
+
+_LEVELS_SQL = ", ".join(f"count(*) FILTER (WHERE intent = '{level}') AS \"{level}\"" for level in INTENT_LEVELS)
+
+
+@query("crosstab_found_levels", f"WITH {RESP_SQL} SELECT nation, {_LEVELS_SQL} FROM resp GROUP BY nation")
+def crosstab_found_levels(spark, folder):
+    """The columns are the levels that occur, zero cells included."""
+    return crosstab_found(respondents(spark, folder), "nation", "intent").table
+
+
+@query(
+    "crosstab_many_levels",
+    """SELECT o_orderstatus, dense_rank() OVER (ORDER BY o_custkey) AS ordinal, n FROM (SELECT o_orderstatus, o_custkey, count(*) AS n FROM orders GROUP BY ALL)""",
+)
+def crosstab_many_levels(spark, folder):
+    """Every customer is a level, which is too many for columns: cells that occur, with the ordinal of their level."""
+    return crosstab_found(table(spark, folder, "orders"), "o_orderstatus", "o_custkey", most=50).table

@@ -5,10 +5,11 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import decimal_comma, named, null_tokens
+from ..operators.sizing import attach, store
 
 
 def read_wave(
@@ -29,16 +30,23 @@ def read_wave(
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of small published tables with their number (from 0) and file.
+    """The lines of text files with their number (from 0) and file; empty lines are counted and left out.
 
-    Each file is one row before it is cut into lines, so the numbers are exact;
-    meant for official statistics of some kilobytes, not for survey data.
+    Large files are read in splits. Each split numbers its own lines; how many lines the splits before it hold comes from a table
+    with a row for every split. The lines are written once to the shared folder, so their numbers stay as they are.
     """
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-        .filter(F.length("text") > 0)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.regexp_replace("value", "\r$", "").alias("text"),
+        F.monotonically_increasing_id().alias("_place"),
     )
+    lines = store(lines)
+    earlier = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "_start").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    splits = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).select("file", "_start", "_offset")
+    numbered = attach(lines, splits, ["file", "_start"])
+    return numbered.select("file", (F.col("_place") + F.col("_offset")).alias("line"), "text").filter(F.length("text") > 0)
 
 
 def _fields(names: Sequence[str]) -> str:
