@@ -1,19 +1,22 @@
-"""Registered queries: regression on factors, as-of match, cell sums by waves, rows and lines by number, levels found in the data."""
+"""Registered queries: regression on factors, as-of match, cell sums by waves, rows and lines by number, found levels, saved tables."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import Window, functions as F
+from pyspark.sql import types as T
 
 from ..operators.asof import as_of
-from ..operators.frames import drop_rows_by_index
+from ..operators.frames import drop_rows_by_index, rename_by_rules, rename_positions
 from ..operators.impute import impute_regression, regression_summary
 from ..operators.incremental import add_new_files, cells_so_far
 from ..operators.sizing import attach, remember
 from ..operators.strata import crosstab_found
 from ..session import shared_folder
-from ..sources import read_statistics
+from ..sources import read_statistics, read_wave
+from ..sources.colocated import join_co_located, save_co_located
+from ..sources.stata import read_dta, save_dta
 from .queries_weighting import rounded
 from .registry import query
 from .views import INTENT_LEVELS, PEOPLE_SQL, RESP_SQL, people, respondents, table
@@ -156,3 +159,67 @@ def crosstab_found_levels(spark, folder):
 def crosstab_many_levels(spark, folder):
     """Every customer is a level, which is too many for columns: cells that occur, with the ordinal of their level."""
     return crosstab_found(table(spark, folder, "orders"), "o_orderstatus", "o_custkey", most=50).table
+
+
+def _scratch(spark, kind: str) -> str:
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    remember(path)
+    return path
+
+
+@query("join_co_located", "SELECT o_orderkey, c_custkey, c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
+def joined_saved_tables(spark, folder):
+    """Orders and customers saved in buckets of the customer, and joined where they lie."""
+    run = uuid.uuid4().hex
+    orders = table(spark, folder, "orders").selectExpr("o_custkey AS c_custkey", "o_orderkey", "o_totalprice")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    left, right = (save_co_located(df, f"{name}_{run}", ["c_custkey"], 8) for name, df in (("orders", orders), ("customers", customers)))
+    return join_co_located(left, right)
+
+
+@query(
+    "src_dta_roundtrip",
+    f"WITH {RESP_SQL} SELECT CAST(id AS DOUBLE) AS id, past, CASE WHEN wave = 1995 THEN NULL ELSE wave END AS wave, w0, CASE WHEN turnout = 1 THEN day END AS day FROM resp",
+)
+def src_dta_roundtrip(spark, folder):
+    """Survey files with fixed-width records, written and read by byte ranges; one column is left unread."""
+    path = _scratch(spark, "dta")
+    answers = respondents(spark, folder).selectExpr(
+        "id", "past", "intent", "IF(wave = 1995, NULL, wave) AS wave", "w0", "IF(turnout = 1, day, NULL) AS day"
+    )
+    save_dta(answers, path)
+    return read_dta(spark, path, ["id", "past", "wave", "w0", "day"])
+
+
+def _wave_file(spark, folder) -> str:
+    path = _scratch(spark, "wave")
+    people(spark, folder).selectExpr(
+        "person AS id", "concat('Grüne, ', gender) AS label", "IF(past = 'BUILDING', 'NA', past) AS past", "IF(balance < 0, 'k.A.', CAST(balance AS STRING)) AS balance"
+    ).write.option("header", True).csv(path)
+    return path
+
+
+def _wave_schema(balance: T.DataType) -> T.StructType:
+    fields = {"id": T.LongType(), "label": T.StringType(), "past": T.StringType(), "balance": balance}
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+@query("src_wave_one_token", f"WITH {PEOPLE_SQL} SELECT person AS id, concat('Grüne, ', gender) AS label, nullif(past, 'BUILDING') AS past FROM people")
+def src_wave_one_token(spark, folder):
+    """A csv file with a header, UTF-8 texts with commas, and one mark for missing values."""
+    return read_wave(spark, _wave_file(spark, folder), _wave_schema(T.StringType())).drop("balance")
+
+
+@query(
+    "src_wave_several_tokens",
+    f"WITH {PEOPLE_SQL} SELECT person AS id, concat('Grüne, ', gender) AS label, nullif(past, 'BUILDING') AS past, CASE WHEN balance >= 0 THEN balance END AS balance FROM people",
+)
+def src_wave_several_tokens(spark, folder):
+    return read_wave(spark, _wave_file(spark, folder), _wave_schema(T.DoubleType()), na=("NA", "k.A."))
+
+
+@query("rename_rules", "SELECT c_custkey AS custkey, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment FROM customer")
+def renamed(spark, folder):
+    """Every name through a chain of patterns, then one by its place."""
+    customers = table(spark, folder, "customer").drop("c_acctbal").withColumnRenamed("c_name", "C_NAME")
+    return rename_positions(rename_by_rules(customers, [("^[cC]_", ""), ("key$", "KEY"), ("^mkt", "")], lower=True), {2: "nation"})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +54,11 @@ def shared_folder(spark: SparkSession) -> str:
             configured = tempfile.mkdtemp(prefix="pollweave-")
         context.setCheckpointDir(configured)
     return configured or context.getCheckpointDir()
+
+
+def share_code(spark: SparkSession) -> None:
+    """Tell the Python workers where this package is."""
+    root, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
