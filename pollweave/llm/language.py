@@ -45,7 +45,8 @@ SAMPLE_GROUPS = 512
 def letters(text: str) -> bytes:
     """Lower-cased words of letters (``str.isalpha``) between single blanks; empty without a letter."""
     plain = NOT_LETTERS.sub(" ", text.lower())
-    if not plain.isascii():
+    # Asked first, because the pattern with its many signs is slow and few texts have one.
+    if not plain.isascii() and not plain.replace(" ", "").isalpha():
         plain = NUMBER_SIGNS.sub(" ", plain)
     plain = plain.strip()
     return f" {plain} ".encode() if plain else b""
