@@ -19,6 +19,8 @@ from .texts import identified, stored
 MIN_WORDS = 50
 WORD = r"[^ \t\n\x0B\f\r]+"
 DOC = ["doc_id", "text_hash"]
+# Lines of a document that are worked on at once; longer documents go through in sections.
+SECTION_LINES = 500
 
 
 def _reach(run: Column, min_words: int) -> Column:
@@ -34,37 +36,61 @@ def _reach(run: Column, min_words: int) -> Column:
     return F.when(end["words"] >= min_words, end["lines"])
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, print, print_at, run, first, last for every window; ``docs`` as ``identified`` gives them.
+def _sections(docs: DataFrame, min_words: int, section_lines: int) -> DataFrame:
+    """doc_id, text_hash, lines, low, high: the lines with a word, in sections of bounded length.
 
-    Lines without a word are passed over. ``print`` and ``print_at`` are the hash and the line number
-    of the fingerprint, ``run`` is a digest of the window's lines.
+    ``low`` and ``high`` are the places in ``lines`` of the section's own lines; around them stand as many lines
+    of the document as a window that begins or ends in the section can hold.
     """
     lines = F.transform(
         F.split("text", "\n"),
-        lambda line, n: F.struct(n.alias("n"), line.alias("line"), F.regexp_count(line, F.lit(WORD)).alias("words"), F.xxhash64(line).alias("hash")),
+        lambda line, n: F.struct(n.alias("n"), F.md5(line).alias("digest"), F.regexp_count(line, F.lit(WORD)).alias("words"), F.xxhash64(line).alias("hash")),
     )
-    # The generator keeps the list from being computed again for each of its lines.
-    held = docs.select(*DOC, F.explode(F.array(F.filter(lines, lambda line: line["words"] > 0))).alias("lines"))
+    # The generator keeps the list from being computed again for each of its sections.
+    held = docs.select(*DOC, F.explode(F.array(F.filter(lines, lambda line: line["words"] > 0))).alias("all"))
+    size = F.size("all")
+
+    def section(k: Column) -> Column:
+        low, high = k * section_lines, F.least((k + 1) * section_lines, size)  # lines before it, and up to its end
+        start = F.greatest(low - (min_words - 1), F.lit(0))
+        around = F.slice("all", start + 1, F.least(high + min_words - 1, size) - start)
+        return F.struct(around.alias("lines"), (low - start + 1).alias("low"), (high - start).alias("high"))
+
+    numbers = F.sequence(F.lit(0), F.floor((size - 1) / section_lines).cast("int"))
+    cut = held.select(*DOC, F.explode(F.when(size > 0, F.transform(numbers, section))).alias("s"))
+    return cut.select(*DOC, "s.lines", "s.low", "s.high")
+
+
+def windows(docs: DataFrame, min_words: int = MIN_WORDS, section_lines: int = SECTION_LINES) -> DataFrame:
+    """doc_id, text_hash, print, print_at, run, first, last for every window; ``docs`` as ``identified`` gives them.
+
+    Lines without a word are passed over. ``print`` and ``print_at`` are the hash and the line number
+    of the fingerprint, ``run`` is a digest of the digests of the window's lines. A window over the border of two
+    sections may come twice.
+    """
+    # A line has a word at least, so a window has at most min_words lines: start and length fit into one number.
+    base = min_words + 1
 
-    # A line has a word at least, so a window has at most min_words lines.
     def ahead(i: Column) -> Column:
-        n = _reach(F.slice("lines", i, F.lit(min_words)), min_words)
-        return F.when(n.isNotNull(), F.struct(i.alias("start"), n.alias("n")))
+        return i.cast("long") * base + _reach(F.slice("lines", i, F.lit(min_words)), min_words)
 
     def behind(i: Column) -> Column:
         n = _reach(F.reverse(F.slice("lines", F.greatest(i - min_words + 1, F.lit(1)), F.least(i, F.lit(min_words)))), min_words)
-        return F.when(n.isNotNull(), F.struct((i - n + 1).alias("start"), n.alias("n")))
+        return (i - n + 1).cast("long") * base + n
 
-    places = F.sequence(F.lit(1), F.size("lines"))
-    spans = F.when(F.size("lines") > 0, F.array_distinct(F.concat(F.transform(places, ahead), F.transform(places, behind))))
-    cut = held.select(*DOC, F.explode(F.transform(F.filter(spans, lambda s: s.isNotNull()), lambda s: F.slice("lines", s["start"], s["n"]))).alias("own"))
+    places = F.sequence("low", "high")
+    spans = F.array_distinct(F.array_compact(F.concat(F.transform(places, ahead), F.transform(places, behind))))
+
+    def own(span: Column) -> Column:
+        return F.slice("lines", F.floor(span / base).cast("int"), (span % base).cast("int"))
+
+    cut = _sections(docs, min_words, section_lines).select(*DOC, F.explode(F.transform(spans, own)).alias("own"))
     least = F.array_min(F.transform("own", lambda line: F.struct(line["hash"], (-line["n"]).alias("back"))))
     return cut.select(
         *DOC,
         F.element_at("own", 1)["n"].alias("first"),
         F.element_at("own", -1)["n"].alias("last"),
-        F.unhex(F.md5(F.array_join(F.transform("own", lambda line: line["line"]), "\n"))).alias("run"),
+        F.unhex(F.md5(F.array_join("own.digest", ""))).alias("run"),
         least.alias("least"),
     ).select(*DOC, F.col("least.hash").alias("print"), (-F.col("least.back")).alias("print_at"), "run", "first", "last")
 
@@ -104,10 +130,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "d
     """
     gone = later_runs(identified(docs, id_column, text_column), min_words)
     spans = gone.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))  # as many as a document has runs
-    rows = docs.select(
-        F.struct("*").alias("row"), F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text_column)).alias("text_hash"), F.split(text_column, "\n").alias("lines")
-    )
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text_column)).alias("text_hash"))
     joined = rows.alias("r").join(spans.alias("s"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.text_hash") == F.col("s.text_hash")), "left")
+    # Split after the join, once a row.
+    joined = joined.select("row", "spans", F.explode(F.array(F.split(F.col(f"row.`{text_column}`"), "\n"))).alias("lines"))
 
     def between(k: Column) -> Column:
         start = F.when(k == 0, F.lit(0)).otherwise(F.get("spans", k - 1)["last"] + 1)
@@ -116,7 +142,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "d
 
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("spans")), between))
     removed = F.aggregate("spans", F.lit(0), lambda total, s: total + s["last"] - s["first"] + 1)
-    text = F.when(F.col("spans").isNull(), F.col(f"row.{text_column}")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("spans").isNull(), F.col(f"row.`{text_column}`")).otherwise(F.array_join(kept, "\n"))
     names = [name for name in docs.columns if name not in ("n_lines", "n_removed")]
     return joined.select(
         *[text.alias(name) if name == text_column else F.col("row").getField(name).alias(name) for name in names],

@@ -68,3 +68,20 @@ def test_first_place_of_a_fingerprint_is_not_that_of_the_run(spark):
     texts = [f"{around[0]}\nshared line\n{around[1]}"] + [f"{around[2]}\nshared line\n{around[3]}"] * 2
     found = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, texts), 6).collect()}
     assert found == {0: 0, 1: 0, 2: 3}
+
+
+@pytest.mark.parametrize("section", [1, 3, 8])
+def test_sections_find_the_windows_of_the_whole(spark, section):
+    pick = random.Random(section)
+    texts = ["\n".join(" ".join(pick.choice("abc") for _ in range(pick.randint(0, 3))) for _ in range(40)) for _ in range(6)]
+    docs = lines.identified(frame(spark, texts), "doc_id", "text")
+    whole, cut = (lines.windows(docs, 5, n).distinct() for n in (1_000, section))
+    assert whole.count() > 100 and whole.exceptAll(cut).count() == cut.exceptAll(whole).count() == 0
+
+
+def test_a_document_of_many_lines_takes_time_in_proportion(spark):
+    """As many lines in one document as would take hours if windows or lines were compared with each other."""
+    long = "\n".join(f"w{k % 99_991}" for k in range(150_000))
+    found = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.dedup_lines(frame(spark, [long, "other"])).collect()}
+    # From line 99,991 on the lines repeat.
+    assert found == {0: (150_000, 150_000 - 99_991), 1: (1, 0)}
