@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pieces import chunks_of
+from .pieces import ENTRY_BYTES, LONG_CHUNK, chunks_of
 from .texts import per_text
 
-# Pre-tokens whose counts a task keeps between blocks; beyond it the table starts anew.
-TABLE_TOKENS = 300_000
+# Bytes of counted pre-tokens, more or less, that a worker keeps between blocks; beyond it the table starts anew.
+# Long pre-tokens are kept for their block alone.
+TABLE_BYTES = 64_000_000
 # The public vocabularies give ranks, not probabilities: a piece of rank r weighs 1 / (r + this).
 RANK_OFFSET = 2.7
 
@@ -44,20 +45,28 @@ class CountTable:
     one with fewer tokens counts.
     """
 
-    def __init__(self, model: str, size: int = TABLE_TOKENS):
+    def __init__(self, model: str, size: int = TABLE_BYTES):
         scores, self.byte = unigram_scores(model)
         self.parts: dict[str, float | None] = {piece[:n]: None for piece in scores for n in range(1, len(piece))}
         self.parts |= scores
         self.size = size
         self.counts: dict[str, int] = {}
+        self.held = 0
+        self.passing: list[str] = []
         self.nodes = 0
 
     def add(self, tokens: set[str]) -> None:
         """Score the pre-tokens that the table lacks, in trie order."""
-        if len(self.counts) > self.size:
-            self.counts.clear()
+        if self.held > self.size:
+            self.counts, self.held = {}, 0
+        else:
+            for token in self.passing:
+                del self.counts[token]
+        new = sorted(tokens - self.counts.keys())
+        self.passing = [token for token in new if len(token) > LONG_CHUNK]
+        self.held += sum(ENTRY_BYTES + 4 * len(token) for token in new if len(token) <= LONG_CHUNK)
         parts, stack, last = self.parts, [(0.0, 0, [0])], ""
-        for token in sorted(tokens - self.counts.keys()):
+        for token in new:
             shared = 0
             for ours, theirs in zip(last, token, strict=False):
                 if ours != theirs:
@@ -102,7 +111,7 @@ def _counted(texts: list[bytes], model: str, size: int) -> dict[str, list]:
     }
 
 
-def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", table_tokens: int = TABLE_TOKENS) -> DataFrame:
+def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``doc_id``, ``n_pretokens`` and ``n_tokens`` for every input row, whole texts.
 
     A null or empty text counts 0 and 0. Rows are counted alone, so repeated
@@ -110,4 +119,4 @@ def token_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text_co
     """
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     fields = [("n_pretokens", T.LongType()), ("n_tokens", T.LongType())]
-    return per_text(narrow, lambda texts: _counted(texts, model, table_tokens), fields)
+    return per_text(narrow, lambda texts: _counted(texts, model, table_bytes), fields)

@@ -26,8 +26,12 @@ from .texts import per_text
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 GUARD = "a"
-# Chunks that a task keeps segmented between blocks; beyond it the table starts anew.
-TABLE_CHUNKS = 300_000
+# Bytes of segmented chunks, more or less, that a worker keeps between blocks; beyond it the table starts anew.
+TABLE_BYTES = 64_000_000
+# What an entry takes besides its characters: two string heads and a place in the table.
+ENTRY_BYTES = 160
+# Longer chunks, as of text without blanks, hardly ever come again: they are kept for their block alone.
+LONG_CHUNK = 200
 
 
 class ChunkTable:
@@ -35,10 +39,11 @@ class ChunkTable:
 
     A chunk is segmented behind a guard word whose single id is then cut off, so a
     chunk of markers alone, or in the middle of a text, gets the ids it has there.
-    The ids are kept as text, which takes a fraction of the memory of lists.
+    The ids are kept as text, which takes a fraction of the memory of lists. ``held`` counts
+    the bytes of the entries that stay; what a block adds is bounded by its texts.
     """
 
-    def __init__(self, model: str, size: int = TABLE_CHUNKS):
+    def __init__(self, model: str, size: int = TABLE_BYTES):
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         self.size = size
         pieces = (self.model.id_to_piece(n) for n in range(self.model.get_piece_size()))
@@ -49,19 +54,29 @@ class ChunkTable:
             raise ValueError("the guard word is not one piece of this vocabulary")
         self.ids: dict[str, str] = {}
         self.odd: dict[str, str] = {}
+        self.held = 0
+        self.passing: list[str] = []
 
     def add(self, chunks: list[str]) -> None:
         """Segment the chunks that the table lacks, and decode them; ``odd`` holds those that decode to something else."""
-        if len(self.ids) > self.size:
-            self.ids, self.odd = {}, {}
+        if self.held > self.size:
+            self.ids, self.odd, self.held = {}, {}, 0
+        else:
+            for chunk in self.passing:
+                del self.ids[chunk]
+                self.odd.pop(chunk, None)
         known = self.ids
         new = list({chunk for chunk in chunks if chunk not in known})
+        self.passing = [chunk for chunk in new if len(chunk) > LONG_CHUNK]
         plain = [GUARD + chunk.replace(MARK, " ") for chunk in new]
         for start in range(0, len(new), 50_000):
             own, texts = new[start : start + 50_000], plain[start : start + 50_000]
             ids = self.model.encode(texts, num_threads=1)
             decoded = self.model.decode([self.guard + one[1:] for one in ids], num_threads=1)
-            known.update(zip(own, [",".join(map(str, one[1:])) for one in ids], strict=True))
+            joined = [",".join(map(str, one[1:])) for one in ids]
+            known.update(zip(own, joined, strict=True))
+            # A character takes up to four bytes in a string.
+            self.held += sum(ENTRY_BYTES + 4 * len(chunk) + len(text) for chunk, text in zip(own, joined, strict=True) if len(chunk) <= LONG_CHUNK)
             self.odd.update({chunk: got[len(GUARD) :] for chunk, text, got in zip(own, texts, decoded, strict=True) if got != text})
 
     def encoded(self, chunks: list[str]) -> str:
@@ -112,27 +127,27 @@ def _narrow(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
 
 
-def encode_decode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", table_chunks: int = TABLE_CHUNKS) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and ``decoded`` for every input row, whole texts.
 
     A null or empty text has no ids and decodes to the empty text. Rows are
     worked on alone: repeated rows and ids, and null ids, give a row each.
     """
-    work = lambda texts: _encoded(texts, model, table_chunks)
+    work = lambda texts: _encoded(texts, model, table_bytes)
     return per_text(_narrow(docs, id_column, text_column), work, [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())])
 
 
-def encode_digests(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", table_chunks: int = TABLE_CHUNKS) -> DataFrame:
+def encode_digests(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """As ``encode_decode``, but token counts and digests in place of the ids and texts themselves."""
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return per_text(_narrow(docs, id_column, text_column), lambda texts: _digests(texts, model, table_chunks), fields)
+    return per_text(_narrow(docs, id_column, text_column), lambda texts: _digests(texts, model, table_bytes), fields)
 
 
 def decode(encoded: DataFrame, model: str, ids_column: str = "ids") -> DataFrame:
     """Decode stored ids; a null list is decoded as an empty one."""
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        held = table(model, TABLE_CHUNKS).model
+        held = table(model, TABLE_BYTES).model
         return ids.map(lambda own: held.decode([int(n) for n in own]) if own is not None else "")
 
     return encoded.withColumn("decoded", text(F.col(ids_column)))

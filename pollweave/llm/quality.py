@@ -2,7 +2,8 @@
 
 Every rule is evaluated once per document. The ledger stores what was measured
 and one bit per failed rule; a policy is a named mask over those bits, so
-another policy, another version of it or an ablation never reads a text again.
+another policy, another version of it or an ablation on a stored ledger
+(``store_ledger``) never reads a text again.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .texts import per_text
+from .texts import per_text, stored
 
 SYMBOLS = b"#*$%&|<>"
 SPAN = 5
@@ -54,6 +55,8 @@ RULES = (
     Rule(6, "many_words", "n_words > 100000"),
     Rule(7, "no_words", "n_words = 0"),
 )
+# To be raised with every change of a rule; a bit keeps its rule for good.
+RULES_VERSION = 1
 BASE = Policy("base", 1, ("few_words", "repeated_words"))
 FULL = Policy("full", 1, ("few_words", "repeated_words", "long_words", "short_words", "symbols", "repeated_lines"))
 
@@ -109,6 +112,11 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc
     return measured.withColumn("fail_bits", failure_bits(rules))
 
 
+def store_ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, rules_version: int = RULES_VERSION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The ledger, written once into the shared folder with its ``rules_version``: policies and ablations read it, not the texts."""
+    return stored(ledger(docs, rules, id_column, text_column).withColumn("rules_version", F.lit(rules_version)), "ledger")
+
+
 def failure_bits(rules: Sequence[Rule]) -> Column:
     if len({rule.bit for rule in rules}) < len(rules) or any(not 0 <= rule.bit < 63 for rule in rules):
         raise ValueError("every rule needs a bit of its own from 0 to 62")
@@ -147,10 +155,13 @@ def ablation(entries: DataFrame, policies: Sequence[Policy], rules: Sequence[Rul
     """
     bits = {rule.name: 1 << rule.bit for rule in rules}
     wanted = [(p.name, p.version, name, p.mask(rules), bits[name]) for p in policies for name in p.rules]
-    totals = patterns(entries)
+    names = ("policy", "policy_version", "rule", "mask", "bit")
+    rows = F.array(*[F.struct(*[(F.lit(x).cast("long") if n in ("mask", "bit") else F.lit(x)).alias(n) for n, x in zip(names, row, strict=True)]) for row in wanted])
+    # A pattern without documents stands in for those that an empty ledger lacks.
+    totals = patterns(entries).select("fail_bits", "n_docs")
+    totals = totals.unionByName(entries.sparkSession.createDataFrame([(0, 0)], "fail_bits long, n_docs long"))
+    seen = totals.withColumn("w", F.explode(rows)).select("w.*", "fail_bits", "n_docs")
     count = lambda test: F.coalesce(F.sum(F.when(test, F.col("n_docs"))), F.lit(0))
-    rows = [f"struct('{p}' AS policy, {v} AS policy_version, '{r}' AS rule, {m}L AS mask, {b}L AS bit)" for p, v, r, m, b in wanted]
-    seen = totals.withColumn("w", F.explode(F.expr(f"array({', '.join(rows)})"))).select("w.*", "fail_bits", "n_docs")
     hit = F.col("fail_bits").bitwiseAND(F.col("mask"))
     return seen.groupBy("policy", "policy_version", "rule").agg(
         count(F.col("fail_bits").bitwiseAND(F.col("bit")) != 0).alias("n_failed"),

@@ -83,10 +83,12 @@ def apply_rules(
     judged = pages.select(F.col(page).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     labels = _backwards(F.col("host"))
     urls = judged.where("host <> ''").select("host", "path").distinct()
-    domains = urls.withColumn("labels", labels).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("labels"))))
+    known = rules.where("host IS NOT NULL AND host <> ''").groupBy("host", F.coalesce("path", F.lit("")).alias("path")).agg(F.min("verdict").alias("verdict"))
+    # No rule fits a domain with more labels than the deepest rule has.
+    deepest = known.agg(F.max(F.size(_backwards(F.col("host"))))).first()[0] or 1
+    domains = urls.withColumn("labels", labels).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(deepest)))))
     keys = domains.select("host", "path", F.concat(_domain_key(F.col("labels"), F.col("n")), F.lit(PATH_START), F.col("path")).alias("key"))
     keys = keys.withColumn("sort_key", F.concat("key", F.lit("\x00"), F.xxhash64("host", "path").cast("string")))
-    known = rules.where("host IS NOT NULL AND host <> ''").groupBy("host", F.coalesce("path", F.lit("")).alias("path")).agg(F.min("verdict").alias("verdict"))
     cuts = _cuts(keys, keys_per_range)
     edges = keys.sparkSession.sparkContext.broadcast(cuts)  # a key for each range
 

@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import pytest
 import sentencepiece
 
 from pollweave.llm import counts, pieces
@@ -21,7 +22,7 @@ def test_ids_and_text_are_those_of_the_library(spark):
 
 
 def test_a_small_table_gives_the_same(spark):
-    one, two = (pieces.encode_digests(frame(spark, TEXTS), MODEL, table_chunks=n).orderBy("doc_id").collect() for n in (1, 1_000_000))
+    one, two = (pieces.encode_digests(frame(spark, TEXTS), MODEL, table_bytes=n).orderBy("doc_id").collect() for n in (1, 1_000_000))
     assert one == two
 
 
@@ -79,5 +80,28 @@ def test_query_counts(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     rows = QUERIES["op9_token_counts"](spark, FOLDER).collect()
     assert len(rows) == len(texts)
-    for row in rows[::10]:
+    for row in rows:
         assert row.n_tokens == sum(brute_count(token, scores, byte) for token in pieces.chunks_of(texts[row.doc_id]))
+
+
+@pytest.mark.parametrize("table", [lambda: pieces.ChunkTable(MODEL, 100_000), lambda: counts.CountTable(MODEL, 100_000)])
+def test_tables_are_bounded_by_bytes(table):
+    """Distinct long chunks are not kept, and the kept ones stay near the bound."""
+    held = table()
+    kept = lambda: held.ids if isinstance(held, pieces.ChunkTable) else held.counts
+    for block in range(200):
+        long = {pieces.MARK + f"{block}-{k}-" + "xy" * 1500 for k in range(3)}
+        short = {pieces.MARK + f"w{block}q{k}" for k in range(20)}
+        held.add(long | short if isinstance(held, counts.CountTable) else [*long, *short, *long])
+        assert long | short <= kept().keys()
+        assert sum(len(chunk) > pieces.LONG_CHUNK for chunk in kept()) == 3
+        assert held.held < 100_000 + 20 * 300
+        assert sum(map(len, kept())) < 100_000
+
+
+def test_long_chunks_that_come_again(spark):
+    long = "ab" * 400 + "é"
+    texts = [long, f"{long} x {long}", "", f"x {long}", long] * 3
+    held = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    found = {r.doc_id: (r.ids, r.decoded) for r in pieces.encode_decode(frame(spark, texts), MODEL, table_bytes=10).collect()}
+    assert found == {n: (held.encode(text), held.decode(held.encode(text))) for n, text in enumerate(texts)}

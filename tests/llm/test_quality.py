@@ -48,6 +48,18 @@ def test_policies_and_ablation_from_one_ledger(spark):
     assert found == {("strict", "short"): (2, 1, 2, 3), ("strict", "symbols"): (2, 1, 2, 3), ("lax", "short"): (2, 2, 3, 5)}
 
 
+def test_ablation_of_an_empty_ledger_gives_zeros(spark):
+    found = quality.ablation(quality.ledger(frame(spark, [])), (quality.BASE, Policy("it's", 2, ("symbols",)))).collect()
+    assert sorted(map(tuple, found)) == [("base", 1, "few_words", 0, 0, 0, 0), ("base", 1, "repeated_words", 0, 0, 0, 0), ("it's", 2, "symbols", 0, 0, 0, 0)]
+
+
+def test_a_stored_ledger_needs_no_text(spark):
+    entries = quality.store_ledger(frame(spark, ["a b c d", None]), rules_version=7)
+    assert {(r.doc_id, r.n_words, r.rules_version) for r in entries.collect()} == {(0, 4, 7), (1, 0, 7)}
+    plan = quality.apply_policy(entries, quality.FULL)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
 def test_bits_must_differ():
     with pytest.raises(ValueError):
         quality.failure_bits((Rule(1, "a", "true"), Rule(1, "b", "true")))
