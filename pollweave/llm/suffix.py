@@ -8,17 +8,22 @@ a gram are merge-sorted: prefix hashes and a binary search give the common exten
 suffixes, so a comparison takes logarithmic time. From that order the order of the suffixes
 that start one byte further left follows by one stable sort on that byte, and so on;
 in each order equal strings are neighbours, and are verified byte by byte.
+
+No byte goes on a hash alone. An order is checked against the bytes before it is used. Surroundings that recur
+are compared with those of their first anchor, in stretches as long as the copies; what differs goes
+through the sort. A gram with too many anchors for one sort is split by the bytes that equal strings must
+share if they start in the first or in the second half of the places left of the gram, as often as needed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +31,19 @@ from .texts import arrow_schema, as_bytes, blocks, identified, mapped, stored
 
 LENGTH = 200
 GRAM = 50
-# Suffixes that are sorted at once, more or less; anchors of one gram stay together up to HOT_GRAM of them.
+# Suffixes that are sorted at once, more or less; anchors of one gram stay together up to HOT_GRAM of them,
+# beyond that they are split by further bytes.
 SORT_ROWS = 6_000
 HOT_GRAM = 50_000
 # Bytes whose windows are hashed at once.
 STRETCH = 500_000
+# Copies are compared in pieces of at most so many bytes.
+PIECE = 1_024
 
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 DOC = ["doc_id", "text_hash"]
+HEAD = ["head_id", "head_hash"]
 
 
 @cache
@@ -66,7 +75,7 @@ def _sliding(values: np.ndarray, width: int, better: np.ufunc, worst: int) -> np
     return better(back[:n], front[width - 1 : width - 1 + n])
 
 
-def anchors(text: np.ndarray, bounds: np.ndarray, length: int, gram: int, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: np.ndarray, bounds: np.ndarray, length: int, gram: int, stretch: int = STRETCH, mask: int = MASK) -> tuple[np.ndarray, np.ndarray]:
     """Places of the anchors in texts that stand one behind the other, and their gram's hashes."""
     width = length - gram + 1
     powers, inverse = _powers(stretch + length + 1)
@@ -77,7 +86,7 @@ def anchors(text: np.ndarray, bounds: np.ndarray, length: int, gram: int, stretc
         n = len(part)
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[:n], dtype=np.uint64, out=prefix[1:])
-        grams = _mixed((prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1])
+        grams = _mixed((prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1]) & np.uint64(mask)
         least = _sliding(grams, width, np.minimum, MASK)
         starts = np.arange(low, low + len(least))
         least[starts + length > doc_end[starts]] = 0  # no window reaches over the end of its text
@@ -90,16 +99,23 @@ def anchors(text: np.ndarray, bounds: np.ndarray, length: int, gram: int, stretc
     return place, np.concatenate(hashes)[first]
 
 
-def _once_per_text(doc: np.ndarray, around: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order in which equal anchors of one text follow each other, and where each kind begins in it."""
+def _once_per_text(doc: np.ndarray, around: np.ndarray, gram: np.ndarray, context: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Order in which equal anchors of one text follow each other, and where each kind begins in it; ``context`` gives an anchor's bytes."""
     order = np.lexsort((np.arange(len(doc)), around, gram, doc))
     same = np.zeros(len(order), bool)
     if len(order):
         same[1:] = (np.diff(doc[order]) == 0) & (around[order][1:] == around[order][:-1]) & (gram[order][1:] == gram[order][:-1])
+    heads = np.flatnonzero(~same)
+    of_head = np.cumsum(~same) - 1
+    follow = np.flatnonzero(same)
+    firsts = order[heads[of_head[follow]]]
+    wrong = [at for at, row, first in zip(follow.tolist(), order[follow].tolist(), firsts.tolist(), strict=True) if context(row) != context(first)]
+    if wrong:  # equal hashes of different bytes: every anchor of such a kind has its own row
+        same &= ~np.isin(of_head, of_head[wrong])
     return order, np.flatnonzero(~same)
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, length: int, gram: int, mask: int) -> DataFrame:
     """An anchor per row; those of one text with the same bytes around them, as in a text that repeats one word, share a row."""
     schema = T.StructType(
         [
@@ -121,13 +137,14 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 sizes = np.array(list(map(len, texts)), np.int64)
                 bounds = np.concatenate(([0], np.cumsum(sizes)))
                 joined = b"".join(texts)
-                place, grams = anchors(np.frombuffer(joined, np.uint8), bounds, length, gram)
+                place, grams = anchors(np.frombuffer(joined, np.uint8), bounds, length, gram, mask=mask)
                 doc = np.searchsorted(bounds, place, "right") - 1
                 left = np.minimum(place - bounds[doc], length - gram)
                 low, high = place - left, np.minimum(place + length, bounds[doc + 1])
                 view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
                 around = np.array([digest(view[a:b], seed=s) for a, b, s in zip(low.tolist(), high.tolist(), left.tolist(), strict=True)], np.uint64)
-                order, heads = _once_per_text(doc, around, grams)
+                around &= np.uint64(mask)
+                order, heads = _once_per_text(doc, around, grams, lambda row, joined=joined, low=low, high=high: joined[low[row] : high[row]])
                 first, rows = order[heads], pa.array(doc[order[heads]])
                 # Behind each head stand its further places.
                 ends = np.append(heads[1:], len(order))
@@ -190,15 +207,32 @@ def _merge_sorted(prefix: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np
             low[at] = np.where(goes_on, middle + 1, low[at])
             high[at] = np.where(goes_on, high[at], middle)
         own = index - np.where(first, start, np.minimum(start + run, n))
-        merged = np.empty(n, np.int64)
+        merged = order.copy()  # hashes that collide may leave places open
         merged[start + own + (low - other_low)] = order
         order, run = merged, 2 * run
     return order
 
 
-def repeated_reach(contexts: list[bytes], left: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context, how far left of its anchor repeated strings start at most and at least; -1 without one."""
+def _in_order(order: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether ``order`` holds every row once, by its bytes."""
+    if (np.bincount(order, minlength=len(sizes)) != 1).any():
+        return False
+    x, y = order[:-1], order[1:]
+    differ = (data[x] != data[y]) & (np.arange(data.shape[1]) < np.minimum(sizes[x], sizes[y])[:, None])
+    at = differ.argmax(axis=1)
+    return bool(np.where(differ.any(axis=1), data[x, at] < data[y, at], sizes[x] <= sizes[y]).all())
+
+
+def repeated_reach(
+    contexts: list[bytes], left: np.ndarray, length: int, gram: int, steps: tuple[int, int] | None = None, mask: int = MASK
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each context, how far left of its anchor repeated strings start at most and at least; -1 without one.
+
+    ``steps`` limits the search to strings that start at least so many and less than so many bytes left of the anchor;
+    all contexts have to reach as far left as the first of them.
+    """
     n, wide = len(contexts), length - gram
+    first, end = steps or (0, wide + 1)
     right = np.array(list(map(len, contexts)), np.int64) - left
     data = np.zeros((n, wide + length), np.uint8)
     for row, (context, own) in enumerate(zip(contexts, left.tolist(), strict=True)):
@@ -207,16 +241,19 @@ def repeated_reach(contexts: list[bytes], left: np.ndarray, length: int, gram: i
     hashes = np.zeros((n, data.shape[1] + 1), np.uint64)
     for column in range(data.shape[1]):
         hashes[:, column + 1] = hashes[:, column] * base + data[:, column] + np.uint64(1)
-    powers = _powers(length + 1)[0]
-    prefix = hashes[:, wide:] - hashes[:, wide : wide + 1] * powers[None, :]
-    order = _merge_sorted(prefix, data[:, wide:], right)
+    powers = _powers(wide + length + 1)[0]
+    origin = wide - first
+    prefix = (hashes[:, origin:] - hashes[:, origin : origin + 1] * powers[None, : length + first + 1]) & np.uint64(mask)
+    order = _merge_sorted(prefix, data[:, origin:], right + first)
+    if not _in_order(order, data[:, origin:], right + first):
+        order = np.array(sorted(range(n), key=lambda row: data[row, origin : wide + right[row]].tobytes()), np.int64)
     most, least = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    for step in range(wide + 1):
-        if step:
+    for step in range(first, end):
+        if step > first:
             order = order[np.argsort(data[order, wide - step], kind="stable")]
         inside = order[(left[order] >= step) & (right[order] >= length - step)]
         start = wide - step
-        window = hashes[inside, start + length] - hashes[inside, start] * powers[length]
+        window = (hashes[inside, start + length] - hashes[inside, start] * powers[length]) & np.uint64(mask)
         pairs = np.flatnonzero(window[1:] == window[:-1])
         a, b = inside[pairs], inside[pairs + 1]
         same = (data[a, start : start + length] == data[b, start : start + length]).all(axis=1)
@@ -226,17 +263,21 @@ def repeated_reach(contexts: list[bytes], left: np.ndarray, length: int, gram: i
     return most, least
 
 
-def _sorted_spans(contexts: DataFrame, length: int, gram: int, sort_rows: int) -> DataFrame:
-    """Spans that the sort finds for anchors that stand alone; a gram's anchors are one behind the other."""
-    schema = T.StructType([contexts.schema["doc_id"], contexts.schema["text_hash"]]).add("start", "long").add("end", "long")
+def _sorted_spans(groups: DataFrame, length: int, gram: int, sort_rows: int, mask: int) -> DataFrame:
+    """Spans that the sort finds for anchors that stand alone; of a group the strings that start ``low`` to ``high`` bytes left of the gram."""
+    schema = T.StructType([groups.schema["doc_id"], groups.schema["text_hash"]]).add("start", "long").add("end", "long")
 
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        left = rows.column("left").to_numpy()
-        most, least = repeated_reach(rows.column("context").to_pylist(), left, length, gram)
-        keep = np.flatnonzero((most >= 0) & rows.column("alone").to_numpy(zero_copy_only=False))
-        place, picked = rows.column("place").to_numpy()[keep], pa.array(keep)
-        columns = [rows.column(name).take(picked).combine_chunks() for name in DOC]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(place - most[keep]), pa.array(place - least[keep] + length)], schema=arrow_schema(schema))
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        lows, highs = rows.column("low").to_numpy(), rows.column("high").to_numpy()
+        for low in np.unique(lows):
+            of_low = np.flatnonzero(lows == low)
+            part = rows.take(pa.array(of_low))
+            steps = int(low), int(highs[of_low[0]])
+            most, least = repeated_reach(part.column("context").to_pylist(), part.column("left").to_numpy(), length, gram, steps, mask)
+            keep = np.flatnonzero((most >= 0) & part.column("alone").to_numpy(zero_copy_only=False))
+            place, picked = part.column("place").to_numpy()[keep], pa.array(keep)
+            columns = [part.column(name).take(picked).combine_chunks() for name in DOC]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place - most[keep]), pa.array(place - least[keep] + length)], schema=arrow_schema(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -244,82 +285,134 @@ def _sorted_spans(contexts: DataFrame, length: int, gram: int, sort_rows: int) -
             held.append(pa.Table.from_batches([batch]))
             rows = pa.concat_tables(held)
             while rows.num_rows >= sort_rows:
-                grams = rows.column("gram").to_numpy()
-                ends = np.flatnonzero(grams[1:] != grams[:-1]) + 1
+                keys = rows.column("group").to_numpy()
+                ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
                 ends = ends[ends <= max(sort_rows, ends[0])] if len(ends) else ends
                 if not len(ends):
                     break
-                yield solve(rows.slice(0, int(ends[-1])))
+                yield from solve(rows.slice(0, int(ends[-1])))
                 rows = rows.slice(int(ends[-1]))
             held = [rows]
         if held and held[0].num_rows:
-            yield solve(held[0])
+            yield from solve(held[0])
 
-    return mapped(contexts.repartition("gram").sortWithinPartitions("gram"), run, schema)
+    return mapped(groups.repartition("group").sortWithinPartitions("group"), run, schema)
 
 
-def _counted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for grams with too many anchors for one task: every string by its digest, counted by Spark."""
-    schema = T.StructType([contexts.schema["doc_id"], contexts.schema["text_hash"]]).add("start", "long").add("string", "binary").add("alone", "boolean")
+def _split(groups: DataFrame, length: int, hot_gram: int) -> DataFrame:
+    """Each group in two, for either half of its places, by the bytes that equal strings from these places share."""
+    middle = F.expr("(low + high) div 2")
+    halves = F.array(F.struct(F.col("low"), middle.alias("high")), F.struct(middle.alias("low"), F.col("high")))
+    rest = [c for c in groups.columns if c not in ("low", "high", "group", "hot")]
+    rows = groups.select(*rest, F.explode(halves).alias("half")).select(*rest, "half.low", "half.high")
+    rows = rows.where(f"high > low AND left >= low AND length(context) - left >= {length} + 1 - high")
+    shared = F.substring("context", F.expr("cast(left - low + 1 AS int)"), F.expr(f"cast({length} + 1 + low - high AS int)"))
+    rows = rows.withColumn("group", F.xxhash64("low", shared))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
+    return rows.join(sizes, "group").withColumn("hot", F.col("members") > hot_gram).drop("members")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in range(0, batch.num_rows, 200):
-                part = batch.slice(n, 200)
-                starts, strings, rows = [], [], []
-                for row, (context, left, place) in enumerate(zip(*(part.column(c).to_pylist() for c in ("context", "left", "place")), strict=True)):
-                    for step in range(min(left, length - gram) + 1):
-                        string = context[left - step : left - step + length]
-                        if len(string) == length:
-                            rows.append(row)
-                            starts.append(place - step)
-                            strings.append(xxhash.xxh3_128_digest(string))
-                at = pa.array(rows, pa.int64())
-                columns = [part.column("doc_id").take(at), part.column("text_hash").take(at), pa.array(starts, pa.int64()), pa.array(strings, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, part.column("alone").take(at)], schema=arrow_schema(schema))
-
-    strings = mapped(contexts, run, schema)
-    place = F.struct(*DOC, "start")
-    often = strings.groupBy("string").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("string")
+
+def _equal_spans(groups: DataFrame, length: int) -> DataFrame:
+    """Groups of strings from one place: equal ones are counted by their bytes."""
+    strings = groups.select(*DOC, "alone", (F.col("place") - F.col("low")).alias("start"), F.substring("context", F.expr("cast(left - low + 1 AS int)"), F.lit(length)).alias("string"))
+    often = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
     return strings.where("alone").join(often, "string", "left_semi").select(*DOC, "start", (F.col("start") + length).alias("end"))
 
 
+def _spans_by_sort(contexts: DataFrame, length: int, gram: int, sort_rows: int, hot_gram: int, mask: int) -> DataFrame:
+    """Spans of all groups; those with over ``hot_gram`` anchors are split until each half fits or is one place wide."""
+    groups = contexts.withColumns({"group": F.col("gram"), "low": F.lit(0).cast("long"), "high": F.lit(length - gram + 1).cast("long")})
+    spans = _sorted_spans(groups.where("NOT hot"), length, gram, sort_rows, mask)
+    hot = groups.where("hot")
+    while not hot.isEmpty():
+        parts = stored(_split(hot, length, hot_gram), "parts")
+        spans = spans.unionByName(_sorted_spans(parts.where("NOT hot"), length, gram, sort_rows, mask))
+        spans = spans.unionByName(_equal_spans(parts.where("hot AND high - low = 1"), length))
+        hot = parts.where("hot AND high - low > 1")
+    return spans
+
+
 def repeated_spans(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort_rows: int = SORT_ROWS, hot_gram: int = HOT_GRAM
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort_rows: int = SORT_ROWS, hot_gram: int = HOT_GRAM, hash_bits: int = 64
 ) -> DataFrame:
     """doc_id, text_hash, start, end of byte spans that strings of ``length`` bytes found elsewhere cover; ``docs`` as ``identified`` gives them."""
     if not 0 < gram <= length:
         raise ValueError("a gram has from one byte up to the whole length")
+    mask = (1 << hash_bits) - 1
     same = Window.partitionBy("gram", "around")
     # Dealt by the gram alone, which serves both windows.
-    marks = _anchor_rows(docs, length, gram).repartition("gram").withColumns(
+    marks = _anchor_rows(docs, length, gram, mask).repartition("gram").withColumns(
         {
             "n": F.sum(1 + F.size("more")).over(same),
-            "first": F.row_number().over(same.orderBy(*DOC, "place")) == 1,
+            "head": F.min(F.struct(*DOC, "place", "size")).over(same),
+            "first": F.row_number().over(same.orderBy(*DOC, "place", "size")) == 1,
         }
     )
     of_gram = Window.partitionBy("gram")
     marks = marks.withColumns({"of_gram": F.sum(1 + F.size("more")).over(of_gram), "kinds": F.sum(F.col("first").cast("int")).over(of_gram)})
     marks = stored(marks.where("of_gram > 1").drop("around", "of_gram"), "anchors")
-    repeated = marks.where("n > 1").select(*DOC, "size", F.explode(F.concat(F.array("place"), "more")).alias("place"))
-    whole = repeated.select(
-        *DOC, F.greatest(F.lit(0).cast("long"), F.col("place") - (length - gram)).alias("start"), F.least(F.col("size"), F.col("place") + length).alias("end")
+    marks = marks.select("*", F.col("head.doc_id").alias("head_id"), F.col("head.text_hash").alias("head_hash"), (F.col("head.place") - F.col("place")).alias("shift"))
+    wide = length - gram
+    left, right = F.least(F.lit(wide).cast("long"), F.col("place")), F.least(F.lit(length).cast("long"), F.col("size") - F.col("place"))
+    head_left, head_right = (F.least(F.lit(wide).cast("long"), F.col("head.place")), F.least(F.lit(length).cast("long"), F.col("head.size") - F.col("head.place")))
+    marks = marks.withColumns({"start": F.col("place") - left, "end": F.col("place") + right, "even": (left == head_left) & (right == head_right)})
+
+    copies = marks.where("n > 1 AND NOT first")
+    pieces = _pieces(copies.where("even"))
+    wanted = marks.where("first AND kinds > 1").select("gram", *DOC, "place", "start", "end", (F.col("n") == 1).alias("alone"), (F.col("kinds") > hot_gram).alias("hot"))
+    heads = pieces.select(*HEAD, "h_start", "h_end").distinct().select(F.col("head_id").alias("doc_id"), F.col("head_hash").alias("text_hash"), "*")
+    compared = pieces.drop("shift").unionByName(heads.withColumns({"start": F.col("h_start"), "end": F.col("h_end")}))
+    cut = stored(_cut(docs, wanted.unionByName(compared, allowMissingColumns=True)), "contexts")
+    contexts = cut.where("gram IS NOT NULL").withColumn("left", F.least(F.lit(wide).cast("long"), F.col("place"))).drop(*HEAD, "h_start", "h_end")
+    spans = _spans_by_sort(contexts, length, gram, sort_rows, hot_gram, mask)
+
+    # A stretch of copies is what it seems if its bytes are those of its head.
+    differ = cut.where("gram IS NULL").groupBy(*HEAD, "h_start", "h_end").agg(F.count_distinct("context").alias("kinds")).where("kinds > 1").drop("kinds")
+    odd = stored(
+        pieces.join(differ, _equal(pieces, differ, [*HEAD, "h_start", "h_end"]), "left_semi").select(*DOC, *HEAD, "shift").unionByName(copies.where("NOT even").select(*DOC, *HEAD, "shift")).distinct(),
+        "odd",
+    )
+    whole = marks.where("n > 1")
+    if not odd.isEmpty():
+        key = [*DOC, *HEAD, "shift"]
+        wrong = stored(copies.join(odd, _equal(copies, odd, key), "left_semi"), "wrong")
+        good = copies.join(odd, _equal(copies, odd, key), "left_anti")
+        backed = good.select(*(F.col(f"head.{name}").alias(name) for name in (*DOC, "place"))).distinct()
+        firsts = marks.where("first")
+        whole = marks.where("size(more) > 0").unionByName(good).unionByName(firsts.join(backed, _equal(firsts, backed, [*DOC, "place"]), "left_semi"))
+        again = wrong.unionByName(firsts.join(wrong.select("gram").distinct(), "gram", "left_semi"))
+        sizes = again.groupBy("gram").agg(F.count("*").alias("members"))
+        again = again.join(sizes, "gram").select("gram", *DOC, "place", "start", "end", F.lit(True).alias("alone"), (F.col("members") > hot_gram).alias("hot"))
+        contexts = stored(_cut(docs, again).withColumn("left", F.least(F.lit(wide).cast("long"), F.col("place"))), "contexts")
+        spans = spans.unionByName(_spans_by_sort(contexts, length, gram, sort_rows, hot_gram, mask))
+    whole = whole.select(*DOC, "size", F.explode(F.concat(F.array("place"), "more")).alias("place")).select(
+        *DOC, F.greatest(F.lit(0).cast("long"), F.col("place") - wide).alias("start"), F.least(F.col("size"), F.col("place") + length).alias("end")
     )
-    wanted = marks.where("first AND kinds > 1").select("gram", *DOC, "place", (F.col("n") == 1).alias("alone"), (F.col("kinds") > hot_gram).alias("hot"))
-    contexts = stored(_contexts(docs, wanted, length, gram), "contexts")
-    cool = _sorted_spans(contexts.where("NOT hot"), length, gram, sort_rows)
-    return whole.unionByName(cool).unionByName(_counted_spans(contexts.where("hot"), length, gram))
-
-
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes around each wanted anchor: what a string through its gram can touch."""
-    lists = wanted.groupBy(*DOC).agg(F.collect_list(F.struct("gram", "place", "alone", "hot")).alias("places"))  # as many as a text has anchors
-    joined = docs.alias("d").join(lists.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")))
-    joined = joined.select("d.doc_id", "d.text_hash", "d.text", "p.places")
-    schema = T.StructType().add("gram", "long")
-    schema = T.StructType([*schema.fields, docs.schema["doc_id"], docs.schema["text_hash"]])
-    for name, kind in (("place", "long"), ("left", "long"), ("alone", "boolean"), ("hot", "boolean"), ("context", "binary")):
-        schema.add(name, kind)
+    return whole.unionByName(spans)
+
+
+def _equal(one: DataFrame, other: DataFrame, names: list[str]) -> Column:
+    """Join condition by columns of the same names, null ids being ids."""
+    return reduce(lambda x, y: x & y, (one[name].eqNullSafe(other[name]) for name in names))
+
+
+def _pieces(copies: DataFrame) -> DataFrame:
+    """Stretches of copies that lie in step with their head, in pieces: where they start and end in the text and in the head's."""
+    run = Window.partitionBy(*DOC, *HEAD, "shift").orderBy("start", "end")
+    rows = copies.select(*DOC, *HEAD, "shift", "start", "end").withColumn("new", (F.col("start") > F.lag("end").over(run)).cast("int"))
+    rows = rows.withColumn("run", F.coalesce(F.sum("new").over(run.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    runs = rows.groupBy(*DOC, *HEAD, "shift", "run").agg((F.min("start") + F.col("shift")).alias("low"), (F.max("end") + F.col("shift")).alias("high"))
+    cuts = runs.select("*", F.explode(F.sequence(F.expr(f"low div {PIECE}"), F.expr(f"(high - 1) div {PIECE}"))).alias("cut"))
+    cuts = cuts.withColumns({"h_start": F.greatest("low", F.col("cut") * PIECE), "h_end": F.least("high", (F.col("cut") + 1) * PIECE)})
+    return cuts.select(*DOC, *HEAD, "shift", "h_start", "h_end", (F.col("h_start") - F.col("shift")).alias("start"), (F.col("h_end") - F.col("shift")).alias("end"))
+
+
+def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes from ``start`` to ``end`` of each wanted row's text as ``context``, in place of these two columns."""
+    own = [c for c in wanted.columns if c not in DOC]
+    lists = wanted.groupBy(*DOC).agg(F.collect_list(F.struct(*own)).alias("places"))  # as many as a text has anchors and pieces
+    joined = docs.join(lists, _equal(docs, lists, DOC)).select(docs["doc_id"], docs["text_hash"], docs["text"], lists["places"])
+    schema = T.StructType([*(wanted.schema[c] for c in wanted.columns if c not in ("start", "end")), T.StructField("context", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
@@ -328,9 +421,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                 rows, picked = [], []
                 for row, (text, places) in enumerate(zip(as_bytes(block.column("text")), block.column("places").to_pylist(), strict=True)):
                     for one in places:
-                        left = min(one["place"], length - gram)
-                        context = text[one["place"] - left : one["place"] + length]
-                        rows.append(one | {"left": left, "context": context})
+                        rows.append(one | {"context": text[one["start"] : one["end"]]})
                         picked.append(row)
                 at = pa.array(picked, pa.int64())
                 ids = {"doc_id": block.column("doc_id").take(at), "text_hash": block.column("text_hash").take(at)}
@@ -372,7 +463,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     Each byte goes that a string of ``length`` bytes covers which also starts anywhere else, in the same text or
     another; all copies go, the first too. Strings are those of the input, never across
     texts. A null text counts as empty; texts shorter than ``length`` stay. Repeated rows are copies of each
-    other. Other columns are not read. An empty table gives an empty result.
+    other. Other columns are not read. An empty table gives an empty result. Hashes that collide cost time
+    and change nothing (``hash_bits`` shortens them for tests).
     """
     narrow = identified(docs, id_column, text_column)
     return without_spans(narrow, repeated_spans(narrow, length, gram, **bounds))

@@ -37,7 +37,8 @@ def mixed_texts(seed, letters):
 
 @pytest.mark.parametrize(
     ("letters", "length", "gram", "bounds"),
-    [("abcdefg", 8, 3, {}), ("abé", 12, 12, {}), ("abcdefg", 20, 6, {"sort_rows": 10}), ("abé", 9, 1, {"sort_rows": 10}), ("abcd", 8, 3, {"hot_gram": 1})],
+    [("abcdefg", 8, 3, {}), ("abé", 12, 12, {}), ("abcdefg", 20, 6, {"sort_rows": 10}), ("abé", 9, 1, {"sort_rows": 10}), ("abcd", 8, 3, {"hot_gram": 1})]
+    + [("abcdefg", 20, 6, {"hot_gram": 1}), ("abé", 12, 12, {"hash_bits": 8}), ("abcdefg", 20, 6, {"hash_bits": 8, "hot_gram": 3}), ("abcd", 8, 3, {"hash_bits": 8, "sort_rows": 10})],
 )
 def test_against_every_string(spark, letters, length, gram, bounds):
     texts = mixed_texts(length, letters)
@@ -83,3 +84,20 @@ def test_awkward_rows(spark):
     assert [r.n_removed for r in rows if r.doc_id == 6] == [8, 8]
     assert {r.n_bytes for r in rows if r.doc_id in (2, 3)} == {0}
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_colliding_hashes_and_large_groups_take_their_paths(spark, monkeypatch):
+    names, keep = [], suffix.stored
+    monkeypatch.setattr(suffix, "stored", lambda rows, name: names.append(name) or keep(rows, name))
+    texts = mixed_texts(3, "abcdefg")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(frame(spark, texts), 20, 6, hash_bits=4, hot_gram=2).collect()}
+    assert [found[n] for n in range(len(texts))] == brute([(text or "").encode() for text in texts], 20)
+    assert "wrong" in names and names.count("parts") > 3
+
+
+def test_an_order_by_wrong_hashes_is_noticed():
+    data = np.array([[1, 1], [1, 2], [2, 0]], np.uint8)
+    sizes = np.array([2, 2, 1])
+    assert suffix._in_order(np.array([0, 1, 2]), data, sizes)
+    assert not suffix._in_order(np.array([1, 0, 2]), data, sizes)
+    assert not suffix._in_order(np.array([0, 0, 2]), data, sizes)
