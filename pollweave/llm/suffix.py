@@ -99,8 +99,8 @@ def anchors(text: np.ndarray, bounds: np.ndarray, length: int, gram: int, stretc
     return place, np.concatenate(hashes)[first]
 
 
-def _once_per_text(doc: np.ndarray, around: np.ndarray, gram: np.ndarray, context: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Order in which equal anchors of one text follow each other, and where each kind begins in it; ``context`` gives an anchor's bytes."""
+def _once_per_text(doc: np.ndarray, around: np.ndarray, gram: np.ndarray, context: Callable[[int], tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Order in which equal anchors of one text follow each other, and where each kind begins in it; ``context`` gives what lies around an anchor."""
     order = np.lexsort((np.arange(len(doc)), around, gram, doc))
     same = np.zeros(len(order), bool)
     if len(order):
@@ -144,7 +144,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int, mask: int) -> DataFram
                 view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
                 around = np.array([digest(view[a:b], seed=s) for a, b, s in zip(low.tolist(), high.tolist(), left.tolist(), strict=True)], np.uint64)
                 around &= np.uint64(mask)
-                order, heads = _once_per_text(doc, around, grams, lambda row, joined=joined, low=low, high=high: joined[low[row] : high[row]])
+                order, heads = _once_per_text(doc, around, grams, lambda row, joined=joined, low=low, high=high, left=left: (left[row], joined[low[row] : high[row]]))
                 first, rows = order[heads], pa.array(doc[order[heads]])
                 # Behind each head stand its further places.
                 ends = np.append(heads[1:], len(order))
@@ -313,10 +313,11 @@ def _split(groups: DataFrame, length: int, hot_gram: int) -> DataFrame:
 
 
 def _equal_spans(groups: DataFrame, length: int) -> DataFrame:
-    """Groups of strings from one place: equal ones are counted by their bytes."""
-    strings = groups.select(*DOC, "alone", (F.col("place") - F.col("low")).alias("start"), F.substring("context", F.expr("cast(left - low + 1 AS int)"), F.lit(length)).alias("string"))
-    often = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    return strings.where("alone").join(often, "string", "left_semi").select(*DOC, "start", (F.col("start") + length).alias("end"))
+    """Groups of strings from one place: equal ones are counted by their bytes, apart for each place, as one string may lie left of two anchors."""
+    string = F.substring("context", F.expr("cast(left - low + 1 AS int)"), F.lit(length))
+    strings = groups.select(*DOC, "alone", "low", (F.col("place") - F.col("low")).alias("start"), string.alias("string"))
+    often = strings.groupBy("low", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return strings.where("alone").join(often, ["low", "string"], "left_semi").select(*DOC, "start", (F.col("start") + length).alias("end"))
 
 
 def _spans_by_sort(contexts: DataFrame, length: int, gram: int, sort_rows: int, hot_gram: int, mask: int) -> DataFrame:
