@@ -49,9 +49,11 @@ def table_rows(
             lambda body: F.regexp_extract_all(body, F.lit(BODY_ROW), 1),
         )
     )
-    listed = pages.select(key, heads.alias("_heads"), F.posexplode(rows).alias("row", "_row"))
-    cells = F.transform(F.regexp_extract_all(F.col("_row"), F.lit(BODY_CELL), 1), cell_text)
-    listed = listed.withColumn("_cells", cells).filter(F.size("_cells") > 0)
+    cells = F.transform(rows, lambda row: F.transform(F.regexp_extract_all(row, F.lit(BODY_CELL), 1), cell_text))
+    # Heads are found once a page, below the rows, and cells once a row, in what is exploded: whatever is selected
+    # beside or after it would be evaluated anew for every row and for every use, later filters included.
+    read = pages.select(key, F.col(html), heads.alias("_heads"))
+    listed = read.select(key, "_heads", F.posexplode(cells).alias("row", "_cells")).filter(F.size("_cells") > 0)
 
     def cell(header: str) -> Column:
         place = F.array_position("_heads", F.lit(header)).cast("int")

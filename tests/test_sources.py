@@ -3,12 +3,14 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from pollweave.functions import null_tokens
 from pollweave.operators.frames import columns_first, label_blocks, rename_by_rules, rename_positions
 from pollweave.plans.benchmark_plan import polls_from_pages
-from pollweave.sources import read_statistics, read_two_row_header, read_wave, save_csv, save_table, table_rows
+from pollweave.sources import PollColumns, clean_poll_rows, read_statistics, read_two_row_header, read_wave, save_csv, save_table, table_rows
+from pollweave.sources.pages import BODY_CELL, HEAD_CELL
 
 
 def write(tmp_path, name, text):
@@ -97,6 +99,14 @@ def test_table_rows(pages):
     ]
 
 
+def test_heads_are_read_once_a_page(pages):
+    """Not once for every row and use, which is quadratic in the rows of a page."""
+    raw = table_rows(pages.select("institut", F.concat("html", "html").alias("html")), "institut", ["CDU/CSU", "SPD", "Befragte"])
+    plan = clean_poll_rows(raw.withColumn("zeitraum", F.lit("x")), PollColumns(parties={"spd": "SPD"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(HEAD_CELL) == plan.count(BODY_CELL) == 1
+    assert plan.index(BODY_CELL) < plan.index(HEAD_CELL)  # heads below the rows
+
+
 def test_polls_from_pages(pages):
     rows = polls_from_pages(pages).collect()
     known = {(r.institut, r.datum, r.partei): (r.befragte, r.typ, r.anteil) for r in rows}
