@@ -102,3 +102,14 @@ def test_one_exchange_for_all_that_a_page_needs(spark):
     pages = spark.range(10).select((F.col("id") + 1).alias("id"), F.lit("<table><td>1</table>").alias("html"))
     plan = table_grids(pages, "id")._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_pages_grouped_by_key_are_read_without_sorting(spark):
+    """Tags are no rows: nothing is sorted, spilled or shuffled once a page is in one row."""
+    lines = spark.range(2_000).selectExpr("id % 20 AS id", "concat('<tr><td>', id) AS part")
+    pages = lines.groupBy("id").agg(F.concat(F.lit("<table><th>A"), F.array_join(F.array_sort(F.collect_list("part")), "")).alias("html"))
+    rows = grid_rows(pages, "id", ("A",))
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and not any(word in plan for word in ("Sort ", "Window", "Generate"))
+    found = rows.collect()
+    assert len(found) == 2_000 and {(r.id, r.table_no, int(r.a) % 20) for r in found} == {(n, 0, n) for n in range(20)}
