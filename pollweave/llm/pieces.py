@@ -32,6 +32,8 @@ TABLE_BYTES = 64_000_000
 ENTRY_BYTES = 160
 # Longer chunks, as of text without blanks, hardly ever come again: they are kept for their block alone.
 LONG_CHUNK = 200
+# Chunks that are segmented in one call, whose ids are lists meanwhile.
+AT_ONCE = 5_000
 
 
 class ChunkTable:
@@ -69,8 +71,8 @@ class ChunkTable:
         new = list({chunk for chunk in chunks if chunk not in known})
         self.passing = [chunk for chunk in new if len(chunk) > LONG_CHUNK]
         plain = [GUARD + chunk.replace(MARK, " ") for chunk in new]
-        for start in range(0, len(new), 50_000):
-            own, texts = new[start : start + 50_000], plain[start : start + 50_000]
+        for start in range(0, len(new), AT_ONCE):
+            own, texts = new[start : start + AT_ONCE], plain[start : start + AT_ONCE]
             ids = self.model.encode(texts, num_threads=1)
             decoded = self.model.decode([self.guard + one[1:] for one in ids], num_threads=1)
             joined = [",".join(map(str, one[1:])) for one in ids]

@@ -18,6 +18,9 @@ from ..operators.sizing import remember
 
 # Texts of about this many bytes are worked on at once inside a task; a longer text is a block alone.
 BLOCK_BYTES = 2_000_000
+# Bytes of rows that are handed to a Python worker at once: JVM and worker both hold them, the worker two such batches.
+BATCH_BYTES = 2 * BLOCK_BYTES
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def blocks(batch: pa.RecordBatch, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -49,12 +52,23 @@ def identified(docs: DataFrame, id_column: str, text_column: str, *more: Column)
 
 
 def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` by code of this package, which the Python workers are told where to find."""
+    """``mapInArrow`` by code of this package, which the Python workers are told where to find.
+
+    Batches are bounded by ``BATCH_BYTES`` unless the session sets another bound, and a worker gives free memory
+    back after a task, because it is kept for the tasks of other stages.
+    """
+    if frame.sparkSession.conf.get(_BATCH_SETTING, None) is None:
+        frame.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     root, known = str(Path(__file__).resolve().parents[2]), frame.sparkSession.sparkContext.environment
     paths = known.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         known["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-    return frame.mapInArrow(run, schema)
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return frame.mapInArrow(freed, schema)
 
 
 def per_text(

@@ -1,11 +1,14 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from pollweave.llm import counts, pieces
 from pollweave.llm.queries import QUERIES
+from pollweave.llm.texts import BATCH_BYTES, mapped
 
 from .helpers import FOLDER, awkward, frame
 
@@ -105,3 +108,15 @@ def test_long_chunks_that_come_again(spark):
     held = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     found = {r.doc_id: (r.ids, r.decoded) for r in pieces.encode_decode(frame(spark, texts), MODEL, table_bytes=10).collect()}
     assert found == {n: (held.encode(text), held.decode(held.encode(text))) for n, text in enumerate(texts)}
+
+
+def test_batches_for_a_worker_are_bounded_by_bytes(spark):
+    """However few rows they have: JVM and worker hold them beside the heap."""
+    texts = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text"))
+    sizes = [r.n for r in mapped(texts, _sizes, "n long").collect()]
+    assert sum(sizes) >= 600 * 50_000 and max(sizes) <= BATCH_BYTES + 100_000
+
+
+def _sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
