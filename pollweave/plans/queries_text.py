@@ -18,7 +18,7 @@ from ..functions import (
 from ..operators.transition import ranking_columns
 from ..session import shared_folder
 from ..sources import link_rows, save_csv, save_table
-from ..sources.grids import grid_rows
+from ..sources.grids import MOST_ROWS, grid_rows
 from .registry import query
 from .views import RESP_SQL, respondents, table
 
@@ -137,24 +137,32 @@ def html_rows_extract(spark, folder):
 @query(
     "html_grid_rows",
     """WITH l AS (SELECT l_orderkey // 64 AS page, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS p,
-  CAST(round(l_discount * 100) AS BIGINT) AS d, l_returnflag = 'N' AS open FROM lineitem WHERE l_linenumber > 2)
+  CAST(round(l_discount * 100) AS BIGINT) AS d, l_returnflag = 'N' AS open FROM lineitem)
 SELECT page, CAST(1 + row_number() OVER (PARTITION BY page ORDER BY l_orderkey, l_linenumber, q, p, d, open) AS INTEGER) AS row, CAST(l_orderkey AS VARCHAR) AS key,
   CAST(q AS VARCHAR) AS quantity, CASE WHEN open THEN '< ' || p ELSE CAST(p AS VARCHAR) END AS price,
   CASE WHEN open THEN '< ' || p ELSE CAST(d AS VARCHAR) END AS discount FROM l""",
 )
 def html_grid_rows(spark, folder):
     """Lines as web tables of 64 orders: the order's cell spans its lines, an open price spans two columns, a head of two rows, tables within cells."""
-    lines = table(spark, folder, "lineitem").where("l_linenumber > 2").selectExpr(
+    lines = table(spark, folder, "lineitem").selectExpr(
         "l_orderkey DIV 64 AS page", "l_orderkey", "l_linenumber", "CAST(l_quantity AS BIGINT) AS q", "CAST(round(l_extendedprice * 100) AS BIGINT) AS p",
         "CAST(round(l_discount * 100) AS BIGINT) AS d", "l_returnflag = 'N' AS open",
     )
-    rows = lines.groupBy("page", "l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "q", "p", "d", "open"))).alias("own"))
-    body = """array_join(transform(own, (x, i) -> concat('<tr class="a>b">', IF(i = 0, concat('<th rowspan=', size(own), '>', l_orderkey, '</th>'), ''),
-        '<td>', x.q, '<table><tr><td>inner<td>', x.d, '</table>\n', IF(x.open, concat('<td colspan="2">&lt; ', x.p), concat('<td><b>', x.p, '</b></td> <TD>', x.d)))), '')"""
+    order = ("l_linenumber", "q", "p", "d", "open")
+    own = F.collect_list(F.struct(*order))
+    # As in SQL, nulls come last.
+    ranked = F.transform(own, lambda x: F.struct(*(one for c in order for one in (x[c].isNull().alias(f"no_{c}"), x[c].alias(c)))))
+    rows = lines.groupBy("page", "l_orderkey").agg(F.array_sort(ranked).alias("own"))
+    # A null is an empty cell; a cell that spans the most rows is followed by another one.
+    body = f"""array_join(transform(own, (x, i) -> concat('<tr class="a>b">',
+        IF(i % {MOST_ROWS} = 0, concat('<th rowspan=', least(size(own) - i, {MOST_ROWS}), '>', coalesce(string(l_orderkey), ''), '</th>'), ''),
+        '<td>', coalesce(string(x.q), ''), '<table><tr><td>inner<td>', coalesce(string(x.d), ''), '</table>\n', IF(x.open, concat('<td colspan="2">', coalesce(concat('&lt; ', x.p), '')),
+        concat('<td><b>', coalesce(string(x.p), ''), '</b></td> <TD>', coalesce(string(x.d), ''))))), '')"""
     head = "<!-- <table> --><p>Lines<table><thead><tr><th rowspan=2>Key<th rowspan='2'>Quantity<th colspan=2>Amounts<tr><th>Price</th><th>Discount<tbody>"
     pages = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", F.expr(body).alias("part")))).alias("parts"))
     html = F.concat(F.lit(head), F.array_join("parts.part", ""), F.lit("</table><p>end"))
-    return grid_rows(pages.select("page", html.alias("html")), "page", ("Key", "Quantity", "Price", "Discount")).drop("table_no")
+    read = grid_rows(pages.select("page", html.alias("html")), "page", ("Key", "Quantity", "Price", "Discount"))
+    return read.select("page", "row", *(F.expr(f"nullif({c}, '')").alias(c) for c in ("key", "quantity", "price", "discount")))
 
 
 def _scratch(spark, kind: str) -> str:
